@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from ..columns import is_datetime, is_numeric, is_string, names_of
 from ..functions.dates import as_timestamp
+from ..functions.numeric import nan_to_null
 from .encode import apply_encoder, fit_encoder
 from .impute import apply_fills, fit_fills
 
@@ -89,8 +90,14 @@ def apply_features(df: DataFrame, state: dict) -> DataFrame:
                 f"{n}_day": F.coalesce(F.dayofmonth(at), zero),
             }).drop(n)
     out = apply_encoder(out, state["encoder"])
-    missing = [c for c in state["columns"] if c not in out.columns]
-    return out.withColumns({c: F.lit(0.0) for c in missing})
+    have = set(out.columns)
+    if "fill" in state:
+        # Numbers as the learner reads them: double, missing ones replaced.
+        present = [c for c in state["columns"] if c in have]
+        out = nan_to_null(out, present).withColumns({
+            c: F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(state["fill"])) for c in present
+        })
+    return out.withColumns({c: F.lit(0.0) for c in state["columns"] if c not in have})
 
 
 def fit_native_categories(train: DataFrame, exclude: Sequence[str] = ()) -> dict:

@@ -66,7 +66,8 @@ def apply_fills(df: DataFrame, fills: dict[str, object]) -> DataFrame:
         fractional = isinstance(value, float) and not value.is_integer()
         if is_numeric(dtype) and not is_fractional(dtype) and fractional:
             dtype = T.DoubleType()
-        literal = F.lit(value if not isinstance(dtype, T.StringType) else str(value)).try_cast(dtype)
+        # A value that does not fit the column's type fills nothing.
+        literal = F.lit(value if is_numeric(dtype) else str(value)).try_cast(dtype)
         out[n] = F.coalesce(F.col(f"`{n}`").cast(dtype), literal)
     return clean.withColumns(out)
 

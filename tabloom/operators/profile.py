@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -98,6 +99,11 @@ def quality_score(missing_percentage: Column, duplicate_percentage: Column) -> C
     return F.greatest(F.bround(F.lit(100.0) - lost, 1), F.lit(0.0))
 
 
+def _even(x: float, digits: int) -> float:
+    """Statistics are rounded the way numpy rounds: half to even of the scaled value."""
+    return float(np.round(x, digits))
+
+
 def inferred_type(dtype: T.DataType, known: int, unique: int) -> str:
     if isinstance(dtype, T.BooleanType):
         return "boolean"
@@ -178,13 +184,13 @@ def column_profile(df: DataFrame, approximate: bool = False) -> DataFrame:
         if kind == "numeric" and known:
             q = s[f"q{i}"] if approximate else quartiles[f.name]
             line.update(
-                mean=round(s[f"avg{i}"], 4), std=round(s[f"sd{i}"], 4) if known > 1 else 0.0,
-                min=s[f"lo{i}"], max=s[f"hi{i}"], p25=round(q[0], 4), median=round(q[1], 4), p75=round(q[2], 4),
+                mean=_even(s[f"avg{i}"], 4), std=_even(s[f"sd{i}"], 4) if known > 1 else 0.0,
+                min=s[f"lo{i}"], max=s[f"hi{i}"], p25=_even(q[0], 4), median=_even(q[1], 4), p75=_even(q[2], 4),
                 zeros_count=s[f"z{i}"], negative_count=s[f"neg{i}"],
             )
         elif kind in ("categorical", "text", "boolean") and top:
             line["mode"] = top[0][1]
-            line["top_values"] = [(v, n, round(n / rows * 100.0, 2)) for n, v in top]
+            line["top_values"] = [(v, n, _even(n / rows * 100.0, 2)) for n, v in top]
         out.append(line)
     schema = T.StructType.fromDDL(COLUMN_SCHEMA)
     return spark.createDataFrame([tuple(line.get(n) for n in schema.names) for line in out], schema)

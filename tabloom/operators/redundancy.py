@@ -117,7 +117,8 @@ def dominated_columns(df: DataFrame, max_dominant_percentage: float = 0.99) -> l
         rows = dominant_shares(df).filter(F.col("dominant_share") >= max_dominant_percentage).collect()
         hit = {r["column"] for r in rows}
         return [n for n in names if n in hit]
-    hashed = df.select(*[F.xxhash64(F.col(f"`{n}`").isNull(), F.col(f"`{n}`")).alias(f"h{i}")
+    # 52 bits of the hash: quantiles work on doubles, which hold those exactly.
+    hashed = df.select(*[F.shiftright(F.xxhash64(F.col(f"`{n}`").isNull(), F.col(f"`{n}`")), 12).alias(f"h{i}")
                          for i, n in enumerate(names)])
     middle = hashed.agg(*[F.percentile_approx(f"h{i}", 0.5, 1000).alias(f"m{i}") for i in range(len(names))]).first()
     if middle is None or middle["m0"] is None:

@@ -17,6 +17,7 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import shared_folder
 from . import features as feature_prep
 from .split import apply_target, fit_target, with_class_weight
 from .stages import FeatureModel, NativeCategoryModel
@@ -127,6 +128,21 @@ def _importances(model, names: list[str]) -> dict[str, float]:
     return {n: round(float(v), 4) for n, v in zip(names, values)}
 
 
+def without_summary(pipeline: PipelineModel, spark) -> PipelineModel:
+    """The pipeline with a learner that is free of its training summary.
+
+    The summary of a two-class learner refers to the session, and goes with the model
+    into every scoring task; a session with observed metrics cannot be sent. The
+    stored form of the learner has no summary.
+    """
+    learner = pipeline.stages[-1]
+    if not getattr(learner, "hasSummary", False):
+        return pipeline
+    path = shared_folder(spark, "learner")
+    learner.write().save(path)
+    return PipelineModel([*pipeline.stages[:-1], type(learner).load(path)])
+
+
 def _native_stages(train: DataFrame, label: str, task: str) -> tuple[list, list[str]]:
     """Categories split as categories; those with too many levels become their target mean."""
     state = feature_prep.fit_native_categories(train, [label])
@@ -191,7 +207,7 @@ def train_model(train: DataFrame, label: str, algorithm: str, config: dict | Non
         elif classes == 2 and float(c.get("scale_pos_weight", 1.0)) != 1.0:
             rows = rows.withColumn(WEIGHT, F.when(F.col(f"`{label}`") == 1, float(c["scale_pos_weight"])).otherwise(1.0))
             learner.setWeightCol(WEIGHT)
-    fitted = Pipeline(stages=[*stages, learner]).fit(rows)
+    fitted = without_summary(Pipeline(stages=[*stages, learner]).fit(rows), train.sparkSession)
     readable = [n.removeprefix("_index_").removeprefix("_mean_") for n in names]
     return TrainedModel(fitted, task, label, target, readable, _importances(fitted.stages[-1], readable), ignored)
 

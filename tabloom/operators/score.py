@@ -8,7 +8,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .models import TrainedModel
+from .models import TrainedModel, without_summary
 from .split import apply_target, fit_target
 from .stages import Vectorizer
 
@@ -66,7 +66,7 @@ def train_text_classifier(df: DataFrame, text: str, label: str, max_features: in
         LogisticRegression(featuresCol="_features", labelCol=label, maxIter=max_iter, regParam=1.0 / max(n, 1),
                            standardization=False),
     ]
-    return Pipeline(stages=stages).fit(rows), target
+    return without_summary(Pipeline(stages=stages).fit(rows), df.sparkSession), target
 
 
 def classify_text(df: DataFrame, model: PipelineModel, classes: list[str] | None = None) -> DataFrame:

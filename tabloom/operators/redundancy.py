@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import combinations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..columns import names_of
@@ -33,11 +33,19 @@ def correlation_pairs(
     return _pearson_pairs(clean, list(combinations(names, 2)))
 
 
+def _correlation(a: str, b: str) -> Column:
+    """Like `corr`, but null instead of a division error when a column is constant."""
+    x, y = F.col(f"`{a}`").cast("double"), F.col(f"`{b}`").cast("double")
+    both = x.isNotNull() & y.isNotNull()
+    spread = F.sqrt(F.var_pop(F.when(both, x))) * F.sqrt(F.var_pop(F.when(both, y)))
+    return F.try_divide(F.covar_pop(x, y), spread)
+
+
 def _pearson_pairs(df: DataFrame, pairs: list[tuple[str, str]]) -> list[tuple[str, str, float | None]]:
     out = []
     for start in range(0, len(pairs), PAIRS_PER_PASS):
         part = pairs[start:start + PAIRS_PER_PASS]
-        row = df.agg(*[F.corr(f"`{a}`", f"`{b}`").alias(f"r{i}") for i, (a, b) in enumerate(part)]).first()
+        row = df.agg(*[_correlation(a, b).alias(f"r{i}") for i, (a, b) in enumerate(part)]).first()
         for i, (a, b) in enumerate(part):
             r = row[f"r{i}"]
             out.append((a, b, None if r is None or r != r else r))

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabloom.sources.tables import fill_cores
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -25,6 +27,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+def text_table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
+    """The wanted columns, in enough splits for work that is heavy per row."""
+    return fill_cores(table(spark, folder, name).select(*columns))
+
+
 # The test tables hold no nulls: both sides derive them in the same way.
 EVENTS_NULLS = """(SELECT event_id, ts, user_id,
     CASE WHEN event_id % 11 = 0 THEN NULL ELSE event_type END AS event_type,

@@ -78,11 +78,11 @@ def impute_ffill_global(spark, sf):
     SELECT event_id, coalesce(event_type, (SELECT event_type FROM past WHERE event_type IS NOT NULL
         GROUP BY event_type ORDER BY count(*) DESC, event_type LIMIT 1)) AS event_type,
         round(coalesce(value, (SELECT quantile_cont(value, 0.5) FROM past)), 6) AS value
-    FROM e WHERE ts >= TIMESTAMP '2024-01-15'""")
+    FROM e""")
 def impute_replay(spark, sf):
     e = events_nulls(spark, sf).select("event_id", "ts", "event_type", "value")
     fills = impute.fit_fills(e.filter("ts < timestamp_ntz'2024-01-15'"), "median", ["event_type", "value"])
-    return _rounded(impute.apply_fills(e.filter("ts >= timestamp_ntz'2024-01-15'"), fills).drop("ts"))
+    return _rounded(impute.apply_fills(e, fills).drop("ts"))
 
 
 def _docs(spark, sf):

@@ -8,7 +8,7 @@ from tabloom.plans import blueprints
 from tabloom.session import shared_folder
 from tabloom.streaming import jobs
 
-from .base import daily_events, daily_revenue, events_nulls, query, table
+from .base import daily_events, daily_revenue, events_nulls, query, table, text_table
 
 
 def doc_features(spark, sf):
@@ -20,6 +20,12 @@ def doc_features(spark, sf):
     )
 
 
+def _embeddings(spark, sf):
+    e = table(spark, sf, "embeddings")
+    width = e.agg(F.max(F.size("embedding"))).first()[0]
+    return e.select("vec_id", *[F.col("embedding")[i].alias(f"e{i}") for i in range(width)], "label")
+
+
 def _parts(df, keys, target):
     train, test = split.parts(split.train_test_split(df, keys, stratify_by=target))
     return train.drop(*keys), test
@@ -65,18 +71,14 @@ def cat_gbt(spark, sf):
 
 @query("gbt_multiclass")
 def gbt_multiclass(spark, sf):
-    e = table(spark, sf, "embeddings")
-    wide = e.select("vec_id", *[F.col("embedding")[i].alias(f"e{i}") for i in range(6)],
-                    F.concat(F.lit("c"), F.col("label") % 3).alias("label"))
+    wide = _embeddings(spark, sf).withColumn("label", F.concat(F.lit("c"), F.col("label") % 3))
     train, test = _parts(wide, ["vec_id"], "label")
     return score.score_batch(test, models.train_model(train, "label", "xgboost_trainer", {"n_estimators": 5, "max_depth": 3}))
 
 
 @query("logreg")
 def logreg(spark, sf):
-    e = table(spark, sf, "embeddings")
-    wide = e.select("vec_id", *[F.col("embedding")[i].alias(f"e{i}") for i in range(16)], "label")
-    train, test = _parts(wide, ["vec_id"], "label")
+    train, test = _parts(_embeddings(spark, sf), ["vec_id"], "label")
     return score.score_batch(test, models.train_model(train, "label", "linear_trainer", {"max_iter": 100}))
 
 
@@ -103,7 +105,7 @@ def iforest(spark, sf):
 def iforest_new_rows(spark, sf):
     e = table(spark, sf, "events").select("event_id", "ts", "event_type", "value")
     fitted = isolation.fit_isolation_forest(e.filter("ts < timestamp_ntz'2024-01-20'"), ["event_type", "value"], 0.05, 50)
-    return isolation.score_new_rows(e.filter("ts >= timestamp_ntz'2024-01-20'"), fitted)
+    return isolation.score_new_rows(e, fitted)
 
 
 @query("batch_score_map")
@@ -116,7 +118,7 @@ def batch_score_map(spark, sf):
 
 @query("text_classifier")
 def text_classifier(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", "text", "lang")
+    d = text_table(spark, sf, "documents", "doc_id", "text", "lang")
     train, test = _parts(d, ["doc_id"], "lang")
     model, target = score.train_text_classifier(train, "text", "lang", 100, max_iter=30)
     return score.classify_text(test.select("doc_id", "text"), model, target["classes"]).select("doc_id", "prediction", "confidence")

@@ -12,15 +12,15 @@ from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier
-from pyspark.ml.feature import StringIndexer, TargetEncoder, VectorAssembler
+from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import shared_folder
-from . import features as feature_prep
+from . import encode, features as feature_prep
 from .split import apply_target, fit_target, with_class_weight
-from .stages import FeatureModel, NativeCategoryModel
+from .stages import EncoderModel, FeatureModel, NativeCategoryModel
 
 FEATURES, WEIGHT = "_features", "_weight"
 NATIVE_LEVELS = 200  # more levels than this are replaced by their target mean
@@ -143,24 +143,25 @@ def without_summary(pipeline: PipelineModel, spark) -> PipelineModel:
     return PipelineModel([*pipeline.stages[:-1], type(learner).load(path)])
 
 
-def _native_stages(train: DataFrame, label: str, task: str) -> tuple[list, list[str]]:
+def _native_stages(train: DataFrame, label: str) -> tuple[list, list[str]]:
     """Categories split as categories; those with too many levels become their target mean."""
     state = feature_prep.fit_native_categories(train, [label])
     stages: list = [NativeCategoryModel(state=state)]
     inputs = list(state["numeric"])
     cats = state["categories"]
-    if cats:
-        sizes = train.agg(*[F.approx_count_distinct(f"`{c}`").alias(f"d{i}") for i, c in enumerate(cats)]).first()
-        for i, c in enumerate(cats):
-            indexed = f"_index_{c}"
+    if not cats:
+        return stages, inputs
+    sizes = train.agg(*[F.approx_count_distinct(f"`{c}`").alias(f"d{i}") for i, c in enumerate(cats)]).first()
+    many = [c for i, c in enumerate(cats) if sizes[f"d{i}"] > NATIVE_LEVELS]
+    if many:
+        filled = feature_prep.apply_native_categories(train, state)
+        stages.append(EncoderModel(state=encode.fit_encoder(filled, "target", many, target_column=label)))
+    for c in cats:
+        if c not in many:
             # Unseen levels get an index of their own.
-            stages.append(StringIndexer(inputCol=c, outputCol=indexed, handleInvalid="keep", stringOrderType="alphabetAsc"))
-            if sizes[f"d{i}"] > NATIVE_LEVELS:
-                target_type = "binary" if task == "classification" else "continuous"
-                stages.append(TargetEncoder(inputCol=indexed, outputCol=f"_mean_{c}", labelCol=label,
-                                            targetType=target_type, smoothing=0.0, handleInvalid="keep"))
-                indexed = f"_mean_{c}"
-            inputs.append(indexed)
+            stages.append(StringIndexer(inputCol=c, outputCol=f"_index_{c}", handleInvalid="keep",
+                                        stringOrderType="alphabetAsc"))
+        inputs.append(c if c in many else f"_index_{c}")
     return stages, inputs
 
 
@@ -180,7 +181,7 @@ def train_model(train: DataFrame, label: str, algorithm: str, config: dict | Non
     classes = int(seen["top"]) + 1 if task == "classification" and seen["top"] is not None else 0
 
     if algorithm == "catboost_trainer":
-        stages, names = _native_stages(rows, label, task)
+        stages, names = _native_stages(rows, label)
     else:
         state = feature_prep.fit_features(rows, [label])
         # A missing number has no path in Spark's trees: it is read as 0.
@@ -208,7 +209,7 @@ def train_model(train: DataFrame, label: str, algorithm: str, config: dict | Non
             rows = rows.withColumn(WEIGHT, F.when(F.col(f"`{label}`") == 1, float(c["scale_pos_weight"])).otherwise(1.0))
             learner.setWeightCol(WEIGHT)
     fitted = without_summary(Pipeline(stages=[*stages, learner]).fit(rows), train.sparkSession)
-    readable = [n.removeprefix("_index_").removeprefix("_mean_") for n in names]
+    readable = [n.removeprefix("_index_") for n in names]
     return TrainedModel(fitted, task, label, target, readable, _importances(fitted.stages[-1], readable), ignored)
 
 

@@ -138,13 +138,13 @@ def _level_summary(df: DataFrame, names: Sequence[str], k: int) -> dict[str, tup
     return {r["column"]: (r["unique"], [(-t["m"], t["v"]) for t in r["top"]]) for r in rows}
 
 
-def column_profile(df: DataFrame, approximate: bool = False) -> DataFrame:
+def column_profile(df: DataFrame, approximate: bool = False, quantiles: bool = True) -> DataFrame:
     """One row per column: type, missing, distinct, numeric statistics or top values.
 
-    Three passes whatever the number of columns: one aggregate for counts and
-    moments, one for quantiles, one count of values. With `approximate`, distinct
-    counts and quantiles come from sketches and number columns are not counted by
-    value.
+    A fixed number of passes whatever the number of columns: one aggregate for counts
+    and moments, one for distinct numbers, the quantile search, and one count of values
+    for the other columns. With `approximate`, distinct counts and quantiles come from
+    sketches; without `quantiles` their columns stay null and their passes are saved.
     """
     spark = df.sparkSession
     clean = nan_to_null(df, df.columns)
@@ -166,9 +166,12 @@ def column_profile(df: DataFrame, approximate: bool = False) -> DataFrame:
     rows = s["rows"]
     if rows == 0:
         return spark.createDataFrame([], COLUMN_SCHEMA)
-    counted = [f.name for f in fields if not approximate or not is_numeric(f.dataType)]
+    counted = [f.name for f in fields if not is_numeric(f.dataType)]
     levels = _level_summary(clean, counted, TOP_K) if counted else {}
-    quartiles = {} if approximate else exact_quantiles(clean, {n: [0.25, 0.5, 0.75] for n in numeric})
+    if numeric and not approximate:
+        distinct = clean.agg(*[F.count_distinct(F.col(f"`{n}`")).alias(f"d{i}") for i, n in enumerate(numeric)]).first()
+        levels.update({n: (distinct[f"d{i}"], []) for i, n in enumerate(numeric)})
+    quartiles = {} if approximate or not quantiles else exact_quantiles(clean, {n: [0.25, 0.5, 0.75] for n in numeric})
     out = []
     for i, f in enumerate(fields):
         known = s[f"n{i}"]
@@ -182,12 +185,13 @@ def column_profile(df: DataFrame, approximate: bool = False) -> DataFrame:
             "unique_count": unique, "cardinality_ratio": round(unique / rows, 4),
         }
         if kind == "numeric" and known:
-            q = s[f"q{i}"] if approximate else quartiles[f.name]
+            q = s[f"q{i}"] if approximate else quartiles.get(f.name)
             line.update(
                 mean=_even(s[f"avg{i}"], 4), std=_even(s[f"sd{i}"], 4) if known > 1 else 0.0,
-                min=s[f"lo{i}"], max=s[f"hi{i}"], p25=_even(q[0], 4), median=_even(q[1], 4), p75=_even(q[2], 4),
-                zeros_count=s[f"z{i}"], negative_count=s[f"neg{i}"],
+                min=s[f"lo{i}"], max=s[f"hi{i}"], zeros_count=s[f"z{i}"], negative_count=s[f"neg{i}"],
             )
+            if q:
+                line.update(zip(("p25", "median", "p75"), (_even(x, 4) for x in q)))
         elif kind in ("categorical", "text", "boolean") and top:
             line["mode"] = top[0][1]
             line["top_values"] = [(v, n, _even(n / rows * 100.0, 2)) for n, v in top]

@@ -35,7 +35,7 @@ def _task(kind: str, unique: int, rows: int, fractional: bool, has_date: bool) -
 
 def recommend(df: DataFrame, target_column: str | None = None, task_type: str | None = None, approximate: bool = False) -> dict:
     """Target, task, profile summary and the list of preparation steps."""
-    profile = column_profile(df, approximate).collect()
+    profile = column_profile(df, approximate, quantiles=False).collect()
     rows = df.count() if not profile else None
     columns = {r["name"]: r for r in profile}
     names = list(columns) or df.columns

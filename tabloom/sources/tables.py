@@ -56,6 +56,16 @@ def read_table(
     return out
 
 
+def fill_cores(scan: DataFrame) -> DataFrame:
+    """Spread a freshly read table that comes in fewer splits than there are cores.
+
+    For work that is heavy per row (text). A large table has more splits than cores and
+    is returned as it is: no shuffle.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def reject_empty(df: DataFrame) -> DataFrame:
     """Raise when the table has no rows; reads at most one row."""
     if df.isEmpty():

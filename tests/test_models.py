@@ -55,6 +55,13 @@ def test_native_categories_and_unseen_levels(spark):
     assert rows[1].Predicted_Class == "1" and len(rows) == 2
 
 
+def test_many_levels_become_target_means(spark):
+    df = spark.createDataFrame([(f"u{i % 300}", float(i % 300 > 150), float(i)) for i in range(900)], "u string, y double, x double")
+    trained = models.train_model(df, "y", "catboost_trainer", {"task_type": "regression", "iterations": 5, "depth": 2})
+    assert trained.importances["u"] > 0.9
+    assert score.score_batch(spark.createDataFrame([("new", 1.0)], "u string, x double"), trained).count() == 1
+
+
 def test_ignored_options_are_stated(flowers):
     trained = models.train_model(flowers.drop("id").filter("species <> 'setosa'"), "species", "xgboost_trainer",
                                  {"n_estimators": 2, "max_depth": 2, "reg_alpha": 0.5, "scale_pos_weight": 2.0})

@@ -1,7 +1,7 @@
 """Exact quantiles and modes that never gather a large column in one task.
 
 Spark's `percentile` keeps every distinct value of the column in one aggregation
-buffer. That is fine for a few hundred thousand distinct values; beyond that the
+buffer. That is fine for some ten thousand distinct values; beyond that the
 wanted ranks are first bracketed by `approx_percentile`, and the exact values are
 picked inside the bracket, with the rows below it only counted.
 """
@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 
 from ..columns import is_fractional
 
-MAX_DISTINCT = 200_000
+MAX_DISTINCT = 50_000
 ACCURACY = 20_000
+COLUMNS_PER_PASS = 16
 
 
 def _value(df: DataFrame, name: str) -> Column:
@@ -47,78 +48,89 @@ def exact_quantiles(
               for i in direct]
         ).first()
         out.update({names[i]: list(row[f"p{i}"]) for i in direct})
-    for i, n in enumerate(names):
-        if not stats[f"n{i}"]:
-            out[n] = [None] * len(wanted[n])
-        elif n not in out:
-            out[n] = _bracketed(slim.select(F.col(f"v{i}").alias("v")), wanted[n], stats[f"n{i}"], max_distinct)
+    out.update({n: [None] * len(wanted[n]) for i, n in enumerate(names) if not stats[f"n{i}"]})
+    rest = [i for i, n in enumerate(names) if n not in out]
+    for start in range(0, len(rest), COLUMNS_PER_PASS):
+        part = rest[start:start + COLUMNS_PER_PASS]
+        found = _bracketed(
+            slim, {f"v{i}": wanted[names[i]] for i in part}, {f"v{i}": stats[f"n{i}"] for i in part}, max_distinct
+        )
+        out.update({names[i]: found[f"v{i}"] for i in part})
     return {n: out[n] for n in names}
 
 
-def _bracketed(col: DataFrame, qs: Sequence[float], n: int, max_distinct: int) -> list[float]:
-    """Quantiles of a column with many distinct values: all brackets share each pass."""
-    ranks = sorted({r for q in qs for r in (math.floor((n - 1) * q), math.ceil((n - 1) * q))})
+def _bracketed(
+    slim: DataFrame, wanted: dict[str, Sequence[float]], sizes: dict[str, int], max_distinct: int
+) -> dict[str, list[float]]:
+    """Quantiles of columns with many distinct values; all columns and ranks share each pass."""
     slack = 4.0 / ACCURACY
-    ends = col.agg(
-        F.min("v").alias("lo"),
-        F.max("v").alias("hi"),
+    ranks = {
+        c: sorted({r for q in qs for r in (math.floor((sizes[c] - 1) * q), math.ceil((sizes[c] - 1) * q))})
+        for c, qs in wanted.items()
+    }
+    ends = slim.agg(*[e for c, rs in ranks.items() for e in (
+        F.min(c).alias(f"lo_{c}"),
+        F.max(c).alias(f"hi_{c}"),
         F.percentile_approx(
-            "v",
-            [min(1.0, max(0.0, r / n + s)) for r in ranks for s in (-slack, slack)],
-            ACCURACY,
-        ).alias("p"),
-    ).first()
+            c, [min(1.0, max(0.0, r / sizes[c] + s)) for r in rs for s in (-slack, slack)], ACCURACY
+        ).alias(f"p_{c}"),
+    )]).first()
+    low, high = {c: ends[f"lo_{c}"] for c in ranks}, {c: ends[f"hi_{c}"] for c in ranks}
     # Ranks next to the ends fall outside an approximate bracket: extend it to the end itself.
-    brackets = {}
-    for j, r in enumerate(ranks):
-        lo = ends["lo"] if r / n <= slack else ends["p"][2 * j]
-        hi = ends["hi"] if r / n >= 1 - slack else ends["p"][2 * j + 1]
-        brackets[r] = (lo, hi)
-    values: dict[int, float] = {}
-    while len(values) < len(ranks):
-        open_ = [r for r in ranks if r not in values]
-        counts = col.agg(*[e for r in open_ for e in _bracket_counts(r, *brackets[r])]).first()
+    brackets = {
+        (c, r): (
+            low[c] if r / sizes[c] <= slack else ends[f"p_{c}"][2 * j],
+            high[c] if r / sizes[c] >= 1 - slack else ends[f"p_{c}"][2 * j + 1],
+        )
+        for c, rs in ranks.items() for j, r in enumerate(rs)
+    }
+    values: dict[tuple[str, int], float] = {}
+    while len(values) < len(brackets):
+        open_ = [k for k in brackets if k not in values]
+        counts = slim.agg(*[e for k in open_ for e in _bracket_counts(*k, *brackets[k])]).first()
         pick, narrow = [], []
-        for r in open_:
-            lo, hi = brackets[r]
-            below, inside = counts[f"b{r}"], counts[f"i{r}"]
+        for c, r in open_:
+            lo, hi = brackets[c, r]
+            below, inside = counts[f"b_{c}_{r}"], counts[f"i_{c}_{r}"]
             if not below <= r < below + inside:
-                brackets[r] = (ends["lo"], lo) if r < below else (hi, ends["hi"])
+                brackets[c, r] = (low[c], lo) if r < below else (hi, high[c])
             elif lo == hi:
-                values[r] = lo
-            elif counts[f"d{r}"] <= max_distinct:
-                pick.append((r, (r - below + 0.5) / inside))
+                values[c, r] = lo
+            elif counts[f"d_{c}_{r}"] <= max_distinct:
+                pick.append((c, r, (r - below + 0.5) / inside))
             else:
-                narrow.append((r, (r - below) / inside))
+                narrow.append((c, r, (r - below) / inside))
         if pick:
-            row = col.agg(*[
+            row = slim.agg(*[
                 F.expr(
-                    f"percentile_disc({share!r}) WITHIN GROUP (ORDER BY CASE WHEN v >= {_double(brackets[r][0])}"
-                    f" AND v <= {_double(brackets[r][1])} THEN v END)"
-                ).alias(f"r{r}")
-                for r, share in pick
+                    f"percentile_disc({share!r}) WITHIN GROUP (ORDER BY CASE WHEN {c} >= {_double(brackets[c, r][0])}"
+                    f" AND {c} <= {_double(brackets[c, r][1])} THEN {c} END)"
+                ).alias(f"r_{c}_{r}")
+                for c, r, share in pick
             ]).first()
-            values.update({r: row[f"r{r}"] for r, _ in pick})
+            values.update({(c, r): row[f"r_{c}_{r}"] for c, r, _ in pick})
         if narrow:
-            row = col.agg(*[
+            row = slim.agg(*[
                 F.percentile_approx(
-                    F.when(F.col("v").between(*brackets[r]), F.col("v")),
+                    F.when(F.col(c).between(*brackets[c, r]), F.col(c)),
                     [max(0.0, share - slack), min(1.0, share + slack)],
                     ACCURACY,
-                ).alias(f"r{r}")
-                for r, share in narrow
+                ).alias(f"r_{c}_{r}")
+                for c, r, share in narrow
             ]).first()
-            for r, share in narrow:
-                lo, hi = row[f"r{r}"]
-                brackets[r] = (
-                    brackets[r][0] if share <= slack else lo,
-                    brackets[r][1] if share >= 1 - slack else hi,
+            for c, r, share in narrow:
+                lo, hi = row[f"r_{c}_{r}"]
+                brackets[c, r] = (
+                    brackets[c, r][0] if share <= slack else lo,
+                    brackets[c, r][1] if share >= 1 - slack else hi,
                 )
-    out = []
-    for q in qs:
-        at = (n - 1) * q
-        a, b = values[math.floor(at)], values[math.ceil(at)]
-        out.append(a + (b - a) * (at - math.floor(at)))
+    out = {}
+    for c, qs in wanted.items():
+        out[c] = []
+        for q in qs:
+            at = (sizes[c] - 1) * q
+            a, b = values[c, math.floor(at)], values[c, math.ceil(at)]
+            out[c].append(a + (b - a) * (at - math.floor(at)))
     return out
 
 
@@ -126,12 +138,13 @@ def _double(x: float) -> str:
     return f"CAST('{x!r}' AS DOUBLE)"
 
 
-def _bracket_counts(rank: int, lo: float, hi: float) -> list[Column]:
-    inside = F.col("v").between(lo, hi)
+def _bracket_counts(column: str, rank: int, lo: float, hi: float) -> list[Column]:
+    c = F.col(column)
+    inside = c.between(lo, hi)
     return [
-        F.count_if(F.col("v") < lo).alias(f"b{rank}"),
-        F.count_if(inside).alias(f"i{rank}"),
-        F.approx_count_distinct(F.when(inside, F.col("v"))).alias(f"d{rank}"),
+        F.count_if(c < lo).alias(f"b_{column}_{rank}"),
+        F.count_if(inside).alias(f"i_{column}_{rank}"),
+        F.approx_count_distinct(F.when(inside, c)).alias(f"d_{column}_{rank}"),
     ]
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import pii, sharding, urls
+from . import pii, sharding, shingle_join, urls
 from .common import read
 
 
@@ -12,6 +12,10 @@ def op1_pii(spark, sf):
     return pii.counts(pii.find_pii(read(spark, sf, "documents")))
 
 
+def op2_ngram_join(spark, sf):
+    return shingle_join.near_duplicate_components(read(spark, sf, "documents"))
+
+
 def op4_url_filter(spark, sf):
     return urls.judge_urls(read(spark, sf, "pages"))
 
@@ -21,5 +25,5 @@ def op9_sharding(spark, sf):
     return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard", "region", "rack")
 
 
-QUERIES = {"op1_pii": op1_pii, "op4_url_filter": op4_url_filter, "op9_sharding": op9_sharding}
+QUERIES = {"op1_pii": op1_pii, "op2_ngram_join": op2_ngram_join, "op4_url_filter": op4_url_filter, "op9_sharding": op9_sharding}
 SQL = {"op4_url_filter": urls.url_sql()}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import pii, sharding, shingle_join, urls
+from . import language, pii, sharding, shingle_join, toxicity, urls
 from .common import read
 
 
@@ -16,6 +16,13 @@ def op2_ngram_join(spark, sf):
     return shingle_join.near_duplicate_components(read(spark, sf, "documents"))
 
 
+def op3_language_id(spark, sf):
+    docs = read(spark, sf, "documents")
+    out = toxicity.held_out("doc_id", 4, 2)
+    found = language.identify(docs, language.fit(docs.filter(~out)))
+    return found.select("doc_id", out.alias("held_out"), "lang_pred", "score")
+
+
 def op4_url_filter(spark, sf):
     return urls.judge_urls(read(spark, sf, "pages"))
 
@@ -25,5 +32,12 @@ def op9_sharding(spark, sf):
     return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard", "region", "rack")
 
 
-QUERIES = {"op1_pii": op1_pii, "op2_ngram_join": op2_ngram_join, "op4_url_filter": op4_url_filter, "op9_sharding": op9_sharding}
+def op10_toxicity(spark, sf):
+    docs, labels = read(spark, sf, "documents"), read(spark, sf, "labels")
+    out = toxicity.held_out("doc_id", 5, 0)
+    scores = toxicity.toxicity_scores(docs, toxicity.fit(docs, labels.filter(~out)))
+    return scores.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+QUERIES = {"op1_pii": op1_pii, "op2_ngram_join": op2_ngram_join, "op3_language_id": op3_language_id, "op4_url_filter": op4_url_filter, "op9_sharding": op9_sharding, "op10_toxicity": op10_toxicity}
 SQL = {"op4_url_filter": urls.url_sql()}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import language, packing, pieces, pii, sharding, shingle_join, toxicity, urls
+from . import language, packing, pieces, pii, sharding, shingle_join, toxicity, urls, vector_dedup, vector_search
 from .common import read
 
 
@@ -27,6 +27,10 @@ def op4_url_filter(spark, sf):
     return urls.judge_urls(read(spark, sf, "pages"))
 
 
+def op5_vector_dedup(spark, sf):
+    return vector_dedup.link_vectors(read(spark, sf, "embeddings"))
+
+
 def op6_packing(spark, sf):
     return packing.pack(read(spark, sf, "documents"))
 
@@ -37,6 +41,10 @@ def op7_sentencepiece(spark, sf):
     return both.select("doc_id", F.size("ids").cast("long").alias("n_ids"), F.md5(ids).alias("ids_md5"), F.md5("decoded").alias("decoded_md5"))
 
 
+def op8_nearest(spark, sf):
+    return vector_search.nearest_neighbours(read(spark, sf, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op9_sharding(spark, sf):
     placed = sharding.shard_documents(read(spark, sf, "documents"), sharding.TREE_24, sharding.grown(sharding.TREE_24))
     return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard", "region", "rack")
@@ -49,6 +57,6 @@ def op10_toxicity(spark, sf):
     return scores.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES = {"op1_pii": op1_pii, "op2_ngram_join": op2_ngram_join, "op3_language_id": op3_language_id, "op4_url_filter": op4_url_filter, "op6_packing": op6_packing, "op7_sentencepiece": op7_sentencepiece,
-           "op9_sharding": op9_sharding, "op10_toxicity": op10_toxicity}
+QUERIES = {q.__name__: q for q in (op1_pii, op2_ngram_join, op3_language_id, op4_url_filter, op5_vector_dedup, op6_packing,
+                                   op7_sentencepiece, op8_nearest, op9_sharding, op10_toxicity)}
 SQL = {"op4_url_filter": urls.url_sql()}

@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -56,6 +57,11 @@ class Model:
                 if MARK in piece.lstrip(MARK):
                     raise ValueError("this model has pieces that go beyond a marked word")
         self.longest = max(map(len, self.ids), default=1)
+        # Lengths of the pieces that end in two given characters, longest first; a single character always counts.
+        sizes: dict[str, set[int]] = {}
+        for piece in self.ids:
+            sizes.setdefault(piece[-2:], {1}).add(len(piece))
+        self.sizes = {end: tuple(sorted(n, reverse=True)) for end, n in sizes.items()}
         self.fits: dict[tuple[str, str], bool] = {}
         self.lowest = min(self.scores.values(), default=0.0) - 10.0
 
@@ -73,9 +79,10 @@ class Model:
         """Whether the pieces a, b are the segmentation of their concatenation ('' stands for the start)."""
         known = self.fits.get((a, b))
         if known is None:
-            if len(self.fits) > 2_000_000:
+            if len(self.fits) > 400_000:
                 self.fits.clear()
-            known = self.fits[a, b] = self.merged(list(a + b)) == [x for x in (a, b) if x]
+            # A piece that its own merges do not reach has no neighbours.
+            known = self.fits[a, b] = (not a or self.neighbours("", b)) and self.merged(list(a + b)) == [x for x in (a, b) if x]
         return known
 
     def forward(self, word: str, states: list, start: int) -> None:
@@ -83,11 +90,12 @@ class Model:
 
         A state is (length of the last piece, sum of scores; the sum only for unigram models).
         """
+        ids, fits = self.ids, self.fits
         for end in range(start + 1, len(word) + 1):
             found = None
-            for size in range(min(self.longest, end), 0, -1):
+            for size in self.sizes.get(word[max(0, end - 2):end], (1,)):
                 piece = word[end - size:end]
-                if size > 1 and piece not in self.ids:
+                if size > end or size > 1 and piece not in ids:
                     continue
                 if self.unigram:
                     total = states[end - size][1] + self.scores.get(piece, self.lowest)
@@ -96,7 +104,8 @@ class Model:
                     continue
                 before = states[end - size][0]
                 last = word[end - size - before:end - size] if before else ""
-                if self.neighbours("", piece) and (not last or self.neighbours(last, piece)):
+                fit = fits.get((last, piece))
+                if fit if fit is not None else self.neighbours(last, piece):
                     found = (size, 0.0)
                     break
             states.append(found)
@@ -129,7 +138,7 @@ class Model:
 class TextEncoder:
     """Encodes batches of texts; remembers a bounded number of words."""
 
-    def __init__(self, model: Model, most: int = 400_000):
+    def __init__(self, model: Model, most: int = 300_000):
         self.model, self.most, self.known = model, most, {}
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
@@ -141,6 +150,12 @@ class TextEncoder:
         return [b"".join(map(known.__getitem__, words)) for words in cut]
 
 
+@lru_cache(maxsize=1)
+def text_encoder(path: str | None) -> TextEncoder:
+    """One for each worker process, so that tasks that follow each other share its words."""
+    return TextEncoder(Model(path))
+
+
 def decoded(model: Model, ids: Iterable[int]) -> str:
     text = b"".join(map(model.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
     return text[1:] if text.startswith(" ") else text
@@ -150,7 +165,7 @@ def encode(docs: DataFrame, path: str | None = None, key: str = "doc_id", text:
     """Key and ids (array of int) for every row; row-wise, no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = TextEncoder(Model(path))
+        encoder = text_encoder(path)
         for batch in batches:
             for at in range(0, batch.num_rows, texts_at_once):
                 part = batch.slice(at, texts_at_once)
@@ -165,7 +180,7 @@ def decode(encoded: DataFrame, path: str | None = None, key: str = "doc_id", ids
     place = encoded.columns.index(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Model(path)
+        model = text_encoder(path).model
         for batch in batches:
             texts = [decoded(model, x.values.to_numpy() if x.is_valid else ()) for x in batch.column(place)]
             yield batch.append_column("decoded", pa.array(texts, pa.string()))

@@ -24,6 +24,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -74,11 +75,17 @@ class WordEncoder:
         return self.encode(text) + END.to_bytes(4, "little")
 
 
+@lru_cache(maxsize=1)
+def word_encoder(path: str | None) -> WordEncoder:
+    """One for each worker process, so that tasks that follow each other share its words."""
+    return WordEncoder(path)
+
+
 def token_counts(docs: DataFrame, path: str | None, key: str, text: str, source: str) -> DataFrame:
     """(key, source, h, tokens) for every row, written to the shared folder; h is a hash of the text."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(path)
+        encoder = word_encoder(path)
         for batch in batches:
             n = pa.array([len(encoder.document(t.as_py())) // 4 for t in batch.column(3)], pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], n], names=["doc", "source", "h", "tokens"])
@@ -137,7 +144,7 @@ def _pieces(path: str | None, with_ids: bool):
     """Rows sorted by (doc, h, role): the places of a document's pieces, then its text (again for repeated rows)."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, places, current = WordEncoder(path), [], None
+        encoder, places, current = word_encoder(path), [], None
         for batch in batches:
             out = []
             for doc, h, role, pieces, text in zip(*batch.columns):

@@ -32,9 +32,11 @@ FORECAST_COLUMNS = ("ds", "yhat", "yhat_lower", "yhat_upper", "is_future")
 
 
 def _join_fit(rows: DataFrame, fit: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Attach the one fit row per series. Without keys the fit is a single row."""
+    """Attach the one fit row per series; null keys are a series too. Without keys the fit is a single row."""
     if keys:
-        return rows.join(fit, list(keys), "inner")
+        named = fit.withColumnsRenamed({k: f"_fit_{k}" for k in keys})
+        same = [F.col(f"`{k}`").eqNullSafe(F.col(f"`_fit_{k}`")) for k in keys]
+        return rows.join(named, same, "inner").drop(*[f"_fit_{k}" for k in keys])
     one = F.broadcast(fit.withColumn("_one", F.lit(1)))
     return rows.withColumn("_one", F.lit(1)).join(one, "_one").drop("_one")
 

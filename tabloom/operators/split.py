@@ -22,8 +22,8 @@ DIGITS_PER_PASS = 3
 
 
 def split_hash(keys: Sequence[str], seed: int) -> Column:
-    """Hex digest of the key values and the seed."""
-    return F.md5(F.concat_ws("|", *[F.col(f"`{k}`").cast("string") for k in keys], F.lit(str(seed))))
+    """Hex digest of the key values and the seed; a null has a mark of its own, so it keeps its place among the keys."""
+    return F.md5(F.concat_ws("|", *[F.coalesce(F.col(f"`{k}`").cast("string"), F.lit("\0")) for k in keys], F.lit(str(seed))))
 
 
 def _borders(hashed: DataFrame, wanted: dict[str, int]) -> dict[str, str]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -128,6 +129,17 @@ def flatten(df: DataFrame) -> DataFrame:
     return df.select(*leaves(df.schema, []))
 
 
+def _without_void(kind: T.DataType) -> T.DataType:
+    """Text where only nulls were seen, at every depth."""
+    if isinstance(kind, T.NullType):
+        return T.StringType()
+    if isinstance(kind, T.ArrayType):
+        return T.ArrayType(_without_void(kind.elementType), kind.containsNull)
+    if isinstance(kind, T.StructType):
+        return T.StructType([T.StructField(f.name, _without_void(f.dataType), f.nullable) for f in kind.fields])
+    return kind
+
+
 def expand_json(df: DataFrame, column: str, schema: T.StructType | str | None = None) -> DataFrame:
     """A text column with one JSON object per row becomes dotted columns next to the others.
 
@@ -135,7 +147,9 @@ def expand_json(df: DataFrame, column: str, schema: T.StructType | str | None =
     """
     if schema is None:
         seen = df.agg(F.schema_of_variant_agg(F.try_parse_json(F.col(f"`{column}`")))).first()[0]
-        schema = seen.replace("OBJECT<", "STRUCT<").replace("VOID", "STRING")
+        # Quoted names are passed over, so that only types are changed.
+        ddl = re.sub(r"(`(?:[^`]|``)*`)|\bOBJECT<", lambda m: m[1] or "STRUCT<", seen)
+        schema = _without_void(T.DataType.fromDDL(ddl))
     return flatten(df.withColumn(column, F.from_json(F.col(f"`{column}`"), schema)))
 
 

@@ -209,3 +209,11 @@ def test_optimiser_prunes_and_pushes_down(spark, tiny):
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<l_orderkey:bigint,l_quantity:double>" in text
     assert "GreaterThan(l_orderkey,5)" in text and "Exchange" not in text
+
+
+def test_json_keys_that_look_like_types(spark):
+    rows = spark.createDataFrame([(1, '{"AVOIDED": 3, "VOID": null, "a OBJECT<b": {"x": [1, null]}}'), (2, None)], "id long, p string")
+    got = tables.expand_json(rows, "p").orderBy("id")
+    assert [r["p.AVOIDED"] for r in got.collect()] == [3, None]
+    assert "p.VOID" in got.columns and dict(got.dtypes)["p.VOID"] == "string"
+    assert got.first()["p.a OBJECT<b.x"] == [1, None]

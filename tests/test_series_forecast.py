@@ -127,3 +127,10 @@ def test_future_dates_follow_the_data(spark):
     df = _daily(spark, range(20))
     rows = forecast.additive_forecast(df, "Date", "Sales", 3).filter("is_future = 1").orderBy("ds").collect()
     assert [r.ds for r in rows] == ["2026-01-21", "2026-01-22", "2026-01-23"]
+
+
+def test_null_key_is_a_series(spark):
+    rows = [(k, dt.datetime(2026, 1, 1) + dt.timedelta(days=i), float(10 + i)) for k in ("a", None) for i in range(20)]
+    df = spark.createDataFrame(rows, "k string, d timestamp_ntz, y double")
+    got = forecast.additive_forecast(df, "d", "y", 3, keys=["k"]).groupBy("k").count().collect()
+    assert {r["k"]: r["count"] for r in got} == {"a": 23, None: 23}

@@ -23,8 +23,9 @@ from __future__ import annotations
 import os
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -57,22 +58,35 @@ class WordEncoder:
             path = public_tokenizers.path("word_bpe_49k.json")
         self.tokenizer, self.most, self.known = Tokenizer.from_file(path), most, {}
 
-    def encode(self, text: str | None) -> bytes:
+    @staticmethod
+    def words(text: str | None) -> list[str]:
         if not text:
-            return b""
-        words = [w for w in _SPACES.split(text) if w] if _SPLIT_TOO_MUCH.search(text) else text.split()
+            return []
+        return [w for w in _SPACES.split(text) if w] if _SPLIT_TOO_MUCH.search(text) else text.split()
+
+    def encode_all(self, texts: Iterable[str | None]) -> list[bytes]:
+        """Ids of each text; the new words of all of them are encoded together."""
+        cut = [self.words(t) for t in texts]
         known = self.known
-        missing = list({w for w in words if w not in known})
+        missing = list({w for words in cut for w in words if w not in known})
         if missing:
-            if len(known) > self.most:
+            if len(known) + len(missing) > self.most:
                 known.clear()
-                missing = list(set(words))
-            for w, e in zip(missing, self.tokenizer.encode_batch(missing, add_special_tokens=False)):
-                known[w] = np.array(e.ids, dtype="<u4").tobytes()
-        return b"".join(map(known.__getitem__, words))
+                missing = list({w for words in cut for w in words})
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(missing, add_special_tokens=False)]
+            data, at = np.fromiter(chain.from_iterable(ids), dtype="<u4").tobytes(), 0
+            for w, own in zip(missing, ids):
+                known[w] = data[at:at + 4 * len(own)]
+                at += 4 * len(own)
+        return [b"".join(map(known.__getitem__, words)) for words in cut]
+
+    def encode(self, text: str | None) -> bytes:
+        return self.encode_all([text])[0]
 
-    def document(self, text: str | None) -> bytes:
-        return self.encode(text) + END.to_bytes(4, "little")
+    @property
+    def stored(self) -> str:
+        """The number type that stores an id: two bytes are enough for most vocabularies."""
+        return "<u2" if max(self.tokenizer.get_vocab_size(), END + 1) <= 1 << 16 else "<u4"
 
 
 @lru_cache(maxsize=1)
@@ -81,17 +95,25 @@ def word_encoder(path: str | None) -> WordEncoder:
     return WordEncoder(path)
 
 
-def token_counts(docs: DataFrame, path: str | None, key: str, text: str, source: str) -> DataFrame:
-    """(key, source, h, tokens) for every row, written to the shared folder; h is a hash of the text."""
+def tokenized(docs: DataFrame, path: str | None, key: str, text: str, source: str, texts_at_once: int = 256) -> DataFrame:
+    """(doc, source, h, tokens, width, ids) for every row, written to the shared folder.
+
+    h is a hash of the text; ids are the document's ids with the end token, `width` bytes each.
+    """
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = word_encoder(path)
+        kind, end = np.dtype(encoder.stored), END.to_bytes(4, "little")
         for batch in batches:
-            n = pa.array([len(encoder.document(t.as_py())) // 4 for t in batch.column(3)], pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], n], names=["doc", "source", "h", "tokens"])
+            for at in range(0, batch.num_rows, texts_at_once):
+                part = batch.slice(at, texts_at_once)
+                ids = [np.frombuffer(x + end, "<u4") for x in encoder.encode_all(part.column(3).to_pylist())]
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns[:3], pa.array([len(x) for x in ids], pa.int64()), pa.array([kind.itemsize] * len(ids), pa.int32()),
+                     pa.array([x.astype(kind).tobytes() for x in ids], pa.binary())], names=["doc", "source", "h", "tokens", "width", "ids"])
 
     rows = docs.select(F.col(key).cast("long").alias("doc"), F.col(source).cast("string").alias("source"), F.xxhash64(text).alias("h"), F.col(text).alias("t"))
-    return written_table(rows.mapInArrow(count, "doc long, source string, h long, tokens long"), "counts")
+    return written_table(rows.mapInArrow(run, "doc long, source string, h long, tokens long, width int, ids binary"), "tokens")
 
 
 def quanta(counts: DataFrame, window_tokens: int, mixture: dict[str | None, float] | None) -> DataFrame:
@@ -140,24 +162,24 @@ def layout(counts: DataFrame, length: int, window: int, mixture: dict[str | None
                       "sequence_id", (F.col("from") - F.col("sequence_id") * length).alias("offset"))
 
 
-def _pieces(path: str | None, with_ids: bool):
-    """Rows sorted by (doc, h, role): the places of a document's pieces, then its text (again for repeated rows)."""
+def _pieces(with_ids: bool):
+    """Rows sorted by (doc, h, role): the places of a document's pieces, then its ids (again for repeated rows)."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, places, current = word_encoder(path), [], None
+        places, current = [], None
         for batch in batches:
             out = []
-            for doc, h, role, pieces, text in zip(*batch.columns):
+            for doc, h, role, pieces, width, data in zip(*batch.columns):
                 if role.as_py() == 0:
                     current, places = (doc.as_py(), h.as_py()), pieces.as_py()
                     continue
                 assert current == (doc.as_py(), h.as_py())
                 if places:
-                    ids = encoder.document(text.as_py())
+                    ids = np.frombuffer(data.as_py(), f"<u{width.as_py()}").astype("<u4")
                     for p in places:
-                        piece = ids[4 * p["start"]:4 * (p["start"] + p["length"])]
-                        out.append((current[0], p["start"], p["length"], zlib.crc32(piece), len(ids) // 4, p["sequence_id"], p["offset"],
-                                    np.frombuffer(piece, "<u4").astype(np.int32) if with_ids else None))
+                        piece = ids[p["start"]:p["start"] + p["length"]]
+                        out.append((current[0], p["start"], p["length"], zlib.crc32(piece.tobytes()), len(ids), p["sequence_id"], p["offset"],
+                                    piece.astype(np.int32) if with_ids else None))
                 places = []
             names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
             arrays = [pa.array([o[i] for o in out], pa.int64()) for i in range(7)]
@@ -172,13 +194,13 @@ def pack(docs: DataFrame, length: int = 4096, window: int = 64, mixture: dict[st
          with_ids: bool = False, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids).
 
-    Texts are tokenized once to count and once to cut; the second time they are brought to
-    their pieces by one shuffle.
+    Texts are tokenized once; their written ids are brought to their pieces by one shuffle.
     """
-    counts = token_counts(docs, path, key, text, source)
+    tokens = tokenized(docs, path, key, text, source)
+    counts = tokens.select("doc", "source", "h", "tokens")
     parts = layout(counts, length, window, mixture).groupBy("doc", "h").agg(F.collect_list(F.struct("start", "length", "sequence_id", "offset")).alias("pieces"))
     kind = parts.schema["pieces"].dataType
-    texts = docs.select(F.col(key).cast("long").alias("doc"), F.xxhash64(text).alias("h"), F.lit(1).alias("role"), F.lit(None).cast(kind).alias("pieces"), F.col(text).alias("t"))
-    rows = parts.select("doc", "h", F.lit(0).alias("role"), "pieces", F.lit(None).cast("string").alias("t")).union(texts)
+    stored = tokens.select("doc", "h", F.lit(1).alias("role"), F.lit(None).cast(kind).alias("pieces"), "width", "ids")
+    rows = parts.select("doc", "h", F.lit(0).alias("role"), "pieces", F.lit(None).cast("int").alias("width"), F.lit(None).cast("binary").alias("ids")).union(stored)
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * with_ids
-    return rows.repartition("doc", "h").sortWithinPartitions("doc", "h", "role").mapInArrow(_pieces(path, with_ids), schema)
+    return rows.repartition("doc", "h").sortWithinPartitions("doc", "h", "role").mapInArrow(_pieces(with_ids), schema)

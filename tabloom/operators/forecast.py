@@ -31,14 +31,14 @@ SEASONS = {"daily": (1.0, 4, 2.0), "weekly": (7.0, 3, 14.0), "yearly": (365.25,
 FORECAST_COLUMNS = ("ds", "yhat", "yhat_lower", "yhat_upper", "is_future")
 
 
-def _join_fit(rows: DataFrame, fit: DataFrame, keys: Sequence[str]) -> DataFrame:
+def _join_fit(rows: DataFrame, fit: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Attach the one fit row per series; null keys are a series too. Without keys the fit is a single row."""
     if keys:
         named = fit.withColumnsRenamed({k: f"_fit_{k}" for k in keys})
         same = [F.col(f"`{k}`").eqNullSafe(F.col(f"`_fit_{k}`")) for k in keys]
-        return rows.join(named, same, "inner").drop(*[f"_fit_{k}" for k in keys])
+        return rows.join(named, same, how).drop(*[f"_fit_{k}" for k in keys])
     one = F.broadcast(fit.withColumn("_one", F.lit(1)))
-    return rows.withColumn("_one", F.lit(1)).join(one, "_one").drop("_one")
+    return rows.withColumn("_one", F.lit(1)).join(one, "_one", how).drop("_one")
 
 
 def prepare_series(df: DataFrame, date: str, target: str, keys: Sequence[str] = ()) -> DataFrame:
@@ -96,17 +96,17 @@ def fit_additive(series: DataFrame, keys: Sequence[str] = (), seasonality_mode:
 
 
 def predict_additive(dates: DataFrame, fit: DataFrame, keys: Sequence[str] = (), bends: int = 10, level: float = 0.95) -> DataFrame:
-    """Add `yhat` with its band to any `(keys, ds)` rows."""
+    """Add `yhat` with its band to any `(keys, ds)` rows; null for series without a fit."""
     z = NormalDist().inv_cdf(0.5 + level / 2)
     x, _ = _design(bends)
-    rows = _join_fit(dates, fit, keys)
+    rows = _join_fit(dates, fit, keys, "left")
     back = lambda v: F.when(F.col("_log"), F.exp(v)).otherwise(v)
     rows = rows.withColumn("_m", dot(x, F.col("coef")))
     return rows.withColumns({
         "yhat": back(F.col("_m")),
         "yhat_lower": back(F.col("_m") - z * F.col("_sigma")),
         "yhat_upper": back(F.col("_m") + z * F.col("_sigma")),
-        "is_future": (F.col("ds") > F.col("_last")).cast("int"),
+        "is_future": F.coalesce((F.col("ds") > F.col("_last")).cast("int"), F.lit(0)),
     }).select(*dates.columns, "yhat", "yhat_lower", "yhat_upper", "is_future")
 
 
@@ -126,7 +126,7 @@ def additive_forecast(
     df: DataFrame, date: str, target: str, horizon_periods: int = 14, frequency: str = "D",
     seasonality_mode: str = "additive", keys: Sequence[str] = (), level: float = 0.95,
 ) -> DataFrame:
-    """History and future in one table, per series."""
+    """History and future in one table, per series; a series of fewer than five points keeps its history, without a fit."""
     series = prepare_series(df, date, target, keys)
     fit = fit_additive(series, keys, seasonality_mode)
     dates = series.select(*keys, "ds").unionByName(spine_after(fit, horizon_periods, frequency, keys))
@@ -266,22 +266,25 @@ def arima_forecast(
     df: DataFrame, date: str, target: str, p: int = 1, d: int = 1, q: int = 1, horizon_periods: int = 14,
     frequency: str = "D", keys: Sequence[str] = (), max_task_rows: int = MAX_TASK_ROWS,
 ) -> DataFrame:
-    """History (with its one-step fit) and future in one table, per series."""
+    """History (with its one-step fit) and future in one table, per series; too short a series keeps its history, without a fit."""
     series = prepare_series(df, date, target, keys)
     fit, history = fit_arima(series, p, d, q, keys, max_task_rows)
     past = history.select(
         *keys, "ds", "yhat", F.col("yhat").alias("yhat_lower"), F.col("yhat").alias("yhat_upper"), F.lit(0).alias("is_future")
     )
+    none = F.lit(None).cast("double")
+    unfitted = _join_fit(series, fit.select(*keys), keys, "left_anti").select(
+        *keys, "ds", none.alias("yhat"), none.alias("yhat_lower"), none.alias("yhat_upper"), F.lit(0).alias("is_future"))
     future = predict_arima(fit, history, p, d, q, horizon_periods, frequency, keys).withColumn("is_future", F.lit(1))
-    return forecast_table(past.unionByName(future), keys)
+    return forecast_table(past.unionByName(unfitted).unionByName(future), keys)
 
 
 def forecast_trend(rows: DataFrame, value: str = "yhat", date: str = "ds", keys: Sequence[str] = ()) -> DataFrame:
-    """Start and end value, direction, and change in percent, per series."""
+    """Start and end value, direction, and change in percent, per series; null for series without a fit."""
     exprs = [F.min_by(value, date).alias("start_value"), F.max_by(value, date).alias("projected_end_value")]
     ends = rows.groupBy(*keys).agg(*exprs) if keys else rows.agg(*exprs)
     start, end = F.col("start_value"), F.col("projected_end_value")
     return ends.withColumns({
-        "trend": F.when(end >= start, "Upward").otherwise("Downward"),
+        "trend": F.when(end >= start, "Upward").when(end < start, "Downward"),
         "projected_change_pct": F.bround((end - start) / (start + 1e-9) * 100.0, 2),
     })

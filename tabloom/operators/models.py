@@ -23,6 +23,7 @@ from .split import apply_target, fit_target, with_class_weight
 from .stages import EncoderModel, FeatureModel, NativeCategoryModel
 
 FEATURES, WEIGHT = "_features", "_weight"
+DEEPEST = 30  # fixed value: the deepest tree of Spark ML
 NATIVE_LEVELS = 200  # more levels than this are replaced by their target mean
 
 
@@ -52,19 +53,25 @@ class TrainedModel:
         return out
 
 
+def _deeper(depth: int) -> dict:
+    """A wanted depth beyond the one Spark ML allows, to be listed as ignored."""
+    return {"max_depth": depth} if depth > DEEPEST else {}
+
+
 def _forest(task: str, c: dict, **_):
     common = dict(
         featuresCol=FEATURES, labelCol=c["label"], numTrees=int(c.get("n_estimators", 100)),
-        maxDepth=min(30, int(c.get("max_depth", 10))), minInstancesPerNode=int(c.get("min_samples_leaf", 1)),
+        maxDepth=min(DEEPEST, int(c.get("max_depth", 10))), minInstancesPerNode=int(c.get("min_samples_leaf", 1)),
         featureSubsetStrategy=c.get("max_features", "sqrt"), seed=int(c.get("random_state", 42)),
     )
     ignored = {"min_samples_split": c["min_samples_split"]} if int(c.get("min_samples_split", 2)) != 2 else {}
+    ignored |= _deeper(int(c.get("max_depth", 10)))
     return (RandomForestClassifier if task == "classification" else RandomForestRegressor)(**common), ignored
 
 
 def _boosted(task: str, c: dict, classes: int, iterations: int, depth: int, **extra):
     common = dict(
-        featuresCol=FEATURES, labelCol=c["label"], maxIter=iterations, maxDepth=min(30, depth),
+        featuresCol=FEATURES, labelCol=c["label"], maxIter=iterations, maxDepth=min(DEEPEST, depth),
         stepSize=float(c.get("learning_rate", 0.1)), subsamplingRate=float(c.get("subsample", 1.0)),
         seed=int(c.get("random_state", c.get("random_seed", 42))), **extra,
     )
@@ -83,7 +90,10 @@ def _boosted(task: str, c: dict, classes: int, iterations: int, depth: int, **ex
 def _xgboost(task: str, c: dict, classes: int, rows: int):
     model = _boosted(task, c, classes, int(c.get("n_estimators", 100)), int(c.get("max_depth", 6)),
                      minWeightFractionPerNode=min(0.49, float(c.get("min_child_weight", 1.0)) / max(rows, 1)))
-    return model, {k: c[k] for k in ("reg_alpha", "reg_lambda") if k in c}
+    ignored = {k: c[k] for k in ("reg_alpha", "reg_lambda") if k in c} | _deeper(int(c.get("max_depth", 6)))
+    if float(c.get("min_child_weight", 1.0)) > 0.49 * max(rows, 1):
+        ignored["min_child_weight"] = c.get("min_child_weight", 1.0)
+    return model, ignored
 
 
 def _lightgbm(task: str, c: dict, classes: int, rows: int):
@@ -92,7 +102,7 @@ def _lightgbm(task: str, c: dict, classes: int, rows: int):
     depth = math.ceil(math.log2(leaves)) if depth <= 0 else depth
     model = _boosted(task, c, classes, int(c.get("n_estimators", 100)), depth,
                      minInstancesPerNode=int(c.get("min_child_samples", 20)))
-    return model, {k: c[k] for k in ("reg_alpha", "reg_lambda", "num_leaves") if k in c}
+    return model, {k: c[k] for k in ("reg_alpha", "reg_lambda", "num_leaves") if k in c} | _deeper(depth)
 
 
 def _linear(task: str, c: dict, classes: int, rows: int, label_spread: float = 1.0):

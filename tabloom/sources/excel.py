@@ -57,17 +57,24 @@ def sheet_rows(content: bytes) -> list[list[str | None]]:
 def read_excel(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
     """All workbooks below `path` as one table, columns matched by name.
 
-    Without a schema, names come from the first file and every column is text that
-    is typed double when all of its values are numbers.
+    Without a schema, the names of all files count, in the order of the files and of
+    their first rows, and every column is text that is typed double when all of its
+    values are numbers.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").load(path)
     inferred = schema is None
     if inferred:
-        first = files.select("content").limit(1).first()
-        if first is None:
+        def headers(batches):
+            for pdf in batches:
+                for where, content in zip(pdf["path"], pdf["content"]):
+                    names = [(where, i, str(h)) for i, h in enumerate(next(iter(sheet_rows(bytes(content))), [])) if h is not None]
+                    yield pd.DataFrame(names, columns=["path", "at", "name"])
+
+        found = files.select("path", "content").mapInPandas(headers, "path string, at int, name string")
+        first = found.groupBy("name").agg(F.min(F.struct("path", "at")).alias("first")).orderBy("first").collect()
+        if not first:
             raise ValueError(f"no workbook at {path}")
-        header = sheet_rows(bytes(first["content"]))[0]
-        schema = T.StructType([T.StructField(str(h), T.StringType()) for h in header])
+        schema = T.StructType([T.StructField(r["name"], T.StringType()) for r in first])
     elif isinstance(schema, str):
         schema = T.StructType.fromDDL(schema)
     names = schema.names
@@ -76,7 +83,7 @@ def read_excel(spark: SparkSession, path: str, schema: T.StructType | str | None
     def parse(batches):
         for pdf in batches:
             for content in pdf["content"]:
-                header, *body = sheet_rows(bytes(content))
+                header, *body = sheet_rows(bytes(content)) or [[]]
                 at = {h: i for i, h in enumerate(header)}
                 yield pd.DataFrame(
                     {n: [r[at[n]] if n in at and at[n] < len(r) else None for r in body] for n in names}, dtype=object

@@ -34,8 +34,12 @@ def read_table(
     fmt: str | None = None,
     schema: T.StructType | str | None = None,
     delimiter: str = ",",
+    multi_line: bool = False,
 ) -> DataFrame:
-    """One reader for every format. A declared schema saves the inference pass over the files."""
+    """One reader for every format. A declared schema saves the inference pass over the files.
+
+    `multi_line` reads CSV whose quoted values hold line breaks; such a file is one task.
+    """
     fmt = fmt or format_of(path)
     reader = spark.read if schema is None else spark.read.schema(schema)
     if fmt == "parquet":
@@ -43,7 +47,7 @@ def read_table(
     elif fmt == "csv":
         if delimiter not in DELIMITERS:
             raise ValueError(f"unsupported delimiter: {delimiter!r}")
-        out = reader.csv(path, header=True, sep=delimiter, inferSchema=schema is None, multiLine=False, escape='"')
+        out = reader.csv(path, header=True, sep=delimiter, inferSchema=schema is None, multiLine=multi_line, escape='"')
     elif fmt == "json":
         out = reader.json(path, multiLine=True)
     elif fmt == "jsonl":

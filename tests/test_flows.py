@@ -40,6 +40,9 @@ def test_workbooks(spark, tmp_path):
     assert sorted((r.name, r.x) for r in df.collect()) == [("p", 1.0), ("q", 2.5), ("r", None)]
     typed = tables.read_table(spark, str(tmp_path / "a.xlsx"))
     assert dict(typed.dtypes) == {"name": "string", "x": "double"}
+    (tmp_path / "c.xlsx").write_bytes(_workbook([["name", "extra"], ["s", 7]]))
+    every = tables.read_table(spark, str(tmp_path), "excel")
+    assert every.columns == ["name", "x", "extra"] and {r.name: r.extra for r in every.collect()} == {"p": None, "q": None, "r": None, "s": 7.0}
 
 
 def test_formats_and_errors(spark, tmp_path):
@@ -50,6 +53,9 @@ def test_formats_and_errors(spark, tmp_path):
     (tmp_path / "t.csv").write_text("custom_col_x;custom_col_y;custom_target\n1.5;2.0;0\n3.0;4.0;1\n")
     df = tables.read_table(spark, str(tmp_path / "t.csv"), delimiter=";")
     assert df.count() == 2 and dict(df.dtypes)["custom_col_x"] == "double"
+    (tmp_path / "q.csv").write_text('id,note\n1,"two\nlines"\n2,one\n')
+    quoted = tables.read_table(spark, str(tmp_path / "q.csv"), multi_line=True)
+    assert [(r.id, r.note) for r in quoted.orderBy("id").collect()] == [(1, "two\nlines"), (2, "one")]
     with pytest.raises(ValueError):
         tables.read_table(spark, str(tmp_path / "t.csv"), delimiter="#")
     (tmp_path / "t.json").write_text(json.dumps([{"a": 1, "n": {"b": 2}}, {"a": 3, "n": {"b": None}}]))

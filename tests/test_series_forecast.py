@@ -86,11 +86,17 @@ def test_multiplicative_stays_positive(spark):
     assert min(r.yhat_lower for r in rows) > 0 and last.yhat == pytest.approx(math.exp(0.05 * 44), rel=0.1)
 
 
-def test_short_series_are_left_out(spark):
-    df = _daily(spark, [1, 2, 3]).withColumn("k", F.lit("short")).unionByName(
+@pytest.mark.parametrize("method", [forecast.additive_forecast, forecast.arima_forecast])
+def test_short_series_keep_their_history(spark, method):
+    df = _daily(spark, [1, 2, 3]).withColumn("k", F.lit(None).cast("string")).unionByName(
         _daily(spark, range(30)).withColumn("k", F.lit("long")))
-    got = forecast.additive_forecast(df, "Date", "Sales", 3, keys=["k"]).groupBy("k").count().collect()
-    assert {r.k for r in got if r["count"] > 3} == {"long"}
+    rows = method(df, "Date", "Sales", horizon_periods=3, keys=["k"]).collect()
+    short = [r for r in rows if r.k is None]
+    assert len(short) == 3 and all(r.yhat is None and r.is_future == 0 for r in short)
+    assert len(rows) == 36 and all(r.yhat is not None for r in rows if r.k)
+    trend = {r.k: r.trend for r in forecast.forecast_trend(spark.createDataFrame(rows), keys=["k"]).collect()}
+    assert trend == {None: None, "long": "Upward"}
+    assert [r.yhat for r in method(_daily(spark, [1, 2, 3]), "Date", "Sales").collect()] == [None] * 3
 
 
 @pytest.mark.parametrize("limit", [10**6, 30])

@@ -144,3 +144,9 @@ def test_metrics_by_hand(spark):
 def test_constant_regression_target(spark):
     df = spark.createDataFrame([(1.0, 1.0), (1.0, 1.0)], "label double, prediction double")
     assert evaluate.regression_metrics(df).first().r2_score == 1.0
+
+
+def test_options_beyond_the_limits_are_listed(spark):
+    assert models._forest("classification", {"label": "y", "max_depth": 40})[1] == {"max_depth": 40}
+    assert models._xgboost("regression", {"label": "y", "max_depth": 31, "min_child_weight": 60}, 0, 100)[1] == {"max_depth": 31, "min_child_weight": 60}
+    assert models._lightgbm("regression", {"label": "y", "max_depth": 9}, 0, 100)[1] == {}

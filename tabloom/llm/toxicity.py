@@ -83,14 +83,18 @@ class Terms:
 
 
 def sampled(docs: DataFrame, labels: DataFrame, max_rows: int, bits: int, key: str, text: str, label: str) -> tuple[list, dict[int, int]]:
-    """[(label, terms)] of at most `max_rows` different texts of each label, and the number of all rows of each label."""
-    rows = docs.select(key, text).join(labels.filter(F.col(label).isin(0, 1)).select(key, F.col(label).cast("int").alias("y")), key)
-    rows = rows.select("y", F.coalesce(F.col(text), F.lit("")).alias("t")).withColumn("h", F.shiftrightunsigned(F.xxhash64("t"), 2))
-    counts = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    """[(label, terms)] of at most `max_rows` different texts of each label, and the number of all rows of each label.
+
+    Only keys and hashes meet the labels; the chosen ones, at most `max_rows` for each label, are sent to the texts.
+    """
+    texts = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")).withColumn("h", F.shiftrightunsigned(F.xxhash64("t"), 2))
+    marked = labels.filter(F.col(label).isin(0, 1)).select(F.col(key).alias("k"), F.col(label).cast("int").alias("y"))
+    rows = texts.select("k", "h").join(marked, "k").groupBy("k", "h", "y").agg(F.count("*").alias("n"))
+    counts = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.sum("n").alias("n")).collect()}
     share = {y: min(1.0, 1.25 * max_rows / n) for y, n in counts.items()}
     kept = None
     for y, s in share.items():
-        part = rows.filter((F.col("y") == y) & (F.col("h") <= int(s * 2**62))).dropDuplicates(["h"]).orderBy("h").limit(max_rows)
+        part = rows.filter((F.col("y") == y) & (F.col("h") <= int(s * 2**62))).groupBy("h", "y").agg(F.min("k").alias("k")).orderBy("h").limit(max_rows)
         kept = part if kept is None else kept.union(part)
     if kept is None:
         return [], {}
@@ -100,7 +104,8 @@ def sampled(docs: DataFrame, labels: DataFrame, max_rows: int, bits: int, key: s
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([find.of(t.as_py()).astype(np.int32) for t in batch.column(2)], pa.list_(pa.int32()))], names=["h", "y", "terms"])
 
-    data = sorted(kept.select("h", "y", "t").repartition(16).mapInArrow(terms, "h long, y int, terms array<int>").toLocalIterator(), key=lambda r: (r["h"], r["y"]))
+    found = texts.join(F.broadcast(kept), ["k", "h"]).select("h", "y", "t").mapInArrow(terms, "h long, y int, terms array<int>").dropDuplicates(["h", "y"])
+    data = sorted(found.toLocalIterator(), key=lambda r: (r["h"], r["y"]))
     return [(r["y"], np.array(r["terms"], dtype=np.int64)) for r in data], counts
 
 

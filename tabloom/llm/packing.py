@@ -45,10 +45,11 @@ class WordEncoder:
     """Token ids of a text, as little-endian unsigned 32-bit numbers.
 
     The tokenizer drops white space and never joins across it, so each different word is
-    encoded once and remembered, up to a bounded number of words.
+    encoded once and remembered. At `most` new words the memory starts anew, and only words
+    of the former one that occur again move over, so at most twice as many words are held.
     """
 
-    def __init__(self, path: str | None = None, most: int = 400_000):
+    def __init__(self, path: str | None = None, most: int = 500_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -57,6 +58,7 @@ class WordEncoder:
 
             path = public_tokenizers.path("word_bpe_49k.json")
         self.tokenizer, self.most, self.known = Tokenizer.from_file(path), most, {}
+        self.former: dict[str, bytes] = {}
 
     @staticmethod
     def words(text: str | None) -> list[str]:
@@ -67,12 +69,15 @@ class WordEncoder:
     def encode_all(self, texts: Iterable[str | None]) -> list[bytes]:
         """Ids of each text; the new words of all of them are encoded together."""
         cut = [self.words(t) for t in texts]
-        known = self.known
-        missing = list({w for words in cut for w in words if w not in known})
+        different = set().union(*cut)
+        if len(self.known) > self.most:
+            self.known, self.former = {}, self.known
+        known, former = self.known, self.former
+        missing = different - known.keys()
+        again = missing & former.keys()
+        known.update((w, former.pop(w)) for w in again)
+        missing = list(missing - again)
         if missing:
-            if len(known) + len(missing) > self.most:
-                known.clear()
-                missing = list({w for words in cut for w in words})
             ids = [e.ids for e in self.tokenizer.encode_batch_fast(missing, add_special_tokens=False)]
             data, at = np.fromiter(chain.from_iterable(ids), dtype="<u4").tobytes(), 0
             for w, own in zip(missing, ids):

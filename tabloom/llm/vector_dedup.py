@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from tabloom.session import written_table
 
 from .common import components
-from .vectors import matrix, valid_vectors
+from .vectors import matrix, stored_kind, valid_vectors
 
 
 def rotation(sample: np.ndarray, bits: int, seed: int, rounds: int = 50) -> tuple[np.ndarray, np.ndarray]:
@@ -83,15 +83,15 @@ def _least_labels(near: np.ndarray) -> np.ndarray:
         labels = lower
 
 
-def _compare(threshold: float):
+def _compare(threshold: float, kind: str):
     """One group: two blocks (or one) of a bucket."""
 
     def run(rows: pa.Table) -> pa.Table:
         side, ids, weight = (rows.column(c).to_numpy() for c in ("side", "id", "weight"))
         table = rows.column("tab")[0].as_py()
-        x = matrix(rows.column("vec").to_pylist())
+        x = matrix(rows.column("vec").to_pylist(), kind)
         units = x / np.sqrt((x * x).sum(1))[:, None]
-        codes = np.array(rows.column("codes").to_pylist(), dtype=np.int64).reshape(len(ids), -1)
+        codes = np.frombuffer(b"".join(rows.column("codes").to_pylist()), dtype="<i4").reshape(len(ids), -1)
         near = units @ units.T >= threshold
         np.fill_diagonal(near, False)
         if side.any():
@@ -110,7 +110,9 @@ def _compare(threshold: float):
 def link_vectors(df: DataFrame, threshold: float = 0.9, recall: float = 0.97, sample_rows: int = 20_000, block: int = 1024,
                  key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """Key (long), n_links, component_id, kept for every row."""
-    raw = valid_vectors(df, key, vector)
+    kind = stored_kind(df, vector)
+    wide = np.dtype(kind).itemsize
+    raw = valid_vectors(df, key, vector, kind)
     first = raw.groupBy("vec").agg(F.min("id").alias("first"), F.count("*").alias("weight"))
     reps = written_table(first.select(F.col("first").alias("id"), "weight", "vec"), "vectors")
     links = [reps.select("id", F.lit(0).cast("long").alias("links"), F.col("id").alias("head")).limit(0)]
@@ -119,13 +121,13 @@ def link_vectors(df: DataFrame, threshold: float = 0.9, recall: float = 0.97, sa
         mine = reps.filter(F.length("vec") == size)
         share = min(1.0, 1.2 * sample_rows / rows)
         drawn = mine.filter(F.shiftrightunsigned(F.xxhash64("vec"), 2) <= int(share * 2**62)).select("vec").limit(sample_rows)
-        x = matrix([bytes(r["vec"]) for r in drawn.toLocalIterator()] or [b"\0" * size])
+        x = matrix([bytes(r["vec"]) for r in drawn.toLocalIterator()] or [b"\0" * size], kind)
         norm = np.sqrt((x * x).sum(1))[:, None]
         units = x / np.where(norm == 0, 1, norm)
-        width, tables = plan(rows, threshold, recall, bits=size // 8)
-        per_rotation = max(1, (size // 8) // width)
-        quantisers = [rotation(units, size // 8, seed) for seed in range(-(-tables // per_rotation))]
-        links.append(_links_of(mine, quantisers, width, tables, threshold, block))
+        width, tables = plan(rows, threshold, recall, bits=size // wide)
+        per_rotation = max(1, (size // wide) // width)
+        quantisers = [rotation(units, size // wide, seed) for seed in range(-(-tables // per_rotation))]
+        links.append(_links_of(mine, quantisers, width, tables, threshold, block, kind))
     found = links[0]
     for one in links[1:]:
         found = found.union(one)
@@ -141,24 +143,24 @@ def link_vectors(df: DataFrame, threshold: float = 0.9, recall: float = 0.97, sa
     return out.withColumn("kept", F.col(key).eqNullSafe(F.col("component_id")))
 
 
-def _links_of(reps: DataFrame, quantisers, width: int, tables: int, threshold: float, block: int) -> DataFrame:
+def _links_of(reps: DataFrame, quantisers, width: int, tables: int, threshold: float, block: int, kind: str) -> DataFrame:
     sent = reps.sparkSession.sparkContext.broadcast(quantisers)  # a fixed size for each table
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = matrix(batch.column(2).to_pylist())
+            x = matrix(batch.column(2).to_pylist(), kind)
             codes = chunk_codes(x / np.sqrt((x * x).sum(1))[:, None], sent.value, width, tables)
-            yield batch.append_column("codes", pa.array(list(codes), pa.list_(pa.int64())))
+            yield batch.append_column("codes", pa.array([c.astype("<i4").tobytes() for c in codes], pa.binary())).append_column("buckets", pa.array(list(codes), pa.list_(pa.int64())))
 
-    coded = written_table(reps.mapInArrow(code, "id long, weight long, vec binary, codes array<long>"), "codes")
-    keyed = coded.select("id", F.posexplode("codes").alias("tab", "bucket"))
+    coded = written_table(reps.mapInArrow(code, "id long, weight long, vec binary, codes binary, buckets array<long>"), "codes")
+    keyed = coded.select("id", F.posexplode("buckets").alias("tab", "bucket"))
     sizes = keyed.groupBy("tab", "bucket").count().filter("count > 1").withColumn("blocks", F.ceil(F.col("count") / block))
     placed = keyed.join(sizes, ["tab", "bucket"]).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")))
     # A vector goes to every pair of blocks that has its own.
     dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "id", "tab", "bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
         F.when(F.col("own") > F.col("other"), 1).otherwise(0).cast("long").alias("side"))
-    full = dealt.join(coded, "id")
-    return full.groupBy("tab", "bucket", "i", "j").applyInArrow(_compare(threshold), "id long, links long, head long")
+    full = dealt.join(coded.drop("buckets"), "id")
+    return full.groupBy("tab", "bucket", "i", "j").applyInArrow(_compare(threshold, kind), "id long, links long, head long")

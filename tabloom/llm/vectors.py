@@ -10,10 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def valid_vectors(df: DataFrame, key: str, vector: str, zero: bool = False) -> DataFrame:
+def valid_vectors(df: DataFrame, key: str, vector: str, kind: str = "<f8") -> DataFrame:
     """(id, vec): rows whose vector is not null or empty and holds no null or non-finite number, nor only zeros.
 
-    `vec` holds the original numbers as little-endian doubles. Native up to the packing into bytes.
+    `vec` holds the original numbers, little-endian, as doubles or as `kind` says. Native up to the packing into bytes.
     """
     v = F.col(vector).cast("array<double>")
     fine = F.coalesce(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))), F.lit(False)) & (F.size(v) > 0)
@@ -23,11 +23,17 @@ def valid_vectors(df: DataFrame, key: str, vector: str, zero: bool = False) -> D
         for batch in batches:
             column = batch.column(1)
             flat, ends = column.flatten().to_numpy(zero_copy_only=False), np.cumsum([0, *(len(x) for x in column)])
-            packed = [flat[a:b].astype("<f8").tobytes() for a, b in zip(ends[:-1], ends[1:])]
+            packed = [flat[a:b].astype(kind).tobytes() for a, b in zip(ends[:-1], ends[1:])]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], names=["id", "vec"])
 
     return rows.mapInArrow(to_bytes, "id long, vec binary")
 
 
-def matrix(packed: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(packed), dtype="<f8").reshape(len(packed), -1)
+def stored_kind(df: DataFrame, vector: str) -> str:
+    """The smallest number type that holds the vectors' numbers exactly."""
+    return "<f4" if df.schema[vector].dataType.simpleString() == "array<float>" else "<f8"
+
+
+def matrix(packed: list[bytes], kind: str = "<f8") -> np.ndarray:
+    """Rows of doubles."""
+    return np.frombuffer(b"".join(packed), dtype=kind).reshape(len(packed), -1).astype("<f8", copy=False)

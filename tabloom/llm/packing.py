@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import os
 import re
+import string
 import zlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -39,6 +40,9 @@ from .common import running_start
 END = 2
 _SPACES = re.compile("[\t-\r \x85\xa0  -     　]+")
 _SPLIT_TOO_MUCH = re.compile("[\x1c-\x1f]")
+#: ASCII marks that end a run of letters; not the apostrophe, which begins contractions.
+_MARKS = string.punctuation.replace("'", "")
+_LAST_LATIN = "\u024f"
 
 
 class WordEncoder:
@@ -47,11 +51,14 @@ class WordEncoder:
     The tokenizer drops white space and never joins across it, so each different word is
     encoded once and remembered. At `most` new words the memory starts anew, and only words
     of the former one that occur again move over, so at most twice as many words are held.
+    A run of Latin letters is one unit of the tokenizer in lower case, so it goes to a copy
+    of it that skips normalising and cutting.
     """
 
     def __init__(self, path: str | None = None, most: int = 500_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         if path is None:
             import public_tokenizers
@@ -59,6 +66,9 @@ class WordEncoder:
             path = public_tokenizers.path("word_bpe_49k.json")
         self.tokenizer, self.most, self.known = Tokenizer.from_file(path), most, {}
         self.former: dict[str, bytes] = {}
+        self.letters = Tokenizer.from_file(path)
+        self.letters.normalizer = None
+        self.letters.pre_tokenizer = ByteLevel(add_prefix_space=False, use_regex=False)
 
     @staticmethod
     def words(text: str | None) -> list[str]:
@@ -76,15 +86,40 @@ class WordEncoder:
         missing = different - known.keys()
         again = missing & former.keys()
         known.update((w, former.pop(w)) for w in again)
-        missing = list(missing - again)
-        if missing:
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast(missing, add_special_tokens=False)]
-            data, at = np.fromiter(chain.from_iterable(ids), dtype="<u4").tobytes(), 0
-            for w, own in zip(missing, ids):
-                known[w] = data[at:at + 4 * len(own)]
-                at += 4 * len(own)
+        if missing - again:
+            self._learn(missing - again)
         return [b"".join(map(known.__getitem__, words)) for words in cut]
 
+    def _learn(self, missing: set[str]) -> None:
+        """Adds words to the memory; letters followed by marks are encoded as letters and marks, each once."""
+        known, whole = self.known, []
+        words, cores, ends = [], [], []
+        for w in missing:
+            low = core = w.rstrip(_MARKS)
+            fine = core.isalpha()
+            if core.isascii():
+                low = core.lower()
+            elif fine:
+                low = "".join(map(str.lower, core))
+                fine = low.isalpha() and max(low) <= _LAST_LATIN
+            if fine:
+                words.append(w)
+                cores.append(low)
+                ends.append(w[len(core):])
+            else:
+                whole.append(w)
+        self._remember(self.tokenizer, [*whole, *(set(ends) - {""} - known.keys())])
+        self._remember(self.letters, list(set(cores) - known.keys()))
+        for w, low, marks in zip(words, cores, ends):
+            known[w] = known[low] + known[marks] if marks else known[low]
+
+    def _remember(self, tokenizer, words: list[str]) -> None:
+        ids = [e.ids for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        data, at = np.fromiter(chain.from_iterable(ids), dtype="<u4").tobytes(), 0
+        for w, own in zip(words, ids):
+            self.known[w] = data[at:at + 4 * len(own)]
+            at += 4 * len(own)
+
     def encode(self, text: str | None) -> bytes:
         return self.encode_all([text])[0]
 

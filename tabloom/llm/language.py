@@ -4,8 +4,9 @@ Terms are runs of one to four characters of the lower-cased text, where every ch
 is not a letter counts as a space; they are hashed to `2**bits` buckets. Document frequencies
 are counted over all training rows. Weights are learned by follow-the-regularised-leader
 (per-coordinate steps, L1 and L2 penalties) on a bounded sample of rows (`max_rows` for each
-language, chosen by a hash of the text, copies once); a fifth of the sample calibrates the
-temperature of the probabilities.
+language, chosen by a hash of the text, copies once; a language with fewer different texts gives
+all of them); a fifth of each language's sample calibrates the temperature of the probabilities,
+and a language of fewer than five texts is learned from all of them.
 
 Edge cases: a null text and one without letters are `und` with score 0; without training rows
 every text is `und`; ties go to the language that sorts first; texts of any length are read
@@ -119,9 +120,11 @@ def document_frequencies(docs: DataFrame, bits: int, text: str) -> tuple[int, np
 def sample(docs: DataFrame, max_rows: int, bits: int, text: str, lang: str) -> list[tuple[str, np.ndarray, np.ndarray]]:
     """(language, buckets, counts) of at most `max_rows` different texts of each language, in the order of their hash."""
     rows = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("y"), F.col(text).alias("t"))
-    rows = rows.withColumn("h", F.shiftrightunsigned(F.xxhash64("t"), 2))
-    sizes = rows.groupBy("y").agg(F.count("*").alias("n"))
-    share = F.least(F.lit(1.0), F.lit(1.5 * max_rows) / F.col("n"))
+    # Texts that surely hold no letter (characters unknown to Java may be letters) take no place.
+    rows = rows.filter(F.col("t").rlike(r"\p{L}|\p{Cn}")).withColumn("h", F.shiftrightunsigned(F.xxhash64("t"), 2))
+    sizes = rows.select("y", "h").distinct().groupBy("y").agg(F.count("*").alias("n"))
+    # So much more than max_rows that a draw by hash does not fall short of it.
+    share = F.least(F.lit(1.0), F.lit(1.5 * max_rows + 60) / F.col("n"))
     chosen = rows.join(F.broadcast(sizes.select("y", (share * float(2**62)).cast("long").alias("limit")).hint("broadcast")), "y")
     chosen = chosen.filter(F.col("h") <= F.col("limit")).dropDuplicates(["y", "h"])
 
@@ -141,9 +144,12 @@ def sample(docs: DataFrame, max_rows: int, bits: int, text: str, lang: str) -> l
 
 
 def learn(rows, languages: list[str], idf: np.ndarray, bits: int, passes: int = 3, alpha: float = 0.5, beta: float = 1.0, l1: float = 1e-3, l2: float = 1e-3) -> Model:
-    """Follow-the-regularised-leader with elastic net; every fifth row is kept for the temperature."""
+    """Follow-the-regularised-leader with elastic net; every fifth row of a language is kept for the temperature."""
     k, data = len(languages), [(languages.index(y), *weighed((at, n), idf)) for y, at, n in rows]
-    train, rest = [d for i, d in enumerate(data) if i % 5], data[::5]
+    train, rest, seen = [], [], [0] * k
+    for d in data:
+        seen[d[0]] += 1
+        (train if seen[d[0]] % 5 else rest).append(d)
     z, g2 = np.zeros((1 << bits, k)), np.zeros((1 << bits, k))
     zb, gb = np.zeros(k), np.zeros(k)
 

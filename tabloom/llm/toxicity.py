@@ -90,8 +90,10 @@ def sampled(docs: DataFrame, labels: DataFrame, max_rows: int, bits: int, key: s
     texts = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")).withColumn("h", F.shiftrightunsigned(F.xxhash64("t"), 2))
     marked = labels.filter(F.col(label).isin(0, 1)).select(F.col(key).alias("k"), F.col(label).cast("int").alias("y"))
     rows = texts.select("k", "h").join(marked, "k").groupBy("k", "h", "y").agg(F.count("*").alias("n"))
-    counts = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.sum("n").alias("n")).collect()}
-    share = {y: min(1.0, 1.25 * max_rows / n) for y, n in counts.items()}
+    sizes = rows.groupBy("y", "h").agg(F.sum("n").alias("n")).groupBy("y").agg(F.sum("n").alias("n"), F.count("*").alias("texts")).collect()
+    counts = {r["y"]: r["n"] for r in sizes}
+    # So much more than max_rows that a draw by hash does not fall short of it.
+    share = {r["y"]: min(1.0, (1.25 * max_rows + 60) / r["texts"]) for r in sizes}
     kept = None
     for y, s in share.items():
         part = rows.filter((F.col("y") == y) & (F.col("h") <= int(s * 2**62))).groupBy("h", "y").agg(F.min("k").alias("k")).orderBy("h").limit(max_rows)

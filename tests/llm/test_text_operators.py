@@ -249,3 +249,22 @@ def test_sharding_is_even_and_confined(spark):
     assert np.allclose(counts / 3000, [1, 1, 2, 1, 3], rtol=0.1)
     moved = [(a[i], b[i]) for i in a if a[i]["shard"] != b[i]["shard"]]
     assert moved and all(y["region"] == 1 for _, y in moved)
+
+
+def test_samples_are_of_different_texts(spark):
+    word = lambda i: "".join("abcdefghij"[int(c)] for c in str(i))
+    rows = [(i, "copy of one text", "aa", 0) for i in range(20_000)]
+    rows += [(20_000 + i, f"text {word(i)}", "aa", 0) for i in range(100)] + [(21_000 + i, f"12 {i}", "bb", 1) for i in range(2_000)]
+    rows += [(30_000 + i, f"other {word(i)}", "bb", 1) for i in range(100)] + [(40_000, "einzig", "cc", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, toxic int")
+    drawn = [y for y, *_ in language.sample(docs, 50, 12, "text", "lang")]
+    assert {y: drawn.count(y) for y in drawn} == {"aa": 50, "bb": 50, "cc": 1}
+    data, counts = toxicity.sampled(docs.select("doc_id", "text"), docs.select("doc_id", "toxic"), 50, 16, "doc_id", "text", "toxic")
+    assert [sum(y == label for y, _ in data) for label in (0, 1)] == [50, 50] and counts == {0: 20_100, 1: 2_101}
+
+
+def test_language_of_one_text_is_learned(spark):
+    rows = [(f"abab {'ab' * i}", "aa") for i in range(1, 30)]
+    for first in ("xyz zyx xxz", "zzy yxz zyx", "yyx xzy zzx", "zx xy yz", "xx yy zz"):
+        docs = spark.createDataFrame([*rows, (first, "cc")], "text string, lang string")
+        assert language.fit(docs, bits=12).predict(first)[0] == "cc"

@@ -268,3 +268,16 @@ def test_language_of_one_text_is_learned(spark):
     for first in ("xyz zyx xxz", "zzy yxz zyx", "yyx xzy zzx", "zx xy yz", "xx yy zz"):
         docs = spark.createDataFrame([*rows, (first, "cc")], "text string, lang string")
         assert language.fit(docs, bits=12).predict(first)[0] == "cc"
+
+
+def test_account_numbers_before_words_in_capitals():
+    bare = ["BE68539007547034", "NO9386011117947", "AT611904300234573201", "DE89370400440532013000", "ES9121000418450200051332", "PL61109010140000071219812874"]
+    for number in bare:
+        for shown in (number, " ".join(number[i:i + 4] for i in range(0, len(number), 4))):
+            for after in ("", " now", " EUR 50", " BIC", " IBAN", " A", " EURO 2024 PAID", " TRANSFERS", " DE88 3704", "."):
+                for before in ("", "to ", "NR10 ABCD "):
+                    text = before + shown + after
+                    assert [(k, text[a:b]) for k, a, b in pii.further_spans(text)] == [("iban", shown)], text
+    both = "BE68 5390 0754 7034 AT61 1904 3002 3457 3201 EUR"
+    assert [both[a:b] for _, a, b in pii.further_spans(both)] == ["BE68 5390 0754 7034", "AT61 1904 3002 3457 3201"]
+    assert pii.masked("account BE68 5390 0754 7034 EUR 50") == "account [IBAN] EUR 50"

@@ -281,3 +281,18 @@ def test_account_numbers_before_words_in_capitals():
     both = "BE68 5390 0754 7034 AT61 1904 3002 3457 3201 EUR"
     assert [both[a:b] for _, a, b in pii.further_spans(both)] == ["BE68 5390 0754 7034", "AT61 1904 3002 3457 3201"]
     assert pii.masked("account BE68 5390 0754 7034 EUR 50") == "account [IBAN] EUR 50"
+
+
+def test_toxicity_learns_words_of_equal_shares():
+    rng, find = random.Random(3), toxicity.Terms(20)
+
+    def rows(n):
+        out = []
+        for i in range(n):
+            y, a = i % 2, rng.randrange(2)
+            words = [f"n{rng.randrange(200)}" for _ in range(20)] + [f"insult{a}", f"group{a if y else 1 - a}"]
+            out.append((y, find.of(" ".join(words))))
+        return out
+
+    machine = toxicity.learn(rows(900), {0: 450, 1: 450}, 20)
+    assert sum((machine.score(t) >= 0.5) == bool(y) for y, t in rows(600)) >= 570

@@ -5,10 +5,15 @@ principal components are balanced binary codes with small quantisation error. Co
 into chunks, one hash table each; vectors that agree in a chunk meet in a bucket and are
 compared by the cosine of the original vectors in double precision.
 
-Recall. Two vectors at the threshold cosine agree in a bit with p = 1 - acos(t) / pi, in a
-chunk of w bits with p^w. The number of tables is chosen so that the chance to meet in none is
-below 1 - `recall`; chunk width grows with the logarithm of the number of vectors, and as many
-rotations are used as the tables need. Links that are found have the threshold cosine exactly.
+Recall. Two vectors agree in a bit with p = 1 - angle / pi, in a chunk of w bits with p^w. Codes
+are signs of centred vectors, and centring widens the angle of a pair, by more the nearer it is
+to the mean. So angles are taken after centring, over pairs at the threshold cosine around
+sampled vectors (in any direction, and towards other vectors of the sample) and over linked
+pairs of the sample. The number of tables is chosen so that the share of pairs of each kind that
+meet in none is below 1 - `recall`, and raised until that holds for their codes too. Signs are
+taken without centring where that costs less. Chunk
+width grows with the logarithm of the number of vectors and is less where many tables cost
+more than larger buckets. Links that are found have the threshold cosine exactly.
 
 Buckets are cut into blocks of at most `block` vectors, and each pair of blocks is one group,
 so a bucket that holds a third of all vectors is many tasks. A group returns counts and a few
@@ -37,9 +42,8 @@ from .common import components
 from .vectors import matrix, stored_kind, valid_vectors
 
 
-def rotation(sample: np.ndarray, bits: int, seed: int, rounds: int = 50) -> tuple[np.ndarray, np.ndarray]:
-    """Mean and projection (dimensions x bits) of the quantiser."""
-    mean = sample.mean(0)
+def rotation(sample: np.ndarray, mean: np.ndarray, bits: int, seed: int, rounds: int = 50) -> tuple[np.ndarray, np.ndarray]:
+    """Centre and projection (dimensions x bits) of the quantiser; without rounds the rotation is a random one."""
     centred = sample - mean
     _, vectors = np.linalg.eigh(centred.T @ centred)
     main = vectors[:, ::-1][:, :bits]
@@ -52,11 +56,63 @@ def rotation(sample: np.ndarray, bits: int, seed: int, rounds: int = 50) -> tupl
     return mean, main @ turn
 
 
-def plan(rows: int, threshold: float, recall: float, bits: int) -> tuple[int, int]:
-    """Width of a chunk and number of tables."""
-    width = min(bits, 30, max(6, int(math.log2(max(rows, 2) / 128) + 0.5)))
-    meet = (1 - math.acos(threshold) / math.pi) ** width
-    return width, max(1, math.ceil(math.log(1 - recall) / math.log(1 - meet)))
+def threshold_pairs(units: np.ndarray, threshold: float, most: int = 2_000, seed: int = 11) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of unit vectors of each kind that recall is promised for."""
+    random = np.random.default_rng(seed)
+    u = units[random.permutation(len(units))[:most]]
+    kinds = []
+    for towards in (random.normal(size=u.shape), units[random.integers(len(units), size=len(u))]):
+        aside = towards - (towards * u).sum(1)[:, None] * u
+        size = np.sqrt((aside * aside).sum(1))[:, None]
+        held = size[:, 0] > 1e-6
+        if held.any():
+            kinds.append((u[held], threshold * u[held] + math.sqrt(max(0.0, 1 - threshold * threshold)) * aside[held] / size[held]))
+    i, j = [], []
+    for at in range(0, len(u), 250):
+        near = u[at:at + 250] @ units.T
+        a, b = np.nonzero((near >= threshold) & (near < 1 - 1e-9))
+        if len(a) > most // 4:
+            chosen = random.permutation(len(a))[:most // 4]
+            a, b = a[chosen], b[chosen]
+        i.append(a + at)
+        j.append(b)
+    i, j = np.concatenate(i), np.concatenate(j)
+    if len(i):
+        kinds.append((u[i], units[j]))
+    return kinds
+
+
+def agreement(a: np.ndarray, b: np.ndarray, mean: np.ndarray) -> np.ndarray:
+    """Chance of each pair to agree in a bit."""
+    a, b = a - mean, b - mean
+    size = np.sqrt((a * a).sum(1) * (b * b).sum(1))
+    return 1 - np.arccos(np.clip((a * b).sum(1) / np.maximum(size, 1e-30), -1, 1)) / math.pi
+
+
+def plan(rows: int, recall: float, bits: int, kinds: list[np.ndarray], others: np.ndarray) -> tuple[float, int, int]:
+    """Cost, width of a chunk and number of tables, from the chance to agree in a bit of pairs at the threshold and of any two vectors."""
+
+    def tables_of(width: int) -> float:
+        high = 1
+        enough = lambda n: all(((1 - p**width) ** n).mean() <= 1 - recall for p in kinds)
+        while not enough(high):
+            high *= 2
+            if high > 1 << 20:
+                return math.inf
+        low = high // 2
+        while high - low > 1:
+            mid = (low + high) // 2
+            low, high = (low, mid) if enough(mid) else (mid, high)
+        return high
+
+    widest = min(bits, 30, max(6, int(math.log2(max(rows, 2) / 128) + 0.5)))
+    planned = [(width, tables_of(width)) for width in range(widest, 0, -1)]
+    return min((tables * (128 + rows * float((others**width).mean())), width, tables) for width, tables in planned)
+
+
+def share_met(pairs, quantisers, width: int, tables: int) -> float:
+    """Share of the pairs whose codes agree in a table, for the kind with the least."""
+    return min((float((chunk_codes(a, quantisers, width, tables) == chunk_codes(b, quantisers, width, tables)).any(1).mean()) for a, b in pairs), default=1.0)
 
 
 def chunk_codes(units: np.ndarray, quantisers, width: int, tables: int) -> np.ndarray:
@@ -124,9 +180,17 @@ def link_vectors(df: DataFrame, threshold: float = 0.9, recall: float = 0.97, sa
         x = matrix([bytes(r["vec"]) for r in drawn.toLocalIterator()] or [b"\0" * size], kind)
         norm = np.sqrt((x * x).sum(1))[:, None]
         units = x / np.where(norm == 0, 1, norm)
-        width, tables = plan(rows, threshold, recall, bits=size // wide)
+        pairs, plans = threshold_pairs(units, threshold), []
+        # Without centring no pair at the threshold is torn apart, but buckets are uneven.
+        for centre in (units.mean(0), np.zeros(units.shape[1])):
+            others = agreement(units, np.roll(units, 1, 0), centre)
+            plans.append((plan(rows, recall, size // wide, [agreement(a, b, centre) for a, b in pairs], others), centre))
+        (_, width, tables), centre = min(plans, key=lambda x: x[0][0])
         per_rotation = max(1, (size // wide) // width)
-        quantisers = [rotation(units, size // wide, seed) for seed in range(-(-tables // per_rotation))]
+        quantisers = [rotation(units, centre, size // wide, seed) for seed in range(-(-tables // per_rotation))]
+        while share_met(pairs, quantisers, width, tables) < recall:
+            quantisers.append(rotation(units, centre, size // wide, len(quantisers), rounds=0))
+            tables = len(quantisers) * per_rotation
         links.append(_links_of(mine, quantisers, width, tables, threshold, block, kind))
     found = links[0]
     for one in links[1:]:

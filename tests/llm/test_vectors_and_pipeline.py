@@ -81,3 +81,21 @@ def test_pipeline_stages(spark, corpus, tmp_path):
 def test_held_out_share(spark):
     ids = spark.range(1000).withColumnRenamed("id", "doc_id")
     assert 150 < ids.filter(toxicity.held_out("doc_id", 5, 0)).count() < 250
+
+
+def test_vector_links_far_from_the_origin(spark):
+    rng = np.random.default_rng(3)
+    common = np.zeros(64)
+    common[0] = 14
+    near = rng.normal(size=(900, 64)) + common
+    near /= np.linalg.norm(near, axis=1)[:, None]
+    aside = rng.normal(size=near.shape)
+    aside -= (aside * near).sum(1)[:, None] * near
+    other = 0.902 * near + np.sqrt(1 - 0.902**2) * aside / np.linalg.norm(aside, axis=1)[:, None]
+    x = np.concatenate([near, other])
+    df = spark.createDataFrame([(i, [float(a) for a in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    want = int((x @ x.T >= 0.9).sum()) - len(x)
+    got = sum(r["n_links"] for r in vector_dedup.link_vectors(df).collect())
+    assert 0.97 * want <= got <= want
+    few = spark.createDataFrame([(1, [1.0, 1.0, 0.1]), (2, [1.0, 1.0, -0.1])], "vec_id long, embedding array<double>")
+    assert [r["n_links"] for r in vector_dedup.link_vectors(few).collect()] == [1, 1]

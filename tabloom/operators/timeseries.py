@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..columns import date_column, int_list, last_numeric
 from ..functions.dates import as_timestamp, calendar, future_steps, step_interval
 from .impute import fill_rest
-from .ordered import MAX_TASK_ROWS, bounded_window, fill_ordered, sort_keys
+from .ordered import MAX_TASK_ROWS, arrange, bounded_window, fill_arranged, sort_keys, window_arranged
 
 DEFAULT_LAGS = "1, 2, 3, 7, 14"
 DEFAULT_WINDOWS = "7, 14"
@@ -36,7 +36,8 @@ def lag_features(
     """Lags, and mean and sample deviation of the previous `w` rows, in date order per series.
 
     `fill="backfill"` takes the next known value for every null, then 0; `"none"`
-    leaves the nulls. `tie_break` orders rows of the same date.
+    leaves the nulls. `tie_break` orders rows of the same date; what it leaves equal follows
+    a hash of the row. All steps share one count and, for large series, one set of ranges.
     """
     date = date_column(df, date)
     target = last_numeric(df, target, exclude=[date]) or df.columns[-1]
@@ -53,15 +54,15 @@ def lag_features(
             out[f"{target}_roll_std_{size}"] = F.coalesce(F.stddev_samp(y).over(before), F.lit(0.0))
         return out
 
-    out = bounded_window(parsed, build, max([*lags, *windows, 0]), order, partition_by, max_task_rows=max_task_rows)
+    rows = arrange(parsed, order, partition_by, max_task_rows)
+    out = window_arranged(rows, build, max([*lags, *windows, 0]))
     if include_calendar_features:
         out = out.withColumns(calendar(F.col(f"`{date}`")))
     if fill == "backfill":
-        names = [c for c in out.columns if c not in (*order, *partition_by)]
+        names = [c for c in rows.over(out).plain().columns if c not in (*order, *partition_by)]
         nullable = [c for c in names if not c.startswith("cal_is") and "_roll_std_" not in c]
-        out = fill_ordered(out, nullable, order, partition_by, "backward", max_task_rows=max_task_rows)
-        out = fill_rest(out, 0, names)
-    return out
+        out = fill_rest(fill_arranged(rows.over(out), nullable, "backward"), 0, names)
+    return rows.over(out).plain()
 
 
 def sorted_by_date(df: DataFrame, date: str, tie_break: Sequence[str] = ()) -> DataFrame:

@@ -160,3 +160,33 @@ def test_guard(spark):
     assert guard.guard(constant).agg(F.sum("is_outlier")).first()[0] == 0
     report = {r["column"]: r for r in guard.guard_report(df, guard.fit_bounds(df)).collect()}
     assert report["*"].outliers == report["amount"].outliers == 1 and report["*"].outlier_percentage == 1.89
+
+
+def test_equal_orders_and_repeated_rows_are_split(spark):
+    """A date, and a row, that fill most of the table are cut into ranges; sizes follow max_task_rows, not the shuffle setting."""
+    rows = [(1, 7, i % 5) for i in range(3000)] + [(1, 7, 99)] * 2000 + [(None, i, i) for i in range(1000)]
+    df = spark.createDataFrame(rows, "k int, t int, x int")
+    cut = ordered.arrange(df, ["t"], ["k"], 15)
+    sizes = [r["count"] for r in cut.df.groupBy("_chunk").count().collect()]
+    assert cut.ranges == 400 and len(sizes) > 350 and max(sizes) < 60 and sum(sizes) == 6000
+    got = ordered.row_position(df, ["t"], ["k"], max_task_rows=15).groupBy("k").agg(
+        F.count_distinct("_position").alias("n"), F.max("_position").alias("top"), F.count("x").alias("rows"))
+    assert {r["k"]: (r["n"], r["top"], r["rows"]) for r in got.collect()} == {1: (5000, 4999, 5000), None: (1000, 999, 1000)}
+
+
+def test_ties_do_not_depend_on_layout(spark):
+    rows = [(i % 3, (i * 7) % 4, None if i % 3 else i) for i in range(300)]
+    df = spark.createDataFrame(rows, "k int, t int, v int").withColumn("id", F.col("v") * 2)
+    def filled(parts, limit):
+        got = impute.impute(df.repartition(parts), "ffill", ["v"], order_by=["t"], max_task_rows=limit)
+        return sorted((r.k, r.t, str(r.v), str(r.id)) for r in got.collect())
+    assert filled(2, 10**6) == filled(7, 10**6) == filled(5, 20)
+
+
+def test_borders_in_groups_equal_one_array(spark):
+    df = spark.createDataFrame([(None if i % 17 == 0 else (i * 37) % 501, i) for i in range(2000)], "a int, b int")
+    one = ordered.range_chunks(df, ["a", "b"], 60).toPandas()
+    two = ordered.range_chunks(df, ["a", "b"], 60, max_array=8).toPandas()
+    both = one.merge(two, on="b")
+    assert both.groupby("_chunk_x")["_chunk_y"].nunique().max() == 1 and both.groupby("_chunk_y")["_chunk_x"].nunique().max() == 1
+    assert both.sort_values("_chunk_x")["_chunk_y"].is_monotonic_increasing and both["_chunk_x"].nunique() > 50

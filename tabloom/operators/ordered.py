@@ -76,14 +76,14 @@ def _row_hash(df: DataFrame) -> Column:
     return F.xxhash64(F.lit(0), *[_col(f.name) for f in df.schema.fields if _hashable(f.dataType)])
 
 
-def border_table(df: DataFrame, names: Sequence[str], chunks: int) -> DataFrame:
-    """Written table `(number, border)`: the first row of each range but the first, by sample.
+def border_table(df: DataFrame, names: Sequence[str], chunks: int, rows: int | None = None) -> tuple[DataFrame, int]:
+    """Written table `(number, border)`, the first row of each range but the first, by sample; and its rows.
 
     The sample has some `SAMPLES_PER_CHUNK` rows per range; it is sorted by Spark and the
     borders are picked by position, so it never meets in the driver.
     """
     slim = df.select(*[_col(n) for n in names])
-    rows = slim.count()
+    rows = slim.count() if rows is None else rows
     share = min(1.0, chunks * SAMPLES_PER_CHUNK / max(rows, 1))
     sample = slim if share == 1.0 else slim.sample(fraction=share, seed=17)
     ordered = written_table(sample.orderBy(*sort_keys(names)).withColumn("_id", F.monotonically_increasing_id()), "sample")
@@ -97,23 +97,23 @@ def border_table(df: DataFrame, names: Sequence[str], chunks: int) -> DataFrame:
     number = F.floor(position * chunks / max(total, 1)).cast("long")
     before = F.floor((position - 1) * chunks / max(total, 1)).cast("long")
     picked = ordered.filter((position > 0) & (number > before))
-    return written_table(picked.select(number.alias("number"), _sortable(names).alias("border")), "borders")
+    borders = written_table(picked.select(number.alias("number"), _sortable(names).alias("border")), "borders")
+    return borders, max(0, min(chunks, total) - 1)
 
 
-def _count_below(value: Column, borders: Column, size: Column, most: int) -> Column:
-    """How many of the sorted borders (`size` of them, `most` at most) are smaller than `value`, by binary search."""
+def _with_place(df: DataFrame, borders: str, size: Column, most: int, name: str) -> DataFrame:
+    """Add how many of the row's sorted `borders` (`size` of them, `most` at most) are smaller than `_value`.
 
-    def halve(state, _):
-        open_ = state["lo"] < state["hi"]
-        mid = F.shiftright(state["lo"] + state["hi"], 1)
-        below = open_ & (F.get(borders, mid) < value)
-        return F.struct(
-            F.when(below, mid + 1).otherwise(state["lo"]).alias("lo"),
-            F.when(open_ & ~below, mid).otherwise(state["hi"]).alias("hi"),
-        )
-
-    rounds = F.array(*[F.lit(i) for i in range(most.bit_length())])
-    return F.aggregate(rounds, F.struct(F.lit(0).alias("lo"), size.alias("hi")), halve, lambda s: s["lo"])
+    Binary search by halving steps, a projection each, so that it stays in generated code. The
+    place ends in a term that is always 0 but counts as not deterministic: without it a filter
+    on the place would be pushed through the projections, which triples its size in each.
+    """
+    df = df.withColumn(name, F.lit(0))
+    for step in (1 << k for k in reversed(range(most.bit_length()))):
+        ahead = F.col(name) + step
+        below = (ahead <= size) & (F.get(F.col(borders), ahead - 1) < F.col("_value"))
+        df = df.withColumn(name, F.col(name) + F.when(below, step).otherwise(0))
+    return df.withColumn(name, (F.col(name) + F.least(F.monotonically_increasing_id(), F.lit(0))).cast("long"))
 
 
 def _in_order(table: DataFrame, number: str) -> DataFrame:
@@ -122,32 +122,31 @@ def _in_order(table: DataFrame, number: str) -> DataFrame:
     return table.agg(F.transform(listed, lambda x: x["border"]).alias("b"))
 
 
-def range_chunks(df: DataFrame, names: Sequence[str], chunks: int, max_array: int = MAX_ARRAY) -> DataFrame:
+def range_chunks(df: DataFrame, names: Sequence[str], chunks: int, max_array: int = MAX_ARRAY, rows: int | None = None) -> DataFrame:
     """Add `_chunk`, a number that grows with the row's range in the order of `names`.
 
     Up to `max_array` borders are searched as one array. Beyond that only the heads of
     groups of `max_array` borders are, and the rows meet the other borders of their group
     by a join on the group.
     """
-    borders = border_table(df, names, chunks) if chunks > 1 else None
-    n = borders.count() if borders is not None else 0
+    borders, n = border_table(df, names, chunks, rows) if chunks > 1 else (None, 0)
     if n == 0:
         return df.withColumn(CHUNK, F.lit(0).cast("long"))
-    value, array = _sortable(names), F.col("_borders")
+    valued = df.withColumn("_value", _sortable(names))
     if n <= max_array:
-        held = df.withColumn("_borders", _in_order(borders, "number").scalar())
-        return held.withColumn(CHUNK, _count_below(value, array, F.lit(n), n).cast("long")).drop("_borders")
+        held = valued.withColumn("_borders", _in_order(borders, "number").scalar())
+        held = _with_place(held, "_borders", F.lit(n), n, CHUNK)
+        return held.drop("_borders", "_value")
     grouped = borders.withColumn("_g", F.floor(F.col("number") / max_array).cast("long"))
     heads = grouped.groupBy("_g").agg(F.min("border").alias("border"))
     count = heads.count()
     numbered = heads.withColumn("_head", F.row_number().over(Window.orderBy("_g"))).select("_g", "_head")
     listed = F.transform(F.array_sort(F.collect_list(F.struct("number", "border"))), lambda x: x["border"])
     fine = grouped.groupBy("_g").agg(listed.alias("_fine")).join(numbered, "_g").select("_head", "_fine")
-    held = df.withColumn("_borders", _in_order(heads, "_g").scalar())
-    held = held.withColumn("_head", _count_below(value, array, F.lit(count), count)).drop("_borders").join(fine, "_head", "left")
-    inside = _count_below(value, F.col("_fine"), F.size("_fine"), max_array)
-    chunk = F.when(F.col("_head") == 0, 0).otherwise((F.col("_head") - 1).cast("long") * (max_array + 1) + inside)
-    return held.withColumn(CHUNK, chunk.cast("long")).drop("_head", "_fine")
+    held = _with_place(valued.withColumn("_borders", _in_order(heads, "_g").scalar()), "_borders", F.lit(count), count, "_head")
+    held = _with_place(held.drop("_borders").join(fine, "_head", "left"), "_fine", F.size("_fine"), max_array, "_inside")
+    chunk = F.when(F.col("_head") == 0, 0).otherwise((F.col("_head") - 1) * (max_array + 1) + F.col("_inside"))
+    return held.withColumn(CHUNK, chunk.cast("long")).drop("_head", "_fine", "_inside", "_value")
 
 
 @dataclass(frozen=True)
@@ -182,7 +181,7 @@ def arrange(df: DataFrame, order: Sequence[str], keys: Sequence[str] = (), max_t
     numbered = written_table(tied.withColumn(ROW, F.monotonically_increasing_id()), "rows")
     total = (*order, TIE, ROW)
     ranges = -(-rows // max_task_rows)
-    return Arranged(range_chunks(numbered, [*keys, *total], ranges), total, tuple(keys), ranges, max_task_rows)
+    return Arranged(range_chunks(numbered, [*keys, *total], ranges, rows=rows), total, tuple(keys), ranges, max_task_rows)
 
 
 def _attach(chunked: DataFrame, carried: DataFrame, keys: Sequence[str], ranges: int) -> DataFrame:

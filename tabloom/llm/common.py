@@ -64,3 +64,14 @@ def components(edges: DataFrame) -> DataFrame:
         state = (row["n"], row["h"])
     roots = current.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return current.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
+
+
+def spread_join(rows: DataFrame, table: DataFrame, keys: list[str], spread_by: list[str], salts: int = 32) -> DataFrame:
+    """Inner join to a table with one row per key, nulls matching nulls; a key's rows are dealt to `salts` groups by hash."""
+    copies = table.select(*[F.col(k).alias(f"_k_{k}") for k in keys], *[c for c in table.columns if c not in keys],
+                          F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_copy"))
+    same = F.col("_salt") == F.col("_copy")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int"))
+    return salted.join(copies, same).drop("_salt", "_copy", *[f"_k_{k}" for k in keys])

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import language, packing, pieces, pii, sharding, shingle_join, toxicity, urls, vector_dedup, vector_search
+from . import (language, packing, pieces, pii, sharding, shingle_join, source_mix, toxicity, turn_trie, urls, vector_codes, vector_dedup,
+               vector_search)
 from .common import read
 
 
@@ -57,6 +58,20 @@ def op10_toxicity(spark, sf):
     return scores.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op11_turn_trie(spark, sf):
+    return turn_trie.prefix_trie(read(spark, sf, "conversations"))
+
+
+def op12_vector_codes(spark, sf):
+    return vector_codes.vector_codes(read(spark, sf, "embeddings"))
+
+
+def op13_source_mix(spark, sf):
+    return source_mix.mix_documents(read(spark, sf, "documents"))
+
+
 QUERIES = {q.__name__: q for q in (op1_pii, op2_ngram_join, op3_language_id, op4_url_filter, op5_vector_dedup, op6_packing,
-                                   op7_sentencepiece, op8_nearest, op9_sharding, op10_toxicity)}
-SQL = {"op4_url_filter": urls.url_sql()}
+                                   op7_sentencepiece, op8_nearest, op9_sharding, op10_toxicity, op11_turn_trie, op12_vector_codes,
+                                   op13_source_mix)}
+SQL = {"op4_url_filter": urls.url_sql(), "op11_turn_trie": turn_trie.trie_sql(), "op12_vector_codes": vector_codes.codes_sql(),
+       "op13_source_mix": source_mix.mix_sql()}

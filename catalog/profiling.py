@@ -4,7 +4,7 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
-from tabloom.operators import profile, recommend
+from tabloom.operators import orderstats, profile, recommend
 from tabloom.plans.audit import audit_workflows
 
 from .base import EVENTS_NULLS, events_nulls, query, table
@@ -49,6 +49,17 @@ def profile_numeric(spark, sf):
         "p25", "median", "p75", "max", "zeros_count", "negative_count")
 
 
+@query("order_statistics", " UNION ALL ".join(f"""
+    SELECT '{c}' AS name, count({c}) AS known, count(DISTINCT {c}) AS "distinct", quantile_cont({c}::DOUBLE, 0.01) AS p01,
+      quantile_cont({c}::DOUBLE, 0.5) AS p50, quantile_cont({c}::DOUBLE, 0.999) AS p999, mode_row.mode, mode_row.mode_count
+    FROM lineitem, (SELECT {c}::DOUBLE AS mode, count(*) AS mode_count FROM lineitem WHERE {c} IS NOT NULL GROUP BY {c}
+      ORDER BY count(*) DESC, {c} LIMIT 1) mode_row GROUP BY ALL""" for c in _LINE))
+def order_statistics(spark, sf):
+    found = orderstats.order_statistics(table(spark, sf, "lineitem"), list(_LINE), [0.01, 0.5, 0.999])
+    q = F.col("quantiles")
+    return found.select("name", "known", "distinct", q[0].alias("p01"), q[1].alias("p50"), q[2].alias("p999"), "mode", "mode_count")
+
+
 def _top(column, tbl):
     return f"""SELECT '{column}' AS "column", CAST(rank AS INTEGER) AS rank, value, n, round_even(n / total::DOUBLE * 100.0::DOUBLE, 2) AS percentage
       FROM (SELECT {column} AS value, count(*) AS n, (SELECT count(*) FROM {tbl}) AS total,

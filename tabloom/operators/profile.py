@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from ..columns import is_datetime, is_numeric
 from ..functions.numeric import nan_to_null, percent
+from .orderstats import OrderStatistics
 from .quantiles import exact_quantiles, top_values, value_counts
 
 # Rules for the inferred column type, and parts of the quality score.
@@ -104,7 +105,7 @@ def _even(x: float, digits: int) -> float:
     return float(np.round(x, digits))
 
 
-def inferred_type(dtype: T.DataType, known: int, unique: int) -> str:
+def inferred_type(dtype: T.DataType, known: int, unique: int | None) -> str:
     if isinstance(dtype, T.BooleanType):
         return "boolean"
     if is_numeric(dtype):
@@ -118,35 +119,8 @@ def inferred_type(dtype: T.DataType, known: int, unique: int) -> str:
     return "text"
 
 
-def _level_summary(df: DataFrame, names: Sequence[str], k: int) -> dict[str, tuple[int, list[tuple[int, str]]]]:
-    """Distinct values and the `k` most frequent ones per column, in one pass.
-
-    Values are ranked in 256 salted parts per column first: no task sees a whole column.
-    """
-    order = [F.col("n").desc(), F.col("value").asc()]
-    part = Window.partitionBy("column", "_salt")
-    ranked = (
-        value_counts(df, names).withColumn("_salt", F.pmod(F.xxhash64("value"), F.lit(256)))
-        .withColumn("_r", F.row_number().over(part.orderBy(*order)))
-        .withColumn("_part", F.count(F.lit(1)).over(part))
-        .filter(F.col("_r") <= k)
-    )
-    rows = ranked.groupBy("column").agg(
-        F.sum(F.when(F.col("_r") == 1, F.col("_part"))).alias("unique"),
-        F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), F.col("value").alias("v")))), 1, k).alias("top"),
-    ).collect()
-    return {r["column"]: (r["unique"], [(-t["m"], t["v"]) for t in r["top"]]) for r in rows}
-
-
-def column_profile(df: DataFrame, approximate: bool = False, quantiles: bool = True) -> DataFrame:
-    """One row per column: type, missing, distinct, numeric statistics or top values.
-
-    A fixed number of passes whatever the number of columns: one aggregate for counts
-    and moments, one for distinct numbers, the quantile search, and one count of values
-    for the other columns. With `approximate`, distinct counts and quantiles come from
-    sketches; without `quantiles` their columns stay null and their passes are saved.
-    """
-    spark = df.sparkSession
+def profile_lines(df: DataFrame, approximate: bool = False, quantiles: bool = True, distinct: Sequence[str] | None = None) -> tuple[int, list[dict]]:
+    """Rows of the table, and the lines of `column_profile`; each also says whether a number has a fraction (`fractional`)."""
     clean = nan_to_null(df, df.columns)
     fields = clean.schema.fields
     numeric = [f.name for f in fields if is_numeric(f.dataType)]
@@ -158,31 +132,31 @@ def column_profile(df: DataFrame, approximate: bool = False, quantiles: bool = T
             exprs.append(F.approx_count_distinct(c).alias(f"d{i}"))
         if is_numeric(f.dataType):
             x = c.cast("double")
-            exprs += [F.avg(x).alias(f"avg{i}"), F.stddev_samp(x).alias(f"sd{i}"), F.min(x).alias(f"lo{i}"),
-                      F.max(x).alias(f"hi{i}"), F.count_if(x == 0).alias(f"z{i}"), F.count_if(x < 0).alias(f"neg{i}")]
+            exprs += [F.avg(x).alias(f"avg{i}"), F.stddev_samp(x).alias(f"sd{i}"), F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}"),
+                      F.count_if(x == 0).alias(f"z{i}"), F.count_if(x < 0).alias(f"neg{i}"), F.bool_or(x % 1 != 0).alias(f"frac{i}")]
             if approximate:
                 exprs.append(F.percentile_approx(x, [0.25, 0.5, 0.75]).alias(f"q{i}"))
     s = clean.agg(*exprs).first()
     rows = s["rows"]
     if rows == 0:
-        return spark.createDataFrame([], COLUMN_SCHEMA)
-    counted = [f.name for f in fields if not is_numeric(f.dataType)]
-    levels = _level_summary(clean, counted, TOP_K) if counted else {}
-    if numeric and not approximate:
-        distinct = clean.agg(*[F.count_distinct(F.col(f"`{n}`")).alias(f"d{i}") for i, n in enumerate(numeric)]).first()
-        levels.update({n: (distinct[f"d{i}"], []) for i, n in enumerate(numeric)})
-    quartiles = {} if approximate or not quantiles else exact_quantiles(clean, {n: [0.25, 0.5, 0.75] for n in numeric})
+        return 0, []
+    others = [f.name for f in fields if not is_numeric(f.dataType)]
+    exact = [] if approximate else [n for n in numeric if quantiles or distinct is None or n in distinct]
+    stats = OrderStatistics(clean, [*others, *exact], in_order=quantiles or not approximate and distinct is None)
+    tops = stats.top(TOP_K, others) if stats.table is not None else {}
+    quartiles = stats.quantiles({n: [0.25, 0.5, 0.75] for n in exact}) if quantiles else {}
     out = []
     for i, f in enumerate(fields):
         known = s[f"n{i}"]
-        unique, top = levels.get(f.name, (0, []))
+        unique, top = stats.distinct.get(f.name), tops.get(f.name, [])
         if approximate:
             unique = s[f"d{i}"]
         kind = inferred_type(f.dataType, known, unique)
         line = {
             "position": i, "name": f.name, "inferred_type": kind, "raw_dtype": f.dataType.simpleString(),
             "null_count": rows - known, "null_percentage": round((rows - known) / rows * 100.0, 2),
-            "unique_count": unique, "cardinality_ratio": round(unique / rows, 4),
+            "unique_count": unique, "cardinality_ratio": None if unique is None else round(unique / rows, 4),
+            "fractional": bool(is_numeric(f.dataType) and s[f"frac{i}"]),
         }
         if kind == "numeric" and known:
             q = s[f"q{i}"] if approximate else quartiles.get(f.name)
@@ -196,8 +170,22 @@ def column_profile(df: DataFrame, approximate: bool = False, quantiles: bool = T
             line["mode"] = top[0][1]
             line["top_values"] = [(v, n, _even(n / rows * 100.0, 2)) for n, v in top]
         out.append(line)
+    return rows, out
+
+
+def column_profile(df: DataFrame, approximate: bool = False, quantiles: bool = True, distinct: Sequence[str] | None = None) -> DataFrame:
+    """One row per column: type, missing, distinct, numeric statistics or top values.
+
+    The table is read twice whatever the number of columns: one aggregate for counts and
+    moments, and one count of values, from which distinct counts, quartiles and top values
+    are taken (`orderstats`). With `approximate`, distinct counts and quantiles come from
+    sketches; without `quantiles` their columns stay null. `distinct` names the numeric
+    columns whose values are to be counted (default all): without quantiles the others'
+    distinct counts, and all top values, stay null and nothing is written.
+    """
     schema = T.StructType.fromDDL(COLUMN_SCHEMA)
-    return spark.createDataFrame([tuple(line.get(n) for n in schema.names) for line in out], schema)
+    _, lines = profile_lines(df, approximate, quantiles, distinct)
+    return df.sparkSession.createDataFrame([tuple(line.get(n) for n in schema.names) for line in lines], schema)
 
 
 def top_value_report(df: DataFrame, columns: Sequence[str], k: int = TOP_K) -> DataFrame:

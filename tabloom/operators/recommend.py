@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..columns import RECOMMENDER_TARGET_WORDS, is_numeric
-from .profile import column_profile
+from ..columns import RECOMMENDER_TARGET_WORDS, is_datetime
+from .profile import profile_lines
 
 TASKS = ("classification", "regression", "time_series_forecasting", "anomaly_detection")
 # Borders between a class label and a measured number.
@@ -34,9 +34,12 @@ def _task(kind: str, unique: int, rows: int, fractional: bool, has_date: bool) -
 
 
 def recommend(df: DataFrame, target_column: str | None = None, task_type: str | None = None, approximate: bool = False) -> dict:
-    """Target, task, profile summary and the list of preparation steps."""
-    profile = column_profile(df, approximate, quantiles=False).collect()
-    rows = df.count() if not profile else None
+    """Target, task, profile summary and the list of preparation steps.
+
+    Of the numeric columns only the target's distinct values are counted.
+    """
+    likely = choose_target(df.columns, [f.name for f in df.schema.fields if is_datetime(f.dataType)], target_column)
+    rows, profile = profile_lines(df, approximate, quantiles=False, distinct=[likely])
     columns = {r["name"]: r for r in profile}
     names = list(columns) or df.columns
     dates = [n for n, r in columns.items() if r["inferred_type"] == "datetime"]
@@ -44,19 +47,12 @@ def recommend(df: DataFrame, target_column: str | None = None, task_type: str |
     nums = [n for n, r in columns.items() if r["inferred_type"] == "numeric"]
     target = choose_target(names, dates, target_column)
     meta = columns.get(target)
-    y = F.col(f"`{target}`")
-    seen = df.agg(
-        F.count(F.lit(1)).alias("rows"),
-        (F.coalesce(F.bool_or(y.cast("double") % 1 != 0), F.lit(False)) if is_numeric(df.schema[target].dataType)
-         else F.lit(False)).alias("fractional"),
-    ).first()
-    rows = seen["rows"] if rows is None else rows
     if task_type in TASKS:
         task = task_type
     elif meta is None:
         task = "anomaly_detection"
     else:
-        task = _task(meta["inferred_type"], meta["unique_count"], rows, seen["fractional"], bool(dates))
+        task = _task(meta["inferred_type"], meta["unique_count"], rows, meta["fractional"], bool(dates))
     missing = sum(r["null_count"] for r in profile)
     steps = []
     if missing:

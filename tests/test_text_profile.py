@@ -1,10 +1,13 @@
 import math
+from decimal import Decimal
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from tabloom.functions import text as T
 from tabloom.operators import profile, recommend, vectorize
+from tabloom.operators.orderstats import OrderStatistics
 
 
 def _one(spark, value, expression):
@@ -118,3 +121,37 @@ def test_feature_schema(spark):
     rows = {r.name: r for r in profile.feature_schema(df).collect()}
     assert (rows["x"].min_value, rows["x"].median_value, rows["x"].default_value) == (1.23, 3.12, "3.12")
     assert rows["c"].allowed_categories == ["a", "b"] and rows["c"].default_value == "a"
+
+
+@pytest.mark.parametrize("parts", ["1", "9"])
+def test_order_statistics_equal_pandas(spark, parts):
+    n = 4000
+    rows = [(i % 7 if i % 5 else None, 2**60 + (i % 900) // 3, float("nan") if i % 11 == 0 else ((i * 7919) % 1013) / 7, f"v{i % 40}" if i % 3 else "hot",
+             Decimal(i % 50) / 8) for i in range(n)]
+    df = spark.createDataFrame(rows, "a int, b long, c double, d string, e decimal(20,3)").repartition(3)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        stats = OrderStatistics(df, df.columns)
+        qs = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
+        pdf = pd.DataFrame(rows, columns=list("abcde"))
+        for c in "ace":
+            want = pdf[c].astype(float).dropna()
+            assert stats.quantiles({c: qs})[c] == pytest.approx(want.quantile(qs).tolist(), abs=1e-9)
+            assert (stats.known[c], stats.distinct[c]) == (len(want), want.nunique())
+        assert stats.distinct["b"] == 300 and stats.distinct["d"] == 41
+        top = stats.top(2)
+        assert top["d"][0] == ((n + 2) // 3, "hot") and top["b"][0] == (15, str(2**60)) and top["a"][0][1] in "0123456"
+        assert sorted(top["a"], key=lambda t: (-t[0], t[1])) == top["a"]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
+def test_profile_has_no_expand_and_nulls_are_no_values(spark):
+    df = spark.createDataFrame([(None, None), (None, None)], "x double, s string")
+    got = {r.name: r for r in profile.column_profile(df).collect()}
+    assert got["x"].unique_count == 0 and got["x"].median is None and got["s"].inferred_type == "empty"
+    stats = OrderStatistics(spark.range(100).selectExpr("id AS a", "id % 3 AS b"), ["a", "b"])
+    assert stats.top(1)["b"] == [(34, "0")] and stats.quantiles({"a": [0.5]}) == {"a": [49.5]}

@@ -1,8 +1,10 @@
 """Scaling, encoding, splitting."""
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
-from tabloom.operators import encode, features, scale, split
+from tabloom.operators import encode, features, scale, split, stages, target_stats
+from tabloom.session import shared_folder
 
 from .base import EVENTS_NULLS, events_nulls, query, table
 
@@ -167,6 +169,65 @@ def split_stratified(spark, sf):
     return split.train_test_split(lab, ["doc_id"], 0.25, 7, stratify_by="quality")
 
 
+# Rows without a key: equal rows at the border fall on both sides.
+@query("split_repeated_rows", """
+    SELECT l_discount, l_linenumber, CASE WHEN row_number() OVER (ORDER BY md5(CAST(l_discount AS VARCHAR) || '|' || CAST(l_linenumber AS VARCHAR) || '|42'))
+        <= ceil((SELECT count(*) FROM lineitem) * 0.2) THEN 'test' ELSE 'train' END AS _split FROM lineitem""")
+def split_repeated_rows(spark, sf):
+    rows = table(spark, sf, "lineitem").select("l_discount", "l_linenumber")
+    return split.train_test_split(rows, rows.columns)
+
+
+# Thousands of classes: sizes and borders are tables.
+@query("split_many_classes", """
+    WITH r AS (SELECT o_orderkey, CAST(o_orderkey % 5500 AS VARCHAR) AS class FROM orders),
+      c AS (SELECT class, count(*) AS n FROM r GROUP BY 1),
+      t AS (SELECT sum(n) AS total, ceil(sum(n) * 0.25) AS k FROM c),
+      f AS (SELECT class, floor(n * k / total::DOUBLE) AS base, n * k / total::DOUBLE - floor(n * k / total::DOUBLE) AS rest, k FROM c, t),
+      z AS (SELECT class, base + CASE WHEN row_number() OVER (ORDER BY rest DESC, class) <= k - sum(base) OVER () THEN 1 ELSE 0 END AS size FROM f)
+    SELECT o_orderkey, r.class, CASE WHEN row_number() OVER (PARTITION BY r.class
+        ORDER BY md5(CAST(o_orderkey AS VARCHAR) || '|7')) <= size THEN 'test' ELSE 'train' END AS _split
+    FROM r JOIN z ON r.class = z.class""")
+def split_many_classes(spark, sf):
+    rows = table(spark, sf, "orders").select("o_orderkey", (F.col("o_orderkey") % 5500).cast("string").alias("class"))
+    return split.train_test_split(rows, ["o_orderkey"], 0.25, 7, stratify_by="class")
+
+
+_ORDER_NAMES = "(SELECT l_orderkey, l_linenumber, 'o' || l_orderkey AS name FROM lineitem)"
+_NAMED_CODES = f"""SELECT l_orderkey, l_linenumber, CAST(dense_rank() OVER (ORDER BY name) - 1 AS INTEGER) AS code FROM {_ORDER_NAMES}"""
+
+
+def _order_names(spark, sf):
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.concat(F.lit("o"), "l_orderkey").alias("code"))
+
+
+@query("target_many_classes", _NAMED_CODES)
+def target_many_classes(spark, sf):
+    rows = _order_names(spark, sf)
+    return split.apply_target(rows, split.fit_target(rows, "code"))
+
+
+# Saved, loaded, then applied: the map of all levels comes from the model's own folder.
+@query("saved_encoder", _NAMED_CODES)
+def saved_encoder(spark, sf):
+    rows, path = _order_names(spark, sf), shared_folder(spark, "model")
+    PipelineModel([stages.Encoder(config={"method": "label", "columns": ["code"]}).fit(rows)]).write().save(path)
+    return PipelineModel.load(path).transform(rows)
+
+
+# Each part's share of returned items: as many levels as there are parts.
+@query("target_stats", """
+    WITH r AS (SELECT l_orderkey, l_linenumber, l_partkey, CAST(l_returnflag = 'R' AS INTEGER) AS y FROM lineitem),
+      p AS (SELECT avg(y) AS prior FROM r), s AS (SELECT l_partkey, (sum(y) + any_value(prior)) / (count(*) + 1.0::DOUBLE) AS stat FROM r, p GROUP BY 1)
+    SELECT l_orderkey, l_linenumber, round(stat, 9) AS stat FROM r JOIN s USING (l_partkey)""")
+def target_stats_query(spark, sf):
+    rows = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").cast("string").alias("part"),
+                                               (F.col("l_returnflag") == "R").cast("int").alias("y"))
+    state = target_stats.fit_target_stats(rows, "y", ["part"], 2)
+    found = target_stats.apply_target_stats(rows, state)
+    return found.select("l_orderkey", "l_linenumber", F.round(F.col(target_stats.stat_names("part", state)[0]), 9).alias("stat"))
+
+
 @query("class_weights", """SELECT toxic, count(*) AS n,
     round((SELECT count(*) FROM labels) / (2.0::DOUBLE * count(*)), 6) AS weight FROM labels GROUP BY toxic""")
 def class_weights(spark, sf):

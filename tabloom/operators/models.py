@@ -12,19 +12,20 @@ from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier
-from pyspark.ml.feature import StringIndexer, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import shared_folder
-from . import encode, features as feature_prep
+from ..session import shared_folder, written_table
+from . import features as feature_prep
 from .split import apply_target, fit_target, with_class_weight
-from .stages import EncoderModel, FeatureModel, NativeCategoryModel
+from .stages import FeatureModel, NativeCategoryModel, TargetStatsModel, load_state, save_state
+from .target_stats import fit_target_stats, stat_names, training_stats
 
 FEATURES, WEIGHT = "_features", "_weight"
 DEEPEST = 30  # fixed value: the deepest tree of Spark ML
-NATIVE_LEVELS = 200  # more levels than this are replaced by their target mean
+NATIVE_BINS = 254  # split candidates of a column of the trees with native categories
 
 
 @dataclass
@@ -41,6 +42,16 @@ class TrainedModel:
     def classes(self) -> list[str] | None:
         return self.target.get("classes")
 
+    def save(self, path: str) -> None:
+        """The whole model below `path`: stages, learned tables, and how the target becomes a number."""
+        self.pipeline.write().save(f"{path}/pipeline")
+        plain = {k: getattr(self, k) for k in ("task", "label", "target", "feature_names", "importances", "ignored")}
+        save_state(SparkSession.active(), plain, f"{path}/model")
+
+    @classmethod
+    def load(cls, path: str) -> TrainedModel:
+        return cls(PipelineModel.load(f"{path}/pipeline"), **load_state(SparkSession.active(), f"{path}/model"))
+
     def predict(self, df: DataFrame) -> DataFrame:
         """`df` with prediction columns added; every original column is kept."""
         return self.pipeline.transform(df)
@@ -48,7 +59,7 @@ class TrainedModel:
     def label_rows(self, df: DataFrame) -> DataFrame:
         """The target as the model sees it; a class unseen in training counts as class 0."""
         out = apply_target(df, self.target)
-        if self.classes is not None:
+        if self.target.get("encoder"):
             out = out.withColumn(self.label, F.greatest(F.col(f"`{self.label}`"), F.lit(0)))
         return out
 
@@ -153,26 +164,15 @@ def without_summary(pipeline: PipelineModel, spark) -> PipelineModel:
     return PipelineModel([*pipeline.stages[:-1], type(learner).load(path)])
 
 
-def _native_stages(train: DataFrame, label: str) -> tuple[list, list[str]]:
-    """Categories split as categories; those with too many levels become their target mean."""
+def _native_rows(train: DataFrame, label: str, classes: int, seed: int) -> tuple[list, list[str], list[str], DataFrame]:
+    """Stages, inputs, the feature each input stands for, and the written training rows: categories as ordered target statistics."""
     state = feature_prep.fit_native_categories(train, [label])
-    stages: list = [NativeCategoryModel(state=state)]
-    inputs = list(state["numeric"])
-    cats = state["categories"]
-    if not cats:
-        return stages, inputs
-    sizes = train.agg(*[F.approx_count_distinct(f"`{c}`").alias(f"d{i}") for i, c in enumerate(cats)]).first()
-    many = [c for i, c in enumerate(cats) if sizes[f"d{i}"] > NATIVE_LEVELS]
-    if many:
-        filled = feature_prep.apply_native_categories(train, state)
-        stages.append(EncoderModel(state=encode.fit_encoder(filled, "target", many, target_column=label)))
-    for c in cats:
-        if c not in many:
-            # Unseen levels get an index of their own.
-            stages.append(StringIndexer(inputCol=c, outputCol=f"_index_{c}", handleInvalid="keep",
-                                        stringOrderType="alphabetAsc"))
-        inputs.append(c if c in many else f"_index_{c}")
-    return stages, inputs
+    prepared = NativeCategoryModel(state=state)
+    filled = prepared.transform(train)
+    stats = fit_target_stats(filled, label, state["categories"], classes)
+    rows = written_table(training_stats(filled, label, stats, classes, seed), "training")
+    inputs = [(n, n) for n in state["numeric"]] + [(s, c) for c in state["categories"] for s in stat_names(c, stats)]
+    return [prepared, TargetStatsModel(state=stats)], [i for i, _ in inputs], [f for _, f in inputs], rows
 
 
 def train_model(train: DataFrame, label: str, algorithm: str, config: dict | None = None) -> TrainedModel:
@@ -190,12 +190,16 @@ def train_model(train: DataFrame, label: str, algorithm: str, config: dict | Non
                     F.stddev_pop(F.col(f"`{label}`").cast("double")).alias("spread")).first()
     classes = int(seen["top"]) + 1 if task == "classification" and seen["top"] is not None else 0
 
+    fitted_stages: list = []
     if algorithm == "catboost_trainer":
-        stages, names = _native_stages(rows, label)
+        seed = int(c.get("random_state", c.get("random_seed", 42)))
+        fitted_stages, names, readable, rows = _native_rows(rows, label, classes, seed)
+        stages: list = []
     else:
         state = feature_prep.fit_features(rows, [label])
         # A missing number has no path in Spark's trees: it is read as 0.
         stages, names = [FeatureModel(state={**state, "fill": 0.0})], state["columns"]
+        readable = names
     stages.append(VectorAssembler(inputCols=names, outputCol=FEATURES, handleInvalid="error"))
 
     if algorithm == "random_forest_trainer":
@@ -206,7 +210,7 @@ def train_model(train: DataFrame, label: str, algorithm: str, config: dict | Non
         learner, ignored = _lightgbm(task, c, classes, seen["n"])
     elif algorithm == "catboost_trainer":
         learner = _boosted(task, c, classes, int(c.get("iterations", 100)), int(c.get("depth", 6)),
-                           maxBins=NATIVE_LEVELS + 56)
+                           maxBins=NATIVE_BINS)
         ignored = {}
     else:
         learner, ignored = _linear(task, c, classes, seen["n"], seen["spread"] or 1.0)
@@ -219,8 +223,11 @@ def train_model(train: DataFrame, label: str, algorithm: str, config: dict | Non
             rows = rows.withColumn(WEIGHT, F.when(F.col(f"`{label}`") == 1, float(c["scale_pos_weight"])).otherwise(1.0))
             learner.setWeightCol(WEIGHT)
     fitted = without_summary(Pipeline(stages=[*stages, learner]).fit(rows), train.sparkSession)
-    readable = [n.removeprefix("_index_") for n in names]
-    return TrainedModel(fitted, task, label, target, readable, _importances(fitted.stages[-1], readable), ignored)
+    importances: dict[str, float] = {}
+    for value, feature in zip(_importances(fitted.stages[-1], names).values(), readable):
+        importances[feature] = round(importances.get(feature, 0.0) + value, 4)
+    fitted = PipelineModel([*fitted_stages, *fitted.stages])
+    return TrainedModel(fitted, task, label, target, list(importances), importances, ignored)
 
 
 def importance_table(spark, trained: TrainedModel) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .models import TrainedModel, without_summary
-from .split import apply_target, fit_target
+from .split import apply_target, class_name, fit_target
 from .stages import Vectorizer
 
 
@@ -41,9 +41,9 @@ def score_batch(df: DataFrame, trained: TrainedModel) -> DataFrame:
     predicted = trained.predict(df.select("*", row))
     if trained.task != "classification":
         return predicted.select("_row.*", F.bround("prediction", 4).alias("Predicted_Value"))
-    return predicted.select(
-        "_row.*",
-        _decode(F.col("prediction"), trained.classes).alias("Predicted_Class"),
+    named = class_name(predicted, F.col("prediction"), trained.target, "Predicted_Class")
+    return named.select(
+        "_row.*", "Predicted_Class",
         F.bround(F.array_max(probabilities(predicted)) * 100.0, 2).alias("Confidence_Pct"),
     )
 

@@ -2,21 +2,86 @@
 and replayed on a batch or a stream inside a `PipelineModel`.
 
 A `FittedStep` keeps what was learned as one JSON-ready value; an `OperatorStep`
-learns nothing. Subclass either to add an operator.
+learns nothing. Subclass either to add an operator. Learned tables that are too large for
+such a value are folders named in it; saving copies them below the model's own folder, so
+a saved model needs nothing of the scratch space it was trained in.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model, Transformer
 from pyspark.ml.param import Param, Params
-from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
-from pyspark.sql import DataFrame
+from pyspark.ml.util import (DefaultParamsReadable, DefaultParamsReader, DefaultParamsWritable, DefaultParamsWriter, MLReader,
+                             MLWriter)
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..columns import resolve_columns
 from ..functions.text import clean_text
-from . import encode, features, guard, impute, isolation, sanitize, scale, vectorize
+from . import encode, features, guard, impute, isolation, sanitize, scale, target_stats, vectorize
+
+
+def _tables(value, found: list[dict]) -> list[dict]:
+    """Every part of a state that names a written table, in a fixed order."""
+    if isinstance(value, dict):
+        if isinstance(value.get("table"), str):
+            found.append(value)
+        for key in value:
+            _tables(value[key], found)
+    elif isinstance(value, list):
+        for part in value:
+            _tables(part, found)
+    return found
+
+
+def carry_tables(spark: SparkSession, state, path: str):
+    """A copy of the state whose tables have been copied below `path` and are named relative to it."""
+    copied = json.loads(json.dumps(state))
+    for i, (part, source) in enumerate(zip(_tables(copied, []), _tables(state, []))):
+        spark.read.parquet(source["table"]).write.parquet(f"{path}/tables/{i}")
+        part["table"] = f"tables/{i}"
+    return copied
+
+
+def find_tables(state, path: str):
+    """The state with its tables named by full path again."""
+    for part in _tables(state, []):
+        part["table"] = f"{path}/{part['table']}"
+    return state
+
+
+def save_state(spark: SparkSession, state, path: str) -> None:
+    text = json.dumps(carry_tables(spark, state, path))
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(f"{path}/state")
+
+
+def load_state(spark: SparkSession, path: str):
+    return find_tables(json.loads(spark.read.text(f"{path}/state", wholetext=True).first()["value"]), path)
+
+
+class _StepWriter(MLWriter):
+    def __init__(self, step):
+        super().__init__()
+        self.step = step
+
+    def saveImpl(self, path: str) -> None:  # noqa: N802
+        state = carry_tables(self.sparkSession, self.step.getOrDefault(self.step.state), path)
+        DefaultParamsWriter.saveMetadata(self.step, path, self.sparkSession, paramMap={"state": state})
+
+
+class _StepReader(MLReader):
+    def __init__(self, kind):
+        super().__init__()
+        self.kind = kind
+
+    def load(self, path: str):
+        metadata = DefaultParamsReader.loadMetadata(path, self.sparkSession)
+        step = self.kind(state=find_tables(metadata["paramMap"]["state"], path))
+        step._resetUid(metadata["uid"])
+        return step
 
 
 class OperatorStep(Transformer, DefaultParamsReadable, DefaultParamsWritable):
@@ -42,7 +107,7 @@ class OperatorStep(Transformer, DefaultParamsReadable, DefaultParamsWritable):
 
 
 class FittedStep(Model, DefaultParamsReadable, DefaultParamsWritable):
-    """What an operator learned; `state` is plain data."""
+    """What an operator learned; `state` is plain data, with large tables named by folder."""
 
     state = Param(Params._dummy(), "state", "learned values")
 
@@ -57,6 +122,13 @@ class FittedStep(Model, DefaultParamsReadable, DefaultParamsWritable):
     def _transform(self, dataset: DataFrame) -> DataFrame:
         return self.apply(dataset, self.getOrDefault(self.state))
 
+    def write(self):
+        return _StepWriter(self)
+
+    @classmethod
+    def read(cls):
+        return _StepReader(cls)
+
 
 class LearningStep(Estimator, DefaultParamsReadable, DefaultParamsWritable):
     """An operator that learns from the table; `fitted` names its `FittedStep`."""
@@ -164,6 +236,11 @@ class NativeCategoryModel(FittedStep):
         return features.apply_native_categories(df, state)
 
 
+class TargetStatsModel(FittedStep):
+    def apply(self, df, state):
+        return target_stats.apply_target_stats(df, state)
+
+
 class IsolationForestModel(FittedStep):
     def apply(self, df, state):
         return isolation.flag_anomalies(df, state)

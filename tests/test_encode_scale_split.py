@@ -98,3 +98,24 @@ def test_feature_preparation(spark):
     row = features.apply_features(new, {**state, "fill": 0.0}).first()
     assert (row.d_year, row.d_month, row.d_day, row.few_a, row.few_b, row.many, row.x) == (2024, 3, 5, 0, 0, -1, 0.0)
     assert set(state["columns"]) == {"d_year", "d_month", "d_day", "few_a", "few_b", "many", "x"}
+
+
+@pytest.mark.parametrize("limit", [10**6, 25])
+def test_repeated_rows_are_split_in_proportion(spark, limit):
+    df = spark.createDataFrame([("same", 1)] * 95 + [(f"r{i}", i) for i in range(5)], "a string, b int")
+    got = split.train_test_split(df, df.columns, 0.2, max_task_rows=limit)
+    assert {r["_split"]: r["count"] for r in got.groupBy("_split").count().collect()} == {"test": 20, "train": 80}
+    assert got.filter("a = 'same' AND _split = 'test'").count() >= 15 and got.columns == ["a", "b", "_split"]
+
+
+def test_split_of_thousands_of_classes(spark):
+    df = spark.range(18_000).select("id", (F.col("id") % 6000).cast("string").alias("y"))
+    got = split.train_test_split(df, ["id"], 1 / 3, stratify_by="y").filter("_split = 'test'").groupBy("y").count()
+    assert got.agg(F.count("*"), F.min("count"), F.max("count")).first()[:] == (6000, 1, 1)
+    fitted = split.fit_target(df, "y")
+    coded = split.apply_target(df, fitted)
+    assert fitted["classes"] is None and coded.select("y").distinct().count() == 6000
+    back = split.class_name(coded.join(df.withColumnRenamed("y", "was"), "id"), F.col("y"), fitted, "name")
+    assert back.filter("name <> was OR name IS NULL").count() == 0
+    weighted = split.with_class_weight(coded, "y")
+    assert weighted.select("_weight").distinct().collect() == [(1.0,)]

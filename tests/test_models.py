@@ -3,8 +3,8 @@ import pytest
 from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
-from tabloom.operators import evaluate, isolation, models, score, split, stages
-from tabloom.session import shared_folder
+from tabloom.operators import evaluate, isolation, models, score, split, stages, target_stats
+from tabloom.session import shared_folder, written_table
 
 
 @pytest.fixture(scope="module")
@@ -55,10 +55,11 @@ def test_native_categories_and_unseen_levels(spark):
     assert rows[1].Predicted_Class == "1" and len(rows) == 2
 
 
-def test_many_levels_become_target_means(spark):
+def test_many_levels_become_target_statistics(spark):
     df = spark.createDataFrame([(f"u{i % 300}", float(i % 300 > 150), float(i)) for i in range(900)], "u string, y double, x double")
     trained = models.train_model(df, "y", "catboost_trainer", {"task_type": "regression", "iterations": 5, "depth": 2})
-    assert trained.importances["u"] > 0.9
+    # The first row of a level has seen no target yet, so a third of the rows only know the overall mean.
+    assert trained.importances["u"] > 2 * trained.importances["x"]
     assert score.score_batch(spark.createDataFrame([("new", 1.0)], "u string, x double"), trained).count() == 1
 
 
@@ -150,3 +151,55 @@ def test_options_beyond_the_limits_are_listed(spark):
     assert models._forest("classification", {"label": "y", "max_depth": 40})[1] == {"max_depth": 40}
     assert models._xgboost("regression", {"label": "y", "max_depth": 31, "min_child_weight": 60}, 0, 100)[1] == {"max_depth": 31, "min_child_weight": 60}
     assert models._lightgbm("regression", {"label": "y", "max_depth": 9}, 0, 100)[1] == {}
+
+
+def test_ordered_statistics_equal_a_loop(spark):
+    rng = np.random.default_rng(4)
+    rows = [(f"c{rng.integers(5)}" if i % 6 else "hot", float(i % 13), int(rng.integers(3))) for i in range(400)]
+    df = spark.createDataFrame(rows, "c string, x double, y int")
+    state = target_stats.fit_target_stats(df, "y", ["c"], 3)
+    whole = target_stats.training_stats(df.withColumn("id", F.monotonically_increasing_id()), "y", state, 3).collect()
+    cut = target_stats.training_stats(df.withColumn("id", F.monotonically_increasing_id()), "y", state, 3, max_task_rows=15).collect()
+    key = lambda r: (r.c, r.x, r.id, r.y)
+    assert [[round(v, 9) for v in r[-2:]] for r in sorted(whole, key=key)] == [[round(v, 9) for v in r[-2:]] for r in sorted(cut, key=key)]
+    draw = {r.id: r.h for r in df.withColumn("id", F.monotonically_increasing_id()).select("id", F.xxhash64(F.lit(42), "c", "x", "id").alias("h")).collect()}
+    seen: dict = {}
+    prior = [np.mean([r[2] == k for r in rows]) for k in (1, 2)]
+    for r in sorted(whole, key=lambda r: draw[r.id]):
+        n, totals = seen.get(r.c, (0, [0, 0]))
+        assert [r["_stat_c_0"], r["_stat_c_1"]] == pytest.approx([(t + p) / (n + 1) for t, p in zip(totals, prior)])
+        seen[r.c] = (n + 1, [totals[0] + (r.y == 1), totals[1] + (r.y == 2)])
+
+
+def test_native_categories_of_any_number_of_levels(spark):
+    """One rule from three levels to 100,000; a category that says nothing about the label leaks nothing."""
+    df = spark.range(100_000).select(
+        F.concat(F.lit("u"), "id").alias("unique_id"), F.element_at(F.array(F.lit("a"), F.lit("b"), F.lit("c")), (F.col("id") % 3 + 1).cast("int")).alias("kind"),
+        (F.when(F.rand(3) < 0.9, F.col("id") % 3).otherwise(F.floor(F.rand(5) * 3))).cast("int").alias("y"))
+    df = written_table(df, "levels")
+    trained = models.train_model(df, "y", "catboost_trainer", {"iterations": 3, "depth": 2})
+    assert trained.importances["kind"] > 0.9 and trained.importances["unique_id"] < 0.1
+    stats = trained.pipeline.stages[1].getOrDefault("state")
+    assert stats["columns"]["unique_id"]["rows"] == 100_000 and len(stats["prior"]) == 2
+    new = score.score_batch(spark.createDataFrame([("new", "b")], "unique_id string, kind string"), trained).first()
+    assert new.Predicted_Class == "1"
+
+
+def test_saved_model_carries_its_tables(spark):
+    """Maps of thousands of levels live in scratch folders: the saved model must not need them."""
+    df = spark.range(12_000).select(F.concat(F.lit("k"), F.col("id") % 6000).alias("c"), (F.col("id") % 7).cast("double").alias("x"),
+                                    (F.col("id") % 2).cast("double").alias("y"))
+    encoder = stages.Encoder(config={"method": "label"}).fit(df.select("c"))
+    trained = models.train_model(df, "y", "catboost_trainer", {"task_type": "regression", "iterations": 2, "depth": 2})
+    scratch = [encoder.getOrDefault("state")["steps"]["c"], trained.pipeline.stages[1].getOrDefault("state")["columns"]["c"]]
+    new = df.limit(50)
+    want = [encoder.transform(new.select("c")).collect(), score.score_batch(new, trained).collect()]
+    prep, model = shared_folder(spark, "saved"), shared_folder(spark, "saved")
+    PipelineModel([encoder]).write().save(prep)
+    trained.save(model)
+    again = models.TrainedModel.load(model)
+    loaded = [PipelineModel.load(prep).stages[0].getOrDefault("state")["steps"]["c"], again.pipeline.stages[1].getOrDefault("state")["columns"]["c"]]
+    for was, now, folder in zip(scratch, loaded, (prep, model)):
+        assert not was["table"].startswith(folder) and now["table"].startswith(folder)
+    assert again.importances == trained.importances
+    assert [PipelineModel.load(prep).transform(new.select("c")).collect(), score.score_batch(new, again).collect()] == want

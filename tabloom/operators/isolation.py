@@ -1,8 +1,10 @@
 """Isolation forest (Liu, Ting, Zhou 2008) grown and scored in parallel.
 
-Each tree sees at most 256 rows, whatever the size of the table, so a tree is a
+Each tree sees at most `sample_size` rows, whatever the size of the table, so a tree is a
 small task and the whole forest a table of a few tens of thousands of nodes. Trees
 grow in parallel, one per group; rows are scored in Arrow batches without a shuffle.
+Samples are the smallest draws of a hash per row and tree, so a forest does not depend on
+the order or partitions of the table.
 """
 
 from __future__ import annotations
@@ -12,17 +14,21 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..columns import is_numeric
 from ..functions.numeric import nan_to_null, percent, risk_band, sigmoid_risk, verdict
-from .encode import apply_encoder, fit_encoder
+from ..session import written_table
+from .encode import ONE_HOT_LEVELS, apply_encoder, fit_encoder
 from .impute import fit_fills
+from .orderstats import OrderStatistics
 from .quantiles import exact_quantiles
 
-SAMPLE_SIZE = 256  # fixed value: rows per tree
+SAMPLE_SIZE = 256  # rows per tree of the published method
+HASH_BUCKETS = 64  # 0/1 columns of a text with many levels
 EULER = 0.5772156649015329
 NODE_SCHEMA = "tree int, node int, feature int, threshold double, left int, right int, depth_value double"
 
@@ -60,36 +66,85 @@ def _grow(tree: int, x: np.ndarray, seed: int) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=[c.split()[0] for c in NODE_SCHEMA.split(", ")])
 
 
-def _samples(features: DataFrame, trees: int, seed: int) -> DataFrame:
-    """`(tree, x)` with min(256, rows) rows per tree, drawn without replacement per tree."""
-    rows = features.count()
-    tree_ids = F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree")
-    if rows <= SAMPLE_SIZE:
-        return features.select(tree_ids, "x")
-    enough = 4 * SAMPLE_SIZE * trees
-    if rows <= enough:
-        # Small table: every tree draws from all rows, a little more than it needs.
-        share = min(1.0, 1.5 * SAMPLE_SIZE / rows + 0.02)
-        drawn = features.select(tree_ids, "x").filter(F.rand(seed) < share)
-    else:
-        # Large table: one slim random sample, dealt out to the trees.
-        drawn = features.sample(fraction=2.0 * SAMPLE_SIZE * trees / rows, seed=seed).withColumn(
-            "tree", F.floor(F.rand(seed + 1) * trees).cast("int")
-        )
-    return drawn.select("tree", "x")
-
-
-def fit_inputs(df: DataFrame, columns: Sequence[str] | None = None) -> dict:
-    """0/1 columns for text (first level dropped), medians for missing numbers."""
+def _uniform(key: np.ndarray, tree: np.ndarray, copy: int, seed: int) -> np.ndarray:
+    """Numbers in [0, 1) from a 64-bit mix of row, tree, copy and seed."""
+    z = key.view(np.uint64) + np.uint64(0x9E3779B97F4A7C15) * (tree.astype(np.uint64) + np.uint64(1))
+    for extra in (copy, seed):
+        z = z + np.uint64((extra * 0xD1342543DE82EF95 + 0x9E3779B97F4A7C15) % 2**64)
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        z = z ^ (z >> np.uint64(31))
+    return (z >> np.uint64(11)) * 2.0**-53
+
+
+def _drawn(key: np.ndarray, n: np.ndarray, trees: int, seed: int, cut: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, tree, draw) of every copy whose draw is below `cut`; a row with `n` copies has the n smallest-first
+    order statistics of as many draws, made one after another, so its copies are never listed."""
+    row, tree = np.repeat(np.arange(len(key)), trees), np.tile(np.arange(trees), len(key))
+    draw, found, copy = np.zeros(len(row)), [], 0
+    while len(row):
+        u = _uniform(key[row], tree, copy, seed)
+        draw = 1.0 - (1.0 - draw) * np.exp(np.log1p(-u) / (n[row] - copy)) if copy else -np.expm1(np.log1p(-u) / n[row])
+        low = draw < cut
+        row, tree, draw = row[low], tree[low], draw[low]
+        found.append((row, tree, draw))
+        copy += 1
+        more = n[row] > copy
+        row, tree, draw = row[more], tree[more], draw[more]
+    return tuple(np.concatenate([f[i] for f in found]) for i in range(3)) if found else (row, tree, draw)
+
+
+def _samples(features: DataFrame, trees: int, seed: int, size: int) -> DataFrame:
+    """Written table (tree, draw, x) that holds the `size` smallest draws of every tree.
+
+    Every row draws a number for every tree from a hash of its features, so the sample
+    does not depend on how the table is laid out and is the same rule at every size. Equal
+    rows are counted first and draw for all their copies. Only draws below a bound that
+    leaves some more than `size` rows a tree are kept; should a tree get too few, the
+    bound is doubled.
+    """
+    counted = features.groupBy("x").agg(F.count(F.lit(1)).alias("n"))
+    rows_of = written_table(counted.select(F.xxhash64("x").alias("key"), "n", "x"), "rows")
+    rows = rows_of.agg(F.sum("n").alias("n")).first()["n"] or 0
+    wanted = min(size, rows)
+    cut = min(1.0, (size + 6.0 * math.sqrt(size) + 10.0) / max(rows, 1))
+    while True:
+        bound = cut if cut < 1.0 else 2.0
+
+        def pick(batches, bound=bound):
+            for batch in batches:
+                key, n = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+                row, tree, draw = _drawn(key, n, trees, seed, bound)
+                yield pa.RecordBatch.from_arrays([pa.array(tree, pa.int32()), pa.array(draw), batch.column(2).take(pa.array(row))],
+                                                 names=["tree", "draw", "x"])
+
+        drawn = written_table(rows_of.mapInArrow(pick, "tree int, draw double, x array<double>"), "draws")
+        if not rows or bound == 2.0:
+            return drawn
+        least = drawn.groupBy("tree").count().agg(F.min("count").alias("n"), F.count("*").alias("trees")).first()
+        if least["trees"] == trees and least["n"] >= wanted:
+            return drawn
+        cut = min(1.0, 2 * cut)
+
+
+def fit_inputs(df: DataFrame, columns: Sequence[str] | None = None, hash_buckets: int = HASH_BUCKETS) -> dict:
+    """0/1 columns for text (first level dropped), medians for missing numbers.
+
+    Text with more levels than the one-hot encoder takes becomes `hash_buckets` 0/1
+    columns, one for each part of the hash of its level.
+    """
     names = list(columns or df.columns)
     source = df.select(*[F.col(f"`{c}`") for c in names])
     other = [n for n in names if not is_numeric(df.schema[n].dataType)]
-    encoder = fit_encoder(source, "one_hot", other, drop_first=True) if other else {"method": "one_hot", "steps": {}}
+    levels = OrderStatistics(source, other, in_order=False).distinct
+    hashed = [n for n in other if levels[n] > ONE_HOT_LEVELS]
+    few = [n for n in other if n not in hashed]
+    encoder = fit_encoder(source, "one_hot", few, drop_first=True) if few else {"method": "one_hot", "steps": {}}
     wide = apply_encoder(source, encoder)
     numeric = [f.name for f in wide.schema.fields if is_numeric(f.dataType)]
     plain = [n for n in names if n in numeric]
     fills = fit_fills(source, "median", plain) if plain else {}
-    return {"encoder": encoder, "fills": fills, "features": numeric}
+    return {"encoder": encoder, "fills": fills, "features": numeric, "hashed": hashed, "hash_buckets": hash_buckets}
 
 
 def _features(df: DataFrame, inputs: dict) -> DataFrame:
@@ -103,21 +158,24 @@ def _features(df: DataFrame, inputs: dict) -> DataFrame:
         F.coalesce(F.col(f"`{n}`").cast("double"), F.lit(float(inputs["fills"].get(n, 0.0)))) if n in have
         else F.lit(float(inputs["fills"].get(n, 0.0)))
         for n in inputs["features"]
-    ])
+    ]).cast("array<double>")
+    buckets = inputs.get("hash_buckets", HASH_BUCKETS)
+    for n in inputs.get("hashed", []):
+        level = F.col(f"`{n}`").cast("string") if n in have else F.lit(None).cast("string")
+        at = F.when(level.isNotNull(), F.pmod(F.xxhash64(level), F.lit(buckets)))
+        x = F.concat(x, F.transform(F.sequence(F.lit(0), F.lit(buckets - 1)), lambda b, at=at: F.when(at == b, 1.0).otherwise(0.0)))
     return wide.select("_row", x.alias("x"))
 
 
-def fit_forest(df: DataFrame, columns: Sequence[str] | None = None, n_estimators: int = 100, random_state: int = 42) -> dict:
-    """The forest as a JSON-ready dict (at most 511 nodes per tree)."""
-    inputs = fit_inputs(df, columns)
-    sampled = _samples(_features(df, inputs).select("x"), n_estimators, random_state)
+def fit_forest(df: DataFrame, columns: Sequence[str] | None = None, n_estimators: int = 100, random_state: int = 42,
+               sample_size: int = SAMPLE_SIZE, hash_buckets: int = HASH_BUCKETS) -> dict:
+    """The forest as a JSON-ready dict (at most 2 * sample_size - 1 nodes per tree)."""
+    inputs = fit_inputs(df, columns, hash_buckets)
+    sampled = _samples(_features(df, inputs).select("x"), n_estimators, random_state, sample_size)
 
     def build(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.vstack(pdf["x"].to_numpy())
-        # Groups hold a small multiple of the sample size: keep exactly the sample.
-        order = np.lexsort(x.T)
-        keep = np.random.default_rng([random_state, key[0]]).permutation(len(x))[:SAMPLE_SIZE]
-        return _grow(key[0], x[order][keep], random_state).assign(size=min(len(x), SAMPLE_SIZE))
+        pdf = pdf.sort_values("draw", kind="stable")[:sample_size]
+        return _grow(key[0], np.vstack(pdf["x"].to_numpy()), random_state).assign(size=len(pdf))
 
     nodes = sampled.groupBy("tree").applyInPandas(build, NODE_SCHEMA + ", size int").toPandas()
     nodes = nodes.sort_values(["tree", "node"])
@@ -162,9 +220,9 @@ def raw_scores(df: DataFrame, state: dict, name: str = "_raw") -> DataFrame:
 
 
 def fit_isolation_forest(df: DataFrame, columns: Sequence[str] | None = None, contamination: float = 0.05,
-                         n_estimators: int = 100, random_state: int = 42) -> dict:
+                         n_estimators: int = 100, random_state: int = 42, sample_size: int = SAMPLE_SIZE) -> dict:
     """Forest plus the score offset below which the wanted share of the rows lies, and the score range."""
-    state = fit_forest(df, columns, n_estimators, random_state)
+    state = fit_forest(df, columns, n_estimators, random_state, sample_size)
     scored = raw_scores(df, state).select("_raw").persist()
     try:
         offset = exact_quantiles(scored, {"_raw": [contamination]})["_raw"][0]

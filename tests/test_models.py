@@ -203,3 +203,21 @@ def test_saved_model_carries_its_tables(spark):
         assert not was["table"].startswith(folder) and now["table"].startswith(folder)
     assert again.importances == trained.importances
     assert [PipelineModel.load(prep).transform(new.select("c")).collect(), score.score_batch(new, again).collect()] == want
+
+
+@pytest.mark.parametrize("n", [90, 3000])
+def test_forest_does_not_depend_on_partitions(spark, n):
+    rows = [(f"u{i % 70}", "ab"[i % 2], float(i % 101) if i % 9 else None) for i in range(n)] + [("hot", "a", 1.0)] * n
+    df = spark.createDataFrame(rows, "many string, few string, x double")
+    fits = [isolation.fit_isolation_forest(df.repartition(p), n_estimators=10, sample_size=64) for p in (2, 7)]
+    assert fits[0]["forest"] == fits[1]["forest"] and fits[0]["offset"] == fits[1]["offset"]
+    assert fits[0]["sample_size"] == 64 and fits[0]["inputs"]["hashed"] == ["many"]
+    other = isolation.fit_isolation_forest(df, n_estimators=10, sample_size=64, random_state=1)
+    assert other["forest"] != fits[0]["forest"]
+
+
+def test_copies_are_drawn_in_proportion():
+    key, n = np.arange(200, dtype=np.int64) * 7919, np.r_[np.ones(199, dtype=np.int64), 1801]
+    row, tree, draw = isolation._drawn(key, n, 300, 42, 0.1)
+    assert len(row) == pytest.approx(300 * 200, rel=0.05) and (row == 199).mean() == pytest.approx(0.9, abs=0.02)
+    assert draw.min() > 0 and draw.max() < 0.1 and np.bincount(tree, minlength=300).min() > 120

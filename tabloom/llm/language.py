@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
+
 _letters: np.ndarray | None = None
 
 
@@ -109,7 +111,7 @@ def document_frequencies(docs: DataFrame, bits: int, text: str) -> tuple[int, np
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(total[at], rows))], names=["bucket", "n"])
 
     counts, rows = np.zeros(1 << bits), 0
-    for r in docs.select(text).mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
+    for r in docs.select(text).mapInArrow(tidy(count), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
         if r["bucket"] < 0:
             rows = r["n"]
         else:
@@ -135,7 +137,7 @@ def sample(docs: DataFrame, max_rows: int, bits: int, text: str, lang: str) -> l
                                               pa.array([t[1].astype(np.int32) for t in all_terms], pa.list_(pa.int32()))], names=["y", "h", "at", "n"])
 
     kept: dict[str, list] = {}
-    rows = chosen.select("y", "h", "t").mapInArrow(found, "y string, h long, at array<int>, n array<int>").orderBy("h")
+    rows = chosen.select("y", "h", "t").mapInArrow(tidy(found), "y string, h long, at array<int>, n array<int>").orderBy("h")
     for r in rows.toLocalIterator():
         mine = kept.setdefault(r["y"], [])
         if r["at"] and len(mine) < max_rows:
@@ -189,7 +191,7 @@ def identify(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "te
             out = [sent.value.predict(t.as_py()) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.float64())], names=[key, "lang_pred", "score"])
 
-    return docs.select(key, text).mapInArrow(predict, f"`{key}` {docs.schema[key].dataType.simpleString()}, lang_pred string, score double")
+    return docs.select(key, text).mapInArrow(tidy(predict), f"`{key}` {docs.schema[key].dataType.simpleString()}, lang_pred string, score double")
 
 
 def drop_unsure(docs: DataFrame, model: Model, text: str = "text", least: float = 0.5) -> DataFrame:
@@ -201,4 +203,4 @@ def drop_unsure(docs: DataFrame, model: Model, text: str = "text", least: float
             found = (sent.value.predict(t.as_py()) for t in batch.column(place))
             yield batch.filter(pa.array([lang != "und" and p >= least for lang, p in found], pa.bool_()))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(tidy(keep), docs.schema)

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from tabloom.session import written_table
 
-from .common import running_start
+from .common import running_start, tidy
 
 END = 2
 _SPACES = re.compile("[\t-\r \x85\xa0  -     　]+")
@@ -153,7 +153,7 @@ def tokenized(docs: DataFrame, path: str | None, key: str, text: str, source: st
                      pa.array([x.astype(kind).tobytes() for x in ids], pa.binary())], names=["doc", "source", "h", "tokens", "width", "ids"])
 
     rows = docs.select(F.col(key).cast("long").alias("doc"), F.col(source).cast("string").alias("source"), F.xxhash64(text).alias("h"), F.col(text).alias("t"))
-    return written_table(rows.mapInArrow(run, "doc long, source string, h long, tokens long, width int, ids binary"), "tokens")
+    return written_table(rows.mapInArrow(tidy(run), "doc long, source string, h long, tokens long, width int, ids binary"), "tokens")
 
 
 def quanta(counts: DataFrame, window_tokens: int, mixture: dict[str | None, float] | None) -> DataFrame:
@@ -243,4 +243,4 @@ def pack(docs: DataFrame, length: int = 4096, window: int = 64, mixture: dict[st
     stored = tokens.select("doc", "h", F.lit(1).alias("role"), F.lit(None).cast(kind).alias("pieces"), "width", "ids")
     rows = parts.select("doc", "h", F.lit(0).alias("role"), "pieces", F.lit(None).cast("int").alias("width"), F.lit(None).cast("binary").alias("ids")).union(stored)
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * with_ids
-    return rows.repartition("doc", "h").sortWithinPartitions("doc", "h", "role").mapInArrow(_pieces(with_ids), schema)
+    return rows.repartition("doc", "h").sortWithinPartitions("doc", "h", "role").mapInArrow(tidy(_pieces(with_ids), word_encoder.cache_clear), schema)

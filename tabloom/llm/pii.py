@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
+
 KINDS = ["email", "ip", "card", "phone", "iban", "id_number"]
 BASE = KINDS[:4]
 _NOT_LOCAL = re.compile(r"[^A-Za-z0-9._%+-]")
@@ -155,7 +157,7 @@ def find_pii(docs: DataFrame, key: str = "doc_id", text: str = "text", keep: flo
 
     kind = docs.schema[key].dataType.simpleString()
     schema = f"`{key}` {kind}, spans array<struct<kind: string, start: long, `end`: long, score: double>>, base_sha256 string, spans_text string"
-    return docs.select(key, text).mapInArrow(find, schema)
+    return docs.select(key, text).mapInArrow(tidy(find), schema)
 
 
 def masked(text: str | None, keep: float = 0.5) -> str | None:
@@ -178,7 +180,7 @@ def redact(docs: DataFrame, text: str = "text", keep: float = 0.5) -> DataFrame:
         for batch in batches:
             yield batch.set_column(place, text, pa.array([masked(t.as_py(), keep) for t in batch.column(place)], pa.string()))
 
-    return docs.mapInArrow(mask, docs.schema)
+    return docs.mapInArrow(tidy(mask), docs.schema)
 
 
 def counts(found: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -31,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
+
 _TERM = re.compile(r"\w+")
 
 
@@ -109,7 +111,7 @@ def sampled(docs: DataFrame, labels: DataFrame, max_rows: int, bits: int, key: s
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([find.of(t.as_py()).astype(np.int32) for t in batch.column(2)], pa.list_(pa.int32()))], names=["h", "y", "terms"])
 
-    found = texts.join(F.broadcast(kept), ["k", "h"]).select("h", "y", "t").mapInArrow(terms, "h long, y int, terms array<int>").dropDuplicates(["h", "y"])
+    found = texts.join(F.broadcast(kept), ["k", "h"]).select("h", "y", "t").mapInArrow(tidy(terms), "h long, y int, terms array<int>").dropDuplicates(["h", "y"])
     data = sorted(found.toLocalIterator(), key=lambda r: (r["h"], r["y"]))
     return [(r["y"], np.array(r["terms"], dtype=np.int64)) for r in data], counts
 
@@ -190,7 +192,7 @@ def toxicity_scores(docs: DataFrame, machine: Machine, key: str = "doc_id", text
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([m.score(find.of(t.as_py())) for t in batch.column(1)], pa.float64())], names=[key, "score"])
 
-    return docs.select(key, text).mapInArrow(score, f"`{key}` {docs.schema[key].dataType.simpleString()}, score double")
+    return docs.select(key, text).mapInArrow(tidy(score), f"`{key}` {docs.schema[key].dataType.simpleString()}, score double")
 
 
 def held_out(key: str, parts: int, rest: int):
@@ -208,4 +210,4 @@ def drop_toxic(docs: DataFrame, machine: Machine, key: str = "doc_id", text: str
         for batch in batches:
             yield batch.filter(pa.array([m.score(find.of(t.as_py())) < most for t in batch.column(place)], pa.bool_()))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(tidy(keep), docs.schema)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.numeric import clean_non_finite
+from .csv_records import read_spanning, spans_lines
 from .excel import read_excel
 
 # Accepted formats, delimiters, and the preview limits.
@@ -38,7 +39,8 @@ def read_table(
 ) -> DataFrame:
     """One reader for every format. A declared schema saves the inference pass over the files.
 
-    `multi_line` reads CSV whose quoted values hold line breaks; such a file is one task.
+    CSV with line breaks in quoted values is recognised and its records are joined in
+    parallel (`csv_records`); `multi_line` uses Spark's own reader for it, one task per file.
     """
     fmt = fmt or format_of(path)
     reader = spark.read if schema is None else spark.read.schema(schema)
@@ -47,7 +49,10 @@ def read_table(
     elif fmt == "csv":
         if delimiter not in DELIMITERS:
             raise ValueError(f"unsupported delimiter: {delimiter!r}")
-        out = reader.csv(path, header=True, sep=delimiter, inferSchema=schema is None, multiLine=multi_line, escape='"')
+        if not multi_line and spans_lines(spark, path):
+            out = read_spanning(spark, path, delimiter, schema)
+        else:
+            out = reader.csv(path, header=True, sep=delimiter, inferSchema=schema is None, multiLine=multi_line, escape='"')
     elif fmt == "json":
         out = reader.json(path, multiLine=True)
     elif fmt == "jsonl":

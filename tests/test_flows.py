@@ -1,5 +1,7 @@
+import csv
 import io
 import json
+import random
 import zipfile
 
 import pytest
@@ -8,7 +10,7 @@ from pyspark.sql import functions as F
 from tabloom.operators import guard, stages
 from tabloom.plans import audit, pipeline, registry, runs
 from tabloom.session import shared_folder, written_table
-from tabloom.sources import tables
+from tabloom.sources import csv_records, tables
 from tabloom.streaming import jobs
 
 MAIN = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
@@ -223,3 +225,29 @@ def test_json_keys_that_look_like_types(spark):
     assert [r["p.AVOIDED"] for r in got.collect()] == [3, None]
     assert "p.VOID" in got.columns and dict(got.dtypes)["p.VOID"] == "string"
     assert got.first()["p.a OBJECT<b.x"] == [1, None]
+
+
+@pytest.mark.parametrize("split", ["64", "134217728"])
+def test_line_breaks_in_quotes_are_read_in_many_tasks(spark, tmp_path, split):
+    """Records cut anywhere by the splits equal those of the csv module; a quote left open is an error."""
+    rng, folder = random.Random(2), tmp_path / "in.csv"
+    folder.mkdir()
+    rows = [(i, "".join(rng.choice(['a', '"', ',', '\n', 'é', ' x', '\n\n']) for _ in range(rng.randrange(1, 30))) + "z", i / 2) for i in range(300)]
+    for part in range(2):
+        with open(folder / f"part{part}.csv", "w", newline="") as f:
+            out = csv.writer(f, lineterminator="\n", quoting=csv.QUOTE_ALL)
+            out.writerow(["id", "note", "half"])
+            out.writerows(rows[part::2])
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    try:
+        got = tables.read_table(spark, str(folder))
+        assert [f.dataType.simpleString() for f in got.schema.fields] == ["int", "string", "double"]
+        assert sorted(map(tuple, got.collect())) == rows
+        assert csv_records.text_lines(spark, str(folder)).rdd.getNumPartitions() >= (50 if split == "64" else 1)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    bad = tmp_path / "bad.csv"
+    bad.write_text('id,note\n1,"open\n2,never closed\n')
+    with pytest.raises(Exception, match="left open"):
+        tables.read_table(spark, str(bad)).collect()

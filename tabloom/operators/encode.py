@@ -84,11 +84,18 @@ def _codes(df: DataFrame, columns: Sequence[str], null_as_level: bool, driver_le
     return out
 
 
-def _maps(df: DataFrame, columns: Sequence[str], y: Column | None, mapped, driver_levels: int) -> dict[str, dict]:
-    """`{column: {"map": {level: number}}}`; `mapped(n, total)` gives the number from the level's row."""
+def _maps(df: DataFrame, columns: Sequence[str], y: Column | None, mapped, driver_levels: int,
+          rows: dict[str, int] | None = None) -> dict[str, dict]:
+    """`{column: {"map": {level: number}}}`; `mapped(n, total)` gives the number from the level's row.
+
+    With `rows` the number is divided by the column's rows. All small columns share one count of levels.
+    """
     small, large = _split_by_size(df, columns, driver_levels)
     out: dict[str, dict] = {c: {"map": {}} for c in small}
-    number = mapped(F.col("n"), F.col("total")).cast("double").alias("mapped")
+    number = mapped(F.col("n"), F.col("total")).cast("double")
+    if rows:
+        number = number / F.create_map(*[F.lit(x) for c in columns for x in (c, float(rows[c]))])[F.col("column")]
+    number = number.alias("mapped")
     if small:
         for r in _level_stats(df, small, y, False).select("column", "value", number).collect():
             out[r["column"]]["map"][r["value"]] = r["mapped"]
@@ -146,10 +153,9 @@ def fit_encoder(
             steps[c] = {"kind": kind, **m}
     elif method == "frequency":
         known = df.agg(*[F.count(F.col(f"`{c}`")).alias(f"n{i}") for i, c in enumerate(chosen)]).first()
-        for i, c in enumerate(chosen):
-            total = known[f"n{i}"]
-            maps = _maps(df, [c], None, lambda n, _, total=total: n / F.lit(float(total)), driver_levels)
-            steps[c] = {"kind": "values", "default": 0.0, **maps[c]}
+        rows = {c: known[f"n{i}"] for i, c in enumerate(chosen)}
+        for c, m in _maps(df, chosen, None, lambda n, _: n, driver_levels, rows).items():
+            steps[c] = {"kind": "values", "default": 0.0, **m}
     elif method == "target":
         y = target_values(df, target)
         mean = df.agg(F.avg(y)).first()[0]

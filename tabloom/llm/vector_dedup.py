@@ -23,7 +23,9 @@ it agrees. Equal vectors are one row with a weight from the start.
 Edge cases: vectors that are null, empty, zero or hold null or non-finite numbers have no
 links, and are their own component; vectors of another length than most of the sample are
 compared only among their own length; an empty table gives an empty result; further columns
-are ignored; rows that repeat an id count as vectors of their own.
+are ignored. Each row is a vector of its own, also where ids repeat or are null: it has its own
+result row, other rows with its id count as other vectors, and distinct vectors are named by
+numbers of their own. A component of vectors whose ids are all null has a null id.
 """
 
 from __future__ import annotations
@@ -39,7 +41,7 @@ from pyspark.sql import functions as F
 from tabloom.session import written_table
 
 from .common import components
-from .vectors import matrix, stored_kind, valid_vectors
+from .vectors import matrix, stored_kind, usable, valid_vectors
 
 
 def rotation(sample: np.ndarray, mean: np.ndarray, bits: int, seed: int, rounds: int = 50) -> tuple[np.ndarray, np.ndarray]:
@@ -153,9 +155,12 @@ def _compare(threshold: float, kind: str):
         if side.any():
             near &= side[:, None] != side[None, :]
         labels = _least_labels(near)
+        # A pair counts in the first table in which it agrees.
+        i, j = np.nonzero(near)
         for earlier in range(table):
-            near &= codes[:, earlier][:, None] != codes[:, earlier][None, :]
-        links = near @ weight
+            first = codes[i, earlier] != codes[j, earlier]
+            i, j = i[first], j[first]
+        links = np.bincount(i, weights=weight[j], minlength=len(ids))
         head = ids[labels]
         keep = (links > 0) | (head != ids)
         return pa.table({"id": ids[keep], "links": links[keep].astype(np.int64), "head": head[keep]})
@@ -170,13 +175,14 @@ def link_vectors(df: DataFrame, threshold: float = 0.9, recall: float = 0.97, sa
     wide = np.dtype(kind).itemsize
     raw = valid_vectors(df, key, vector, kind)
     first = raw.groupBy("vec").agg(F.min("id").alias("first"), F.count("*").alias("weight"))
-    reps = written_table(first.select(F.col("first").alias("id"), "weight", "vec"), "vectors")
+    # Numbers that are fixed once the table is written; ids may repeat.
+    reps = written_table(first.select(F.monotonically_increasing_id().alias("id"), "first", "weight", "vec"), "vectors")
     links = [reps.select("id", F.lit(0).cast("long").alias("links"), F.col("id").alias("head")).limit(0)]
     spread = {r["size"]: r["n"] for r in reps.groupBy(F.length("vec").alias("size")).count().withColumnRenamed("count", "n").collect()}
     for size, rows in sorted(spread.items()):
         mine = reps.filter(F.length("vec") == size)
         share = min(1.0, 1.2 * sample_rows / rows)
-        drawn = mine.filter(F.shiftrightunsigned(F.xxhash64("vec"), 2) <= int(share * 2**62)).select("vec").limit(sample_rows)
+        drawn = mine.filter(F.shiftrightunsigned(F.xxhash64("vec"), 2) <= int(share * 2**62)).select("vec").orderBy(F.xxhash64("vec"), "vec").limit(sample_rows)
         x = matrix([bytes(r["vec"]) for r in drawn.toLocalIterator()] or [b"\0" * size], kind)
         norm = np.sqrt((x * x).sum(1))[:, None]
         units = x / np.where(norm == 0, 1, norm)
@@ -198,12 +204,13 @@ def link_vectors(df: DataFrame, threshold: float = 0.9, recall: float = 0.97, sa
     found = written_table(found, "links")
     groups = components(found.select(F.col("id").alias("a"), F.col("head").alias("b")))
     counted = found.groupBy("id").agg(F.sum("links").alias("links"))
-    labels = first.join(counted, F.col("first") == F.col("id"), "left").drop("id").join(groups, F.col("first") == F.col("node"), "left").select(
-        "vec", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "first").alias("component_id"))
-    judged = raw.join(labels, "vec").select("id", "n_links", "component_id").dropDuplicates(["id"])
-    every = df.select(F.col(key).cast("long").alias(key))
-    out = every.join(judged, F.col(key) == F.col("id"), "left").select(key, F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-                                                                    F.coalesce("component_id", key).alias("component_id"))
+    named = reps.select("id", "first", "weight", "vec").join(counted, "id", "left").join(groups, F.col("id") == F.col("node"), "left").select(
+        "vec", "first", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).cast("long").alias("n_links"), F.coalesce("component", "id").alias("component"))
+    least = named.groupBy("component").agg(F.min("first").alias("component_id"))
+    linked = raw.join(named.drop("first").join(least, "component"), "vec").select(F.col("id").alias(key), "n_links", "component_id")
+    alone = df.filter(~usable(vector)).select(F.col(key).cast("long").alias(key)).select(
+        key, F.lit(0).cast("long").alias("n_links"), F.col(key).alias("component_id"))
+    out = linked.unionByName(alone)
     return out.withColumn("kept", F.col(key).eqNullSafe(F.col("component_id")))
 
 
@@ -218,7 +225,7 @@ def _links_of(reps: DataFrame, quantisers, width: int, tables: int, threshold: f
             codes = chunk_codes(x / np.sqrt((x * x).sum(1))[:, None], sent.value, width, tables)
             yield batch.append_column("codes", pa.array([c.astype("<i4").tobytes() for c in codes], pa.binary())).append_column("buckets", pa.array(list(codes), pa.list_(pa.int64())))
 
-    coded = written_table(reps.mapInArrow(code, "id long, weight long, vec binary, codes binary, buckets array<long>"), "codes")
+    coded = written_table(reps.select("id", "weight", "vec").mapInArrow(code, "id long, weight long, vec binary, codes binary, buckets array<long>"), "codes")
     keyed = coded.select("id", F.posexplode("buckets").alias("tab", "bucket"))
     sizes = keyed.groupBy("tab", "bucket").count().filter("count > 1").withColumn("blocks", F.ceil(F.col("count") / block))
     placed = keyed.join(sizes, ["tab", "bucket"]).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")))

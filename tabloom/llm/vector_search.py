@@ -14,7 +14,9 @@ chunk) is one group with its own sorted arrays, and the best k of all blocks are
 
 Edge cases: vectors that are null, empty, zero or hold null or non-finite numbers take no
 part; only vectors of equal length are compared; a query with fewer than k candidates gets all of
-them; ties go to the smaller id; an empty table, or one without queries, gives an empty
+them; ties go to the smaller id, then to the earlier row of the written table, null ids last.
+Each row is a vector of its own: rows that repeat an id are candidates of each other, and each
+row of a repeated query id has its own k result rows. A null id is never a query. An empty table, or one without queries, gives an empty
 result; further columns are ignored.
 """
 
@@ -78,18 +80,22 @@ class Lines:
 
 def _search(k: int, projections: int, threshold: float, growth: float):
     def run(rows: pa.Table) -> pa.Table:
-        role, ids = rows.column("role").to_numpy(), rows.column("id").to_numpy()
+        role, number = rows.column("role").to_numpy(), rows.column("row").to_numpy()
+        names = rows.column("id")
+        ids, known = names.fill_null(np.iinfo(np.int64).max).to_numpy(), names.is_valid().to_numpy()
         vectors = rows.column("vec").to_pylist()
         out: list[tuple] = []
         data, queries = np.flatnonzero(role == 0), np.flatnonzero(role == 1)
         if len(data) and len(queries):
-            lines, own = Lines(matrix([vectors[i] for i in data]), projections), ids[data]
+            lines, own = Lines(matrix([vectors[i] for i in data]), projections), number[data]
             for i in queries:
-                at, distance = lines.nearest(np.frombuffer(vectors[i], "<f8"), k, threshold, growth, own == ids[i])
-                best = np.lexsort((own[at], distance))[:k]
-                out += [(ids[i], own[at[b]], distance[b]) for b in best]
-        return pa.table({"query_id": pa.array([o[0] for o in out], pa.int64()), "vec_id": pa.array([o[1] for o in out], pa.int64()),
-                         "score": pa.array([o[2] for o in out], pa.float64())})
+                at, distance = lines.nearest(np.frombuffer(vectors[i], "<f8"), k, threshold, growth, own == number[i])
+                best = np.lexsort((own[at], ids[data[at]], distance))[:k]
+                found = data[at[best]]
+                out += [(number[i], ids[i], number[f], ids[f] if known[f] else None, d) for f, d in zip(found, distance[best])]
+        columns = list(zip(*out)) or [()] * 5
+        names = ("query_row", "query_id", "row", "vec_id", "score")
+        return pa.table({n: pa.array(c, pa.float64() if n == "score" else pa.int64()) for n, c in zip(names, columns)})
 
     return run
 
@@ -100,13 +106,16 @@ def nearest_neighbours(df: DataFrame, is_query, k: int = 10, projections: int =
 
     `is_query` is a condition on the key.
     """
-    rows = valid_vectors(df, key, vector).withColumnRenamed("id", key).withColumn("query", F.coalesce(is_query, F.lit(False)))
-    rows = written_table(rows.withColumnRenamed(key, "id"), "vectors")
+    rows = valid_vectors(df, key, vector).withColumnRenamed("id", key).withColumn("query", F.coalesce(is_query, F.lit(False)) & F.col(key).isNotNull())
+    # Row numbers that are fixed once the table is written.
+    rows = written_table(rows.withColumnRenamed(key, "id").withColumn("row", F.monotonically_increasing_id()), "vectors")
     size = rows.agg(F.count("*").alias("n"), F.sum(F.col("query").cast("long")).alias("q")).first()
     blocks, chunks = max(1, -(-size["n"] // block)), max(1, -(-(size["q"] or 0) // chunk))
     every_chunk, every_block = (F.explode(F.sequence(F.lit(0), F.lit(n - 1))) for n in (chunks, blocks))
-    data = rows.select("id", "vec", F.lit(0).alias("role"), F.length("vec").alias("size"), F.pmod(F.xxhash64("id", F.lit("block")), F.lit(blocks)).cast("int").alias("block"), every_chunk.alias("chunk"))
-    asked = rows.filter("query").select("id", "vec", F.lit(1).alias("role"), F.length("vec").alias("size"), every_block.alias("block"), F.pmod(F.xxhash64("id"), F.lit(chunks)).cast("int").alias("chunk"))
-    found = data.union(asked).groupBy("size", "block", "chunk").applyInArrow(_search(k, projections, threshold, growth), "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
+    dealt = lambda n, salt: F.pmod(F.xxhash64("row", F.lit(salt)), F.lit(n)).cast("int")
+    data = rows.select("row", "id", "vec", F.lit(0).alias("role"), F.length("vec").alias("size"), dealt(blocks, "block").alias("block"), every_chunk.alias("chunk"))
+    asked = rows.filter("query").select("row", "id", "vec", F.lit(1).alias("role"), F.length("vec").alias("size"), every_block.alias("block"), dealt(chunks, "chunk").alias("chunk"))
+    found = data.union(asked).groupBy("size", "block", "chunk").applyInArrow(
+        _search(k, projections, threshold, growth), "query_row long, query_id long, row long, vec_id long, score double")
+    order = Window.partitionBy("query_row").orderBy("score", F.col("vec_id").asc_nulls_last(), "row")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -6,18 +6,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def usable(vector: str) -> Column:
+    """True for vectors that are not null or empty, hold no null or non-finite number, and are not all zero; never null."""
+    v = F.col(vector).cast("array<double>")
+    finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & (F.size(v) > 0)
+    return F.coalesce(finite & F.exists(v, lambda x: x != 0), F.lit(False))
+
+
 def valid_vectors(df: DataFrame, key: str, vector: str, kind: str = "<f8") -> DataFrame:
     """(id, vec): rows whose vector is not null or empty and holds no null or non-finite number, nor only zeros.
 
     `vec` holds the original numbers, little-endian, as doubles or as `kind` says. Native up to the packing into bytes.
     """
-    v = F.col(vector).cast("array<double>")
-    fine = F.coalesce(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))), F.lit(False)) & (F.size(v) > 0)
-    rows = df.filter(fine & F.exists(v, lambda x: x != 0)).select(F.col(key).cast("long").alias("id"), v.alias("v"))
+    rows = df.filter(usable(vector)).select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
 
     def to_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -53,6 +53,51 @@ def test_nearest(spark):
     assert vector_search.nearest_neighbours(df.limit(0), F.col("vec_id") == 0).collect() == []
 
 
+def repeated(spark):
+    """Ids that repeat with equal and with different vectors, null ids, null vectors, ties."""
+    e = np.eye(8)
+    near = [float(x) for x in e[0] + 0.05 * e[1]]
+    rows = [(0, e[0]), (0, e[0]), (1, near), (1, e[2]), (2, e[0] + 0.02 * e[3]), (3, None), (3, near), (4, e[4]), (4, near),
+            (None, e[4]), (None, e[5]), (None, None), (7, e[2]), (None, e[0])]
+    data = [(i, None if v is None else [float(x) for x in v], 0, "z", 1.0) for i, v in rows]
+    return [(r[0], r[1]) for r in data], spark.createDataFrame(data, SCHEMA).repartition(5)
+
+
+def test_links_of_repeated_ids(spark):
+    rows, df = repeated(spark)
+    want = []
+    unit = [None if v is None else np.array(v, dtype="f4").astype(float) for _, v in rows]
+    unit = [None if v is None else v / np.linalg.norm(v) for v in unit]
+    linked = [[i != j and a is not None and b is not None and a @ b >= 0.9 for j, b in enumerate(unit)] for i, a in enumerate(unit)]
+    for i in range(len(rows)):
+        reached, open_ = {i}, [i]
+        while open_:
+            at = open_.pop()
+            for j in range(len(rows)):
+                if linked[at][j] and j not in reached:
+                    reached.add(j)
+                    open_.append(j)
+        component = min((rows[j][0] for j in reached if rows[j][0] is not None), default=None)
+        want.append((rows[i][0], sum(linked[i]), component, rows[i][0] == component))
+    got = [tuple(r) for r in vector_dedup.link_vectors(df, block=3).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_nearest_of_repeated_ids(spark):
+    rows, df = repeated(spark)
+    data = [(i, np.array(v, dtype="f4").astype(float)) for i, v in rows if v is not None]
+    want = []
+    for at, (q, v) in enumerate(data):
+        if q in (1, 4):
+            others = sorted((np.linalg.norm(v - w), 10**9 if i is None else i) for j, (i, w) in enumerate(data) if j != at)[:6]
+            want.append((q, [(round(d, 9), i) for d, i in others]))
+    got = vector_search.nearest_neighbours(df, F.col("vec_id").isin(1, 4), k=6, block=100).collect()
+    lists = [[g for g in got if g["query_id"] == q] for q in (1, 4)]
+    assert [sorted(r["rank"] for r in mine) for mine in lists] == [sorted([*range(1, 7)] * 2)] * 2
+    count = lambda pairs: sorted((q, d, i) for q, l in pairs for d, i in l)
+    assert count(want) == count([(g["query_id"], [(round(g["score"], 9), 10**9 if g["vec_id"] is None else g["vec_id"])]) for g in got])
+
+
 def test_pipeline_stages(spark, corpus, tmp_path):
     rng = random.Random(9)
     labels = []

@@ -2,6 +2,6 @@
 equivalent SQL text that an independent engine can run on the same tables."""
 
 from .base import QUERIES, SQL
-from . import cleaning, encoding, flows, metrics, modelling, profiling, series, textual  # noqa: F401
+from . import cleaning, encoding, flows, forecasts, metrics, modelling, profiling, series, textual  # noqa: F401
 
 __all__ = ["QUERIES", "SQL"]

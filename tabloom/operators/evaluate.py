@@ -169,13 +169,18 @@ def regression_metrics(df: DataFrame, label: str = "label", prediction: str = "p
     )
 
 
-def forecast_metrics(df: DataFrame, actual: str, fitted: str, keys: tuple[str, ...] = ()) -> DataFrame:
-    """mae, rmse (4 digits) and mape in percent over non-zero actuals (2 digits), per series."""
+def error_columns(actual: str, fitted: str) -> list[Column]:
+    """Aggregates mae, rmse (4 digits) and mape in percent over non-zero actuals (2 digits)."""
     y, p = F.col(actual).cast("double"), F.col(fitted).cast("double")
     err = F.abs(y - p)
     mape = F.coalesce(F.avg(F.when(y != 0, err / F.abs(y))) * 100, F.lit(0.0))
-    exprs = [F.bround(F.avg(err), 4).alias("mae"), F.bround(F.sqrt(F.avg(err * err)), 4).alias("rmse"),
-             F.bround(mape, 2).alias("mape")]
+    return [F.bround(F.avg(err), 4).alias("mae"), F.bround(F.sqrt(F.avg(err * err)), 4).alias("rmse"),
+            F.bround(mape, 2).alias("mape")]
+
+
+def forecast_metrics(df: DataFrame, actual: str, fitted: str, keys: tuple[str, ...] = ()) -> DataFrame:
+    """mae, rmse (4 digits) and mape in percent over non-zero actuals (2 digits), per series."""
+    exprs = error_columns(actual, fitted)
     return df.groupBy(*keys).agg(*exprs) if keys else df.agg(*exprs)
 
 

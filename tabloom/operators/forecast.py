@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.dates import future_steps
+from ..session import written_table
+from .evaluate import forecast_metrics
 from .leastsq import dot, fit_least_squares
 from .ordered import MAX_TASK_ROWS, bounded_window
 from .timeseries import latest_rows
@@ -31,7 +33,7 @@ SEASONS = {"daily": (1.0, 4, 2.0), "weekly": (7.0, 3, 14.0), "yearly": (365.25,
 FORECAST_COLUMNS = ("ds", "yhat", "yhat_lower", "yhat_upper", "is_future")
 
 
-def _join_fit(rows: DataFrame, fit: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+def join_fit(rows: DataFrame, fit: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Attach the one fit row per series; null keys are a series too. Without keys the fit is a single row."""
     if keys:
         named = fit.withColumnsRenamed({k: f"_fit_{k}" for k in keys})
@@ -66,10 +68,11 @@ def _design(bends: int) -> tuple[Column, int]:
     return F.array(*parts), len(parts)
 
 
-def fit_additive(series: DataFrame, keys: Sequence[str] = (), seasonality_mode: str = "additive", bends: int = 10) -> DataFrame:
+def fit_additive(series: DataFrame, keys: Sequence[str] = (), seasonality_mode: str = "additive", bends: int = 10,
+                 seasons: Sequence[str] = tuple(SEASONS)) -> DataFrame:
     """One row per series with at least five points: span, seasons in use, coefficients, residual spread.
 
-    Seasons switch on as their period is covered: daily and weekly need two periods
+    The allowed `seasons` switch on as their period is covered: daily and weekly need two periods
     and finer spacing, yearly two years. The multiplicative mode fits ln(y).
     """
     ends = [F.min("ds").alias("_first"), F.max("ds").alias("_last"), F.count(F.lit(1)).alias("_points"),
@@ -81,25 +84,25 @@ def fit_additive(series: DataFrame, keys: Sequence[str] = (), seasonality_mode:
     spans = spans.withColumns({
         "_start": _seconds(F.col("_first")),
         "_span": F.greatest(length * DAY, F.lit(1.0)),
-        "_daily": (length >= SEASONS["daily"][2]) & (spacing < 1.0 - 1e-9),
-        "_weekly": (length >= SEASONS["weekly"][2]) & (spacing < 7.0 - 1e-9),
-        "_yearly": length >= SEASONS["yearly"][2],
+        "_daily": F.lit("daily" in seasons) & (length >= SEASONS["daily"][2]) & (spacing < 1.0 - 1e-9),
+        "_weekly": F.lit("weekly" in seasons) & (length >= SEASONS["weekly"][2]) & (spacing < 7.0 - 1e-9),
+        "_yearly": F.lit("yearly" in seasons) & (length >= SEASONS["yearly"][2]),
         "_log": (F.lit(seasonality_mode) == "multiplicative") & (F.col("_low") > 0),
     })
     x, width = _design(bends)
     y = F.when(F.col("_log"), F.ln("y")).otherwise(F.col("y"))
-    rows = _join_fit(series, spans, keys).select(*keys, x.alias("x"), y.alias("target"))
+    rows = join_fit(series, spans, keys).select(*keys, x.alias("x"), y.alias("target"))
     penalties = [0.0, 0.0] + [1e-4] * bends + [1e-6] * (width - 2 - bends)
     solved = fit_least_squares(rows, "x", "target", width, keys, penalties)
     spread = F.sqrt(F.col("sse") / F.greatest(F.col("n") - 2, F.lit(1))).alias("_sigma")
-    return _join_fit(solved.select(*keys, "coef", spread), spans, keys).withColumn("_bends", F.lit(bends))
+    return join_fit(solved.select(*keys, "coef", spread), spans, keys).withColumn("_bends", F.lit(bends))
 
 
 def predict_additive(dates: DataFrame, fit: DataFrame, keys: Sequence[str] = (), bends: int = 10, level: float = 0.95) -> DataFrame:
     """Add `yhat` with its band to any `(keys, ds)` rows; null for series without a fit."""
     z = NormalDist().inv_cdf(0.5 + level / 2)
     x, _ = _design(bends)
-    rows = _join_fit(dates, fit, keys, "left")
+    rows = join_fit(dates, fit, keys, "left")
     back = lambda v: F.when(F.col("_log"), F.exp(v)).otherwise(v)
     rows = rows.withColumn("_m", dot(x, F.col("coef")))
     return rows.withColumns({
@@ -122,6 +125,19 @@ def spine_after(fit: DataFrame, horizon: int, frequency: str, keys: Sequence[str
     return fit.select(*keys, F.explode(future_steps(F.col("_last"), horizon, frequency)).alias("ds"))
 
 
+def additive_report(
+    df: DataFrame, date: str, target: str, horizon_periods: int = 14, frequency: str = "D",
+    seasonality_mode: str = "additive", keys: Sequence[str] = (), level: float = 0.95,
+) -> tuple[DataFrame, DataFrame]:
+    """`additive_forecast` and its `forecast_report`."""
+    series = prepare_series(df, date, target, keys)
+    fit = written_table(fit_additive(series, keys, seasonality_mode), "additive")
+    dates = series.select(*keys, "ds").unionByName(spine_after(fit, horizon_periods, frequency, keys))
+    out = forecast_table(predict_additive(dates, fit, keys, level=level), keys)
+    errors = forecast_metrics(predict_additive(series, fit, keys), "y", "yhat", tuple(keys))
+    return out, forecast_report(series, fit.select(*keys, F.lit(True).alias("_fitted")), errors, out, keys, "additive", horizon_periods)
+
+
 def additive_forecast(
     df: DataFrame, date: str, target: str, horizon_periods: int = 14, frequency: str = "D",
     seasonality_mode: str = "additive", keys: Sequence[str] = (), level: float = 0.95,
@@ -133,6 +149,22 @@ def additive_forecast(
     return forecast_table(predict_additive(dates, fit, keys, level=level), keys)
 
 
+def forecast_report(series: DataFrame, fit: DataFrame, errors: DataFrame, out: DataFrame, keys: Sequence[str],
+                    algorithm: str, horizon: int) -> DataFrame:
+    """One row per series: algorithm, points, horizon, errors on the history (`mae`, `rmse`, `mape`), what `fit`
+    has beside `_fitted` (`aic`, `bic`), the trend of the forecast, and `status`: "fitted" or "too short"."""
+    size = F.count(F.lit(1)).alias("historical_points")
+    rows = series.groupBy(*keys).agg(size) if keys else series.agg(size)
+    for part in (errors, fit, forecast_trend(out, keys=keys)):
+        rows = join_fit(rows, part, keys, "left")
+    fitted = F.coalesce("_fitted", F.lit(False))
+    return rows.withColumns({
+        "algorithm": F.lit(algorithm), "forecast_horizon": F.lit(horizon),
+        # Without a fit nothing was forecast, so there is no error of 0 either.
+        "mape": F.when(fitted, F.col("mape")), "status": F.when(fitted, "fitted").otherwise("too short"),
+    }).drop("_fitted")
+
+
 def _difference(series: DataFrame, d: int, keys: Sequence[str], max_task_rows: int) -> DataFrame:
     """Add `w`, the `d`-th difference of `y` in date order."""
     signs = [(-1) ** k * math.comb(d, k) for k in range(d + 1)]
@@ -160,24 +192,28 @@ def fit_arima(series: DataFrame, p: int = 1, d: int = 1, q: int = 1, keys: Seque
     A long autoregression gives the shocks, a second regression on lagged values and
     lagged shocks gives the coefficients (no constant when d > 0). `fit` has one row
     per series with `coef` = p lags then q shocks (then the constant), `sigma2`, `aic`,
-    `bic`; `history` has the one-step fitted value `yhat` and shock `e` of every row.
+    `bic`; `history` has the one-step fitted value `yhat` and shock `e` of every row, and
+    whether it was `expected` from rows before it.
     Dates must be unique within a series.
     """
     counts = [F.count(F.lit(1)).alias("_points"), F.max("ds").alias("_last")]
     sizes = (series.groupBy(*keys).agg(*counts) if keys else series.agg(*counts)).filter(
         F.col("_points") >= p + d + q + 3
     )
-    work = _difference(_join_fit(series, sizes.select(*keys, "_points"), keys).drop("_points"), d, keys, max_task_rows)
     constant = [F.lit(1.0)] if d == 0 else []
     long_order = p + q + 2 if q else 0
+    # A series with fewer complete rows than coefficients takes missing lags as 0 instead.
+    lost = d + (max(long_order + q, p) if q else p)
+    short = F.col("_points") - lost <= p + q + len(constant)
+    sized = join_fit(series, sizes.select(*keys, short.alias("_short")), keys)
+    work = _difference(sized, d, keys, max_task_rows)
     if q:
         work = _lagged(work, "w", max(long_order, p), keys, max_task_rows, "_w")
-        first = F.array(*[F.col(f"_w{k}") for k in range(1, long_order + 1)], F.lit(1.0))
-        whole = F.col(f"_w{long_order}").isNotNull() & F.col("w").isNotNull()
-        base = work.filter(whole).select(*keys, first.alias("x"), "w")
-        pre = fit_least_squares(base, "x", "w", long_order + 1, keys, [1e-9] * (long_order + 1))
+        whole = (F.col("_short") | F.col(f"_w{long_order}").isNotNull()) & F.col("w").isNotNull()
         padded = F.array(*[F.coalesce(F.col(f"_w{k}"), F.lit(0.0)) for k in range(1, long_order + 1)], F.lit(1.0))
-        work = _join_fit(work, pre.select(*keys, F.col("coef").alias("_pre")), keys)
+        base = work.filter(whole).select(*keys, padded.alias("x"), "w")
+        pre = fit_least_squares(base, "x", "w", long_order + 1, keys, [1e-9] * (long_order + 1))
+        work = join_fit(work, pre.select(*keys, F.col("coef").alias("_pre")), keys)
         work = work.withColumn("_e0", F.when(whole, F.col("w") - dot(padded, F.col("_pre")))).drop("_pre")
         work = _lagged(work, "_e0", q, keys, max_task_rows, "_s")
     elif p:
@@ -191,8 +227,8 @@ def fit_arima(series: DataFrame, p: int = 1, d: int = 1, q: int = 1, keys: Seque
     else:
         complete = F.col("w").isNotNull()
         for t in terms:
-            complete = complete & F.col(t).isNotNull()
-        x = F.array(*[F.col(t) for t in terms], *constant)
+            complete = complete & (F.col("_short") | F.col(t).isNotNull())
+        x = F.array(*[F.coalesce(F.col(t), F.lit(0.0)) for t in terms], *constant)
         solved = fit_least_squares(
             work.filter(complete).select(*keys, x.alias("x"), "w"), "x", "w", width, keys, [1e-9] * width)
     n, k = F.col("n").cast("double"), float(width + 1)
@@ -200,13 +236,15 @@ def fit_arima(series: DataFrame, p: int = 1, d: int = 1, q: int = 1, keys: Seque
     solved = solved.withColumn("sigma2", F.col("sse") / F.greatest(n, F.lit(1.0))).withColumns({
         "aic": F.bround(2 * k - 2 * log_like, 2), "bic": F.bround(k * F.ln(n) - 2 * log_like, 2),
     })
-    fit = _join_fit(solved.select(*keys, "n", "coef", "sigma2", "aic", "bic"), sizes, keys)
+    # One small row per series, read by the fit, the history and the future.
+    solved = written_table(solved.select(*keys, "n", "coef", "sigma2", "aic", "bic"), "arima")
+    fit = join_fit(solved, sizes, keys)
     padded = F.array(*[F.coalesce(F.col(t), F.lit(0.0)) for t in terms], *constant) if width else F.array().cast("array<double>")
-    history = _join_fit(work, solved.select(*keys, "coef"), keys)
+    history = join_fit(work, solved.select(*keys, "coef"), keys)
     expected = dot(padded, F.col("coef")) if width else F.lit(0.0)
     # The first d rows have nothing to be predicted from: their fitted value is the value itself.
     history = history.withColumn("e", F.coalesce(F.col("w") - expected, F.lit(0.0)))
-    return fit, history.select(*keys, "ds", "y", (F.col("y") - F.col("e")).alias("yhat"), "e")
+    return fit, history.select(*keys, "ds", "y", (F.col("y") - F.col("e")).alias("yhat"), "e", F.col("w").isNotNull().alias("expected"))
 
 
 def predict_arima(fit: DataFrame, history: DataFrame, p: int, d: int, q: int, horizon: int, frequency: str = "D",
@@ -217,7 +255,7 @@ def predict_arima(fit: DataFrame, history: DataFrame, p: int, d: int, q: int, ho
     """
     keys = list(keys)
     need = max(p + d, q, d + 1, 1)
-    tail = _join_fit(latest_rows(history, ["ds"], keys, need), fit, keys).select(
+    tail = join_fit(latest_rows(history, ["ds"], keys, need), fit, keys).select(
         *keys, "_back", "y", "e", "coef", "sigma2", "_last", future_steps(F.col("_last"), horizon, frequency).alias("_dates")
     )
     z = NormalDist().inv_cdf(0.5 + level / 2)
@@ -262,21 +300,32 @@ def predict_arima(fit: DataFrame, history: DataFrame, p: int, d: int, q: int, ho
     return tail.groupBy(*(keys or [F.lit(0).alias("_all")])).applyInPandas(project, schema)
 
 
-def arima_forecast(
+def arima_report(
     df: DataFrame, date: str, target: str, p: int = 1, d: int = 1, q: int = 1, horizon_periods: int = 14,
     frequency: str = "D", keys: Sequence[str] = (), max_task_rows: int = MAX_TASK_ROWS,
-) -> DataFrame:
-    """History (with its one-step fit) and future in one table, per series; too short a series keeps its history, without a fit."""
+) -> tuple[DataFrame, DataFrame]:
+    """`arima_forecast` and its `forecast_report`; rows that nothing precedes are left out of the errors."""
     series = prepare_series(df, date, target, keys)
     fit, history = fit_arima(series, p, d, q, keys, max_task_rows)
     past = history.select(
         *keys, "ds", "yhat", F.col("yhat").alias("yhat_lower"), F.col("yhat").alias("yhat_upper"), F.lit(0).alias("is_future")
     )
     none = F.lit(None).cast("double")
-    unfitted = _join_fit(series, fit.select(*keys), keys, "left_anti").select(
+    unfitted = join_fit(series, fit.select(*keys), keys, "left_anti").select(
         *keys, "ds", none.alias("yhat"), none.alias("yhat_lower"), none.alias("yhat_upper"), F.lit(0).alias("is_future"))
     future = predict_arima(fit, history, p, d, q, horizon_periods, frequency, keys).withColumn("is_future", F.lit(1))
-    return forecast_table(past.unionByName(unfitted).unionByName(future), keys)
+    out = forecast_table(past.unionByName(unfitted).unionByName(future), keys)
+    errors = forecast_metrics(history.filter("expected"), "y", "yhat", tuple(keys))
+    found = fit.select(*keys, "aic", "bic", F.lit(True).alias("_fitted"))
+    return out, forecast_report(series, found, errors, out, keys, f"arima({p},{d},{q})", horizon_periods)
+
+
+def arima_forecast(
+    df: DataFrame, date: str, target: str, p: int = 1, d: int = 1, q: int = 1, horizon_periods: int = 14,
+    frequency: str = "D", keys: Sequence[str] = (), max_task_rows: int = MAX_TASK_ROWS,
+) -> DataFrame:
+    """History (with its one-step fit) and future in one table, per series; too short a series keeps its history, without a fit."""
+    return arima_report(df, date, target, p, d, q, horizon_periods, frequency, keys, max_task_rows)[0]
 
 
 def forecast_trend(rows: DataFrame, value: str = "yhat", date: str = "ds", keys: Sequence[str] = ()) -> DataFrame:

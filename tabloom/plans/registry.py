@@ -10,8 +10,10 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..operators import (dedup, encode, evaluate, forecast, guard, impute, isolation, models, redundancy, sanitize,
+from ..operators import (backtest, dedup, encode, evaluate, forecast, guard, impute, isolation, models, redundancy, sanitize,
                          scale, score, split, stages, timeseries, vectorize)
 from ..sources import tables
 from . import runs
@@ -177,15 +179,16 @@ for _name in models.ALGORITHMS:
     _trainer(_name)
 
 
-@register("model_evaluator", "evaluation", needs=("model",))
+@register("model_evaluator", "evaluation", needs=())
 def _evaluate(inputs, config):
     if "forecast_metrics" in inputs:
         return {"metrics": inputs["forecast_metrics"]}
+    if "model" not in inputs:
+        raise ValueError("the evaluator lacks a model or a forecast")
     trained: models.TrainedModel = inputs["model"]
-    predicted = trained.predict(trained.label_rows(inputs["test"])).withColumn("_label", models.F.col(trained.label))
+    predicted = trained.predict(trained.label_rows(inputs["test"])).withColumn("_label", F.col(trained.label))
     if trained.task != "classification":
         return {"metrics": evaluate.regression_metrics(predicted, "_label", "prediction")}
-    F = models.F
     scored = predicted.select(
         F.col("_label").cast("int").alias("label"), F.col("prediction").cast("int").alias("prediction"),
         score.probabilities(predicted).alias("p"))
@@ -242,32 +245,51 @@ def _series(df: DataFrame, config: dict) -> tuple[DataFrame, str, str, list[str]
     return timeseries.parse_dates(df, date), date, target, keys
 
 
+def _forecast(out: DataFrame, report: DataFrame, df: DataFrame, config: dict, tested) -> dict:
+    """Outputs of a forecaster; with `backtest_origins` also errors on dates it has not seen, per series."""
+    result = {"dataframe": out, "forecast_df": out, "task_type": "time_series_forecasting", "metrics": report,
+              "forecast_metrics": report}
+    if int(config.get("backtest_origins", 0)) > 0:
+        result["backtest"] = tested(int(config["backtest_origins"]))
+        result["backtest_metrics"] = backtest.backtest_metrics(result["backtest"], config.get("partition_by") or [])
+    return result
+
+
 @register("prophet_forecaster", "forecasting")
 def _additive(inputs, config):
     df, date, target, keys = _series(inputs["dataframe"], config)
-    out = forecast.additive_forecast(
-        df, date, target, int(config.get("horizon_periods", 14)), config.get("frequency", "D (Daily)").split()[0],
-        config.get("seasonality_mode", "additive"), keys)
-    return {"dataframe": out, "forecast_df": out, "task_type": "time_series_forecasting",
-            "metrics": forecast.forecast_trend(out, keys=keys)}
+    horizon, mode = int(config.get("horizon_periods", 14)), config.get("seasonality_mode", "additive")
+    out, report = forecast.additive_report(df, date, target, horizon, config.get("frequency", "D (Daily)").split()[0], mode, keys)
+    return _forecast(out, report, df, config, lambda origins: backtest.backtest_additive(
+        df, date, target, horizon, origins, keys=keys, seasonality_mode=mode))
 
 
 @register("arima_forecaster", "forecasting")
 def _arima(inputs, config):
     df, date, target, keys = _series(inputs["dataframe"], config)
-    out = forecast.arima_forecast(
-        df, date, target, int(config.get("p", 1)), int(config.get("d", 1)), int(config.get("q", 1)),
-        int(config.get("horizon_periods", 14)), config.get("frequency", "D").split()[0], keys)
-    return {"dataframe": out, "forecast_df": out, "task_type": "time_series_forecasting",
-            "metrics": forecast.forecast_trend(out, keys=keys)}
+    order, horizon = [int(config.get(n, 1)) for n in "pdq"], int(config.get("horizon_periods", 14))
+    out, report = forecast.arima_report(df, date, target, *order, horizon, config.get("frequency", "D").split()[0], keys)
+    return _forecast(out, report, df, config, lambda origins: backtest.backtest_arima(
+        df, date, target, *order, horizon, origins, keys=keys))
+
+
+def _metric_values(metrics: DataFrame) -> dict:
+    """A one-row table as it is; of several rows (one per series or class) the count and the mean of each number."""
+    numbers = [f.name for f in metrics.schema.fields if isinstance(f.dataType, T.NumericType)]
+    texts = [c for c in metrics.columns if c not in numbers]
+    row = metrics.agg(F.count(F.lit(1)).alias("_rows"), *[F.avg(f"`{c}`").alias(c) for c in numbers],
+                      *[F.min(F.col(f"`{c}`").cast("string")).alias(c) for c in texts]).first().asDict()
+    rows = row.pop("_rows")
+    if rows == 0:
+        return {}
+    return row if rows == 1 else {"rows": rows, **{c: row[c] for c in numbers}}
 
 
 @register("mlflow_tracker", "governance", needs=())
 def _track(inputs, config):
     metrics = inputs.get("metrics") or {}
     if isinstance(metrics, DataFrame):
-        row = metrics.first()
-        metrics = row.asDict() if row is not None else {}
+        metrics = _metric_values(metrics)
     record = runs.log_run(
         SparkSession.active(), config["tracking_uri"], metrics,
         model=getattr(inputs.get("model"), "pipeline", None),

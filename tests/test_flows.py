@@ -140,6 +140,25 @@ def test_whole_spec_with_evaluation(spark):
     assert regression["judge"]["metrics"].first().r2_score > 0.9
 
 
+def test_forecast_spec_with_evaluation(spark):
+    df = spark.range(60).select(F.expr("timestampadd(DAY, CAST(id DIV 2 AS INT), timestamp_ntz'2026-01-01')").alias("day"),
+                                F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("k"), (F.col("id") + F.col("id") % 5).cast("double").alias("y"))
+    uri = shared_folder(spark, "runs")
+    for recipe in ("prophet_forecaster", "arima_forecaster"):
+        nodes = [("f", recipe, {"horizon_periods": 3, "partition_by": ["k"], "date_column": "day", "target_column": "y", "backtest_origins": 2}),
+                 ("judge", "model_evaluator", {}), ("log", "mlflow_tracker", {"tracking_uri": uri})]
+        spec = {"nodes": [{"id": i, "recipe_id": r, "config": c} for i, r, c in nodes],
+                "edges": [{"source": "f", "target": "judge"}, {"source": "judge", "target": "log"}]}
+        out = pipeline.run_pipeline(spec, df)
+        rows = out["judge"]["metrics"].collect()
+        assert sorted(r.k for r in rows) == ["a", "b"] and all(r.status == "fitted" and r.mae >= 0 for r in rows)
+        assert {(r.k, r.tested) for r in out["f"]["backtest_metrics"].collect()} == {("a", 6), ("b", 6)}
+        logged = {r["name"]: r["value"] for r in runs.run_metrics(spark, uri).collect() if r["run_id"] == out["log"]["governance_record"]["run_id"]}
+        assert logged["rows"] == 2 and logged["mae"] == pytest.approx(sum(r.mae for r in rows) / 2)
+    with pytest.raises(ValueError, match="lacks"):
+        pipeline.run_pipeline({"nodes": [{"id": "j", "recipe_id": "model_evaluator"}], "edges": []}, df)
+
+
 def test_spec_errors(spark):
     loop = {"nodes": [{"id": i, "recipe_id": "cron_trigger"} for i in "ab"],
             "edges": [{"source": "a", "target": "b"}, {"source": "b", "target": "a"}]}

@@ -6,7 +6,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tabloom.operators import forecast, leastsq, timeseries
+from tabloom.operators import backtest, forecast, leastsq, timeseries
 
 DAY0 = dt.datetime(2026, 1, 1)
 
@@ -140,3 +140,64 @@ def test_null_key_is_a_series(spark):
     df = spark.createDataFrame(rows, "k string, d timestamp_ntz, y double")
     got = forecast.additive_forecast(df, "d", "y", 3, keys=["k"]).groupBy("k").count().collect()
     assert {r["k"]: r["count"] for r in got} == {"a": 23, None: 23}
+
+
+def test_cut_offs_leave_later_dates_out(spark):
+    days = [("a", i) for i in range(12)] + [("a", 11), (None, 0), (None, 1), (None, 2), (None, 3)]
+    df = spark.createDataFrame([(k, DAY0 + dt.timedelta(days=i), float(i)) for k, i in days], "k string, ds timestamp_ntz, y double")
+    cuts, tests = backtest.cut_offs(df, 2, 3, 4, ["k"])
+    day = lambda t: (t - DAY0).days
+    assert sorted((str(r.k), r.origin, day(r.cutoff)) for r in cuts.collect()) == [("None", 1, 1), ("a", 1, 9), ("a", 2, 5), ("a", 3, 1)]
+    got = sorted((str(r.k), r.origin, r.step, day(r.ds)) for r in tests.collect())
+    assert got == [("None", 1, 1, 2), ("None", 1, 2, 3), ("a", 1, 1, 10), ("a", 1, 2, 11), ("a", 1, 2, 11),
+                   ("a", 2, 1, 6), ("a", 2, 2, 7), ("a", 3, 1, 2), ("a", 3, 2, 3)]
+    assert backtest.cut_offs(df.filter("false"), 2, keys=["k"])[1].count() == 0
+    with pytest.raises(ValueError):
+        backtest.cut_offs(df, 0)
+
+
+def test_backtest_equals_single_forecasts(spark):
+    rng = np.random.default_rng(4)
+    values = 100 + np.cumsum(rng.normal(size=60))
+    df = _daily(spark, values)
+    tested = backtest.backtest_arima(df, "Date", "Sales", 1, 1, 1, horizon=4, origins=2)
+    rows = sorted(tested.collect(), key=lambda r: (r.origin, r.step))
+    assert [(r.origin, r.step) for r in rows] == [(o, s) for o in (1, 2) for s in (1, 2, 3, 4)]
+    for origin in (1, 2):
+        series = forecast.prepare_series(_daily(spark, values[:60 - 4 * origin]), "Date", "Sales")
+        fit, history = forecast.fit_arima(series, 1, 1, 1)
+        ahead = forecast.predict_arima(fit, history, 1, 1, 1, 4).orderBy("ds").collect()
+        mine = [r for r in rows if r.origin == origin]
+        assert [r.yhat for r in mine] == pytest.approx([a.yhat for a in ahead])
+        assert [r.y for r in mine] == pytest.approx(values[60 - 4 * origin:64 - 4 * origin].tolist())
+    additive = backtest.backtest_additive(df, "Date", "Sales", 4, 2).filter("origin = 2").orderBy("step").collect()
+    want = forecast.additive_forecast(_daily(spark, values[:52]), "Date", "Sales", 4).filter("is_future = 1").orderBy("ds").collect()
+    assert [round(r.yhat, 2) for r in additive] == pytest.approx([w.yhat for w in want], abs=0.011)
+    total = backtest.backtest_metrics(tested).first()
+    assert (total.tested, total.unfitted) == (8, 0) and total.mae <= total.rmse and 0 <= total.coverage <= 1
+    assert backtest.backtest_metrics(tested, ["step"]).count() == 4
+
+
+def test_backtest_of_short_series(spark):
+    df = _daily(spark, range(6))
+    tested = backtest.backtest_additive(df, "Date", "Sales", 3, 2)
+    assert [(r.origin, r.yhat) for r in tested.collect()] == [(1, None)] * 3
+    row = backtest.backtest_metrics(tested).first()
+    assert (row.tested, row.unfitted, row.mae) == (3, 3, None)
+
+
+@pytest.mark.parametrize("order", [(1, 1, 1), (2, 0, 1), (1, 1, 0), (0, 2, 1)])
+def test_shortest_arima_series_is_fitted(spark, order):
+    values = [3.0, 5.0, 4.0, 7.0, 6.0, 9.0][:sum(order) + 3]
+    out, report = forecast.arima_report(_daily(spark, values), "Date", "Sales", *order, 2)
+    assert report.first().status == "fitted"
+    assert all(r.yhat is not None and math.isfinite(r.yhat) for r in out.collect()) and out.count() == len(values) + 2
+
+
+def test_report_per_series(spark):
+    df = _daily(spark, [1, 2, 3]).withColumn("k", F.lit(None).cast("string")).unionByName(
+        _daily(spark, [10 + i + (i % 3) for i in range(30)]).withColumn("k", F.lit("long")))
+    for report in (forecast.additive_report(df, "Date", "Sales", 3, keys=["k"])[1], forecast.arima_report(df, "Date", "Sales", horizon_periods=3, keys=["k"])[1]):
+        rows = {r.k: r for r in report.collect()}
+        assert rows["long"].status == "fitted" and rows["long"].historical_points == 30 and rows["long"].mae < 2
+        assert rows[None].status == "too short" and rows[None].mae is None and rows[None].mape is None and rows[None].historical_points == 3

@@ -1,11 +1,17 @@
 """Reading and writing, nested records, streams, pipeline specs, run tables."""
 
+import io
+import zipfile
+from xml.sax.saxutils import escape
+
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tabloom.operators import dedup, evaluate, guard, impute, recommend
 from tabloom.plans import pipeline, runs
 from tabloom.session import shared_folder
 from tabloom.sources import tables
+from tabloom.sources.excel import parse_workbooks
 from tabloom.streaming import jobs
 
 from .base import EVENTS_NULLS, SCORED_DOCS, events_nulls, query, scored_docs, table
@@ -31,6 +37,40 @@ def read_csv_line_breaks(spark, sf):
     return tables.read_table(spark, path, schema="doc_id long, text string, note string")
 
 
+def _workbook(customers: pa.Table) -> pa.Table:
+    """One workbook of some customers: numbers, shared texts, numbers as text, dates, booleans, formula texts."""
+    main = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+    links = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    rows, shared = customers.to_pylist(), []
+    body = ['<row>' + "".join(f'<c t="inlineStr"><is><t>{n}</t></is></c>' for n in ("key", "name", "code", "balance", "since", "rich", "segment")) + "</row>"]
+    for r in rows:
+        shared.append(r["c_name"])
+        body.append(f'<row><c><v>{r["c_custkey"]}</v></c><c t="s"><v>{len(shared) - 1}</v></c><c t="inlineStr"><is><r><t>00</t></r><r><t>{r["c_custkey"]}</t></r></is></c>'
+                    f'<c><v>{r["c_acctbal"]!r}</v></c><c s="1"><v>{43831 + r["c_custkey"] % 1000 + 0.25}</v></c>'
+                    f'<c t="b"><v>{int(r["c_acctbal"] > 0)}</v></c>'
+                    + (f'<c t="str"><v>{escape(r["c_mktsegment"])}</v></c>' if r["c_custkey"] % 3 else '<c t="e"><v>#N/A</v></c>') + "</row>")
+    parts = {
+        "xl/workbook.xml": f'<workbook xmlns="{main}" xmlns:r="{links}"><sheets><sheet name="a" sheetId="1" r:id="rId1"/></sheets></workbook>',
+        "xl/_rels/workbook.xml.rels": '<Relationships xmlns="x"><Relationship Id="rId1" Target="worksheets/sheet1.xml"/></Relationships>',
+        "xl/styles.xml": f'<styleSheet xmlns="{main}"><numFmts><numFmt numFmtId="164" formatCode="[Red]yyyy\\-mm\\-dd hh:mm"/></numFmts><cellXfs><xf numFmtId="0"/><xf numFmtId="164"/></cellXfs></styleSheet>',
+        "xl/sharedStrings.xml": f'<sst xmlns="{main}">' + "".join(f"<si><t>{escape(t)}</t></si>" for t in shared) + "</sst>",
+        "xl/worksheets/sheet1.xml": f'<worksheet xmlns="{main}"><sheetData>{"".join(body)}</sheetData></worksheet>',
+    }
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as book:
+        for name, text in parts.items():
+            book.writestr(name, text)
+    return pa.table({"path": [f"{rows[0]['part']}.xlsx"], "content": [out.getvalue()]})
+
+
+@query("read_excel_cells", """SELECT CAST(c_custkey AS DOUBLE) AS key, c_name AS name, '00' || c_custkey AS code, c_acctbal AS balance,
+    TIMESTAMP '2020-01-01 06:00:00' + to_days(CAST(c_custkey % 1000 AS INTEGER)) AS since, c_acctbal > 0 AS rich,
+    CASE WHEN c_custkey % 3 <> 0 THEN c_mktsegment END AS segment FROM customer""")
+def read_excel_cells(spark, sf):
+    c = table(spark, sf, "customer").select("c_custkey", "c_name", "c_acctbal", "c_mktsegment", F.floor(F.col("c_custkey") / 500).alias("part"))
+    return parse_workbooks(c.groupBy("part").applyInArrow(_workbook, "path string, content binary"))
+
+
 @query("read_json_roundtrip", "SELECT * FROM orders")
 def read_json_roundtrip(spark, sf):
     o = table(spark, sf, "orders")

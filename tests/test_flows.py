@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tabloom.operators import guard, stages
 from tabloom.plans import audit, pipeline, registry, runs
 from tabloom.session import shared_folder, written_table
-from tabloom.sources import csv_records, tables
+from tabloom.sources import csv_records, excel, tables
 from tabloom.streaming import jobs
 
 MAIN = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
@@ -47,6 +47,25 @@ def test_workbooks(spark, tmp_path):
     assert every.columns == ["name", "x", "extra"] and {r.name: r.extra for r in every.collect()} == {"p": None, "q": None, "r": None, "s": 7.0}
 
 
+def test_workbook_kinds(spark):
+    assert excel.is_date_format("yyyy-mm-dd") and excel.is_date_format("[h]:mm") and excel.is_date_format("m/d/yy;@")
+    assert not any(map(excel.is_date_format, ("General", "0.00", '0 "days"', "[Red]0", "0\\d", "#,##0_);[Red](#,##0)")))
+    assert excel.serial_date(1) == "1900-01-01 00:00:00.000" and excel.serial_date(61) == "1900-03-01 00:00:00.000"
+    assert excel.serial_date(43831.5) == "2020-01-01 12:00:00.000" and excel.serial_date(0, True) == "1904-01-01 00:00:00.000"
+    assert excel.serial_date(1e12) is None
+    books = [("1.xlsx", _workbook([["n", "t", "n", "mixed", None], [1, "00123", 7, "x", 5], [None, "4", None, 2.5]])), ("2.xlsx", _workbook([["t", "void"], ["z"]])),
+             ("3.xlsx", _workbook([]))]
+    files = spark.createDataFrame(books, "path string, content binary")
+    df = excel.parse_workbooks(files)
+    assert dict(df.dtypes) == {"n": "double", "t": "string", "n.1": "double", "mixed": "string", "void": "double"}
+    assert sorted((r["t"], r["n"], r["n.1"], r["mixed"], r["void"]) for r in df.collect()) == [
+        ("00123", 1.0, 7.0, "x", None), ("4", None, None, "2.5", None), ("z", None, None, None, None)]
+    given = excel.parse_workbooks(files, "t int, n long").orderBy("t").collect()
+    assert [(r.t, r.n) for r in given] == [(None, None), (4, None), (123, 1)]
+    with pytest.raises(ValueError, match="header"):
+        excel.parse_workbooks(files.filter("path = '3.xlsx'"))
+
+
 def test_formats_and_errors(spark, tmp_path):
     assert tables.format_of("a/b.CSV") == "csv"
     for bad in ("a.xls", "a.pdf", "noext"):

@@ -201,3 +201,20 @@ def test_report_per_series(spark):
         rows = {r.k: r for r in report.collect()}
         assert rows["long"].status == "fitted" and rows["long"].historical_points == 30 and rows["long"].mae < 2
         assert rows[None].status == "too short" and rows[None].mae is None and rows[None].mape is None and rows[None].historical_points == 3
+
+
+def test_least_squares_sends_little(spark):
+    """Short series are sent as their rows, long ones as one triangle per task, unused regressors not at all."""
+    x = F.array(F.lit(1.0), F.col("id") / 7, F.lit(0.0), F.sin("id"), *[F.lit(0.0)] * 30)
+    y = 3.0 + F.col("id") / 7 * 0.5 - 2 * F.sin("id")
+    keys = F.when(F.col("id") % 3 == 0, F.lit(None).cast("long")).otherwise(F.col("id") % 40).alias("k")
+    df = spark.range(9_000).repartition(5).select(keys, F.lit("a").alias("s"), x.alias("x"), y.alias("y"))
+    rows = leastsq.fit_least_squares(df, "x", "y", 34, ["k", "s"]).collect()
+    assert sum(r.n for r in rows) == 9_000 and {r.k for r in rows} == {None, *range(40)}
+    for r in rows:
+        assert [r.coef[i] for i in (0, 1, 3)] == pytest.approx([3.0, 0.5, -2.0], abs=1e-6) and sum(map(abs, r.coef)) < 5.6
+    tall = leastsq._Triangle.of(np.eye(4)[np.arange(400) % 3], np.arange(400.0))
+    assert len(tall.record()[2]) == 16 and tall.columns.tolist() == [0, 1, 2, 4]
+    few = leastsq._Triangle.of(np.ones((2, 34)), np.ones(2))
+    assert len(few.record()[2]) == 70
+    assert leastsq.fit_least_squares(df.filter("false"), "x", "y", 34, ["k", "s"]).count() == 0

@@ -92,7 +92,9 @@ def flagged_sample(df: DataFrame, order_by: list[str], flag: str = "is_outlier",
 
 
 def top_anomalies(df: DataFrame, score: str = "anomaly_score", key: str | None = None, limit: int = 10) -> DataFrame:
-    """The highest scores, ties by key."""
-    ties = [F.col(f"`{key}`").asc()] if key else []
+    """The highest scores; ties by key, or without one by a hash of the row, so reruns agree."""
+    # Maps and variants have no hash.
+    plain = [f.name for f in df.schema.fields if not any(t in f.dataType.simpleString() for t in ("map<", "variant"))]
+    ties = [F.col(f"`{key}`").asc()] if key else [F.xxhash64(*[F.col(f"`{c}`") for c in plain])]
     return df.orderBy(F.col(f"`{score}`").desc(), *ties).limit(limit)
 

@@ -100,9 +100,9 @@ def export_csv(df: DataFrame, path: str) -> str:
     return write_table(df, path, "csv")
 
 
-def preview(df: DataFrame, order_by: Sequence[str], limit: int = PREVIEW_DEFAULT) -> DataFrame:
-    """The first rows, non-finite numbers as null."""
-    limit = max(1, min(PREVIEW_MAX, limit))
+def preview(df: DataFrame, order_by: Sequence[str], limit: int = PREVIEW_DEFAULT, most: int = PREVIEW_MAX) -> DataFrame:
+    """The first `limit` rows, at least one and no more than `most`; non-finite numbers as null."""
+    limit = max(1, min(most, limit))
     return clean_non_finite(df.orderBy(*order_by).limit(limit))
 
 

@@ -289,3 +289,16 @@ def test_line_breaks_in_quotes_are_read_in_many_tasks(spark, tmp_path, split):
     bad.write_text('id,note\n1,"open\n2,never closed\n')
     with pytest.raises(Exception, match="left open"):
         tables.read_table(spark, str(bad)).collect()
+
+
+def test_top_anomalies_without_key_agree(spark):
+    df = spark.range(200).select("id", (F.col("id") % 2).cast("double").alias("anomaly_score"))
+    first = [r.id for r in guard.top_anomalies(df.repartition(7), limit=5).collect()]
+    assert first == [r.id for r in guard.top_anomalies(df.repartition(2), limit=5).collect()] and all(i % 2 for i in first)
+    assert [r.id for r in guard.top_anomalies(df, key="id", limit=2).collect()] == [1, 3]
+
+
+def test_preview_bounds(spark):
+    df = spark.range(300)
+    assert [tables.preview(df, ["id"], n).count() for n in (0, 7, 250)] == [1, 7, 100]
+    assert tables.preview(df, ["id"], 250, most=250).count() == 250

@@ -192,6 +192,37 @@ def corr_filter_spearman(spark, sf):
     return _pair_rows(spark, redundancy.correlation_pairs(lines, "spearman"))
 
 
+# Ranks among the rows where both columns of the pair are known; the columns miss values in different rows.
+_LINE_GAPS = """(SELECT l_orderkey, l_linenumber, l_tax,
+    CASE WHEN l_orderkey % 3 <> 0 THEN l_quantity END AS l_quantity,
+    CASE WHEN l_partkey % 4 <> 0 THEN l_extendedprice END AS l_extendedprice,
+    CASE WHEN l_orderkey % 3 <> 0 THEN l_quantity * l_quantity END AS squared FROM lineitem)"""
+_GAP_NUMBERS = ["l_orderkey", "l_linenumber", "l_tax", "l_quantity", "l_extendedprice", "squared"]
+
+
+def _line_gaps(spark, sf):
+    known = F.col("l_orderkey") % 3 != 0
+    return table(spark, sf, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_tax", F.when(known, F.col("l_quantity")).alias("l_quantity"),
+        F.when(F.col("l_partkey") % 4 != 0, F.col("l_extendedprice")).alias("l_extendedprice"),
+        F.when(known, F.col("l_quantity") * F.col("l_quantity")).alias("squared"))
+
+
+@query("correlation_pairs_spearman_gaps", " UNION ALL ".join(
+    f"""SELECT '{a}' AS earlier, '{b}' AS later, round(corr(x, y), 6) AS r FROM (SELECT
+        rank() OVER (ORDER BY {a}) + (count(*) OVER (PARTITION BY {a}) - 1) / 2.0::DOUBLE AS x,
+        rank() OVER (ORDER BY {b}) + (count(*) OVER (PARTITION BY {b}) - 1) / 2.0::DOUBLE AS y
+        FROM {_LINE_GAPS} WHERE {a} IS NOT NULL AND {b} IS NOT NULL)"""
+    for a, b in _pairs(_GAP_NUMBERS)))
+def correlation_pairs_spearman_gaps(spark, sf):
+    return _pair_rows(spark, redundancy.correlation_pairs(_line_gaps(spark, sf), "spearman"))
+
+
+@query("spearman_filter", f"SELECT l_orderkey, l_linenumber, l_tax, l_quantity, l_extendedprice FROM {_LINE_GAPS}")
+def spearman_filter(spark, sf):
+    return redundancy.correlation_filter(_line_gaps(spark, sf), 0.95, "spearman")
+
+
 def _lineitem_const(spark, sf):
     return table(spark, sf, "lineitem").select(
         "l_orderkey", "l_returnflag", "l_linestatus", "l_tax",

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from ..columns import names_of
 from ..functions.numeric import nan_to_null
-from .ordered import MAX_TASK_ROWS, running_sums
+from .ordered import MAX_TASK_ROWS
 from .quantiles import value_counts
+from .rank_correlation import spearman_pairs
 
 PAIRS_PER_PASS = 400
 
@@ -21,13 +22,13 @@ def correlation_pairs(
 ) -> list[tuple[str, str, float | None]]:
     """`(earlier, later, correlation)` over the rows where both are known.
 
-    Pearson: all pairs in one aggregate (a few hundred per pass). Spearman: the
-    same on average ranks.
+    Pearson: all pairs in one aggregate (a few hundred per pass). Spearman: average
+    ranks of all pairs from one long table.
     """
     names = list(columns or names_of(df, "numeric"))
     clean = nan_to_null(df.select(*[F.col(f"`{n}`") for n in names]), names)
     if method == "spearman":
-        return _spearman_pairs(clean, names, max_task_rows)
+        return spearman_pairs(clean, names, max_task_rows)
     if method != "pearson":
         raise ValueError(f"unknown correlation method: {method}")
     return _pearson_pairs(clean, list(combinations(names, 2)))
@@ -52,45 +53,6 @@ def _pearson_pairs(df: DataFrame, pairs: list[tuple[str, str]]) -> list[tuple[st
     return out
 
 
-def average_rank(df: DataFrame, column: str, name: str, max_task_rows: int = MAX_TASK_ROWS) -> DataFrame:
-    """Add the rank of the value, ties sharing their average; null has no rank.
-
-    Equal values are counted first, so the ordered work is on distinct values, in
-    ranges; the ranks come back by an equi-join on the value.
-    """
-    counts = (
-        df.filter(F.col(f"`{column}`").isNotNull())
-        .groupBy(F.col(f"`{column}`").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
-    )
-    ranked = running_sums(counts, {"_before": F.col("_n")}, ["_v"], max_task_rows=max_task_rows)
-    ranks = ranked.select("_v", (F.col("_before") + (F.col("_n") + 1) / 2.0).alias(name))
-    return df.join(ranks, F.col(f"`{column}`") == F.col("_v"), "left").drop("_v")
-
-
-def _spearman_pairs(df: DataFrame, names: list[str], max_task_rows: int):
-    nulls = df.agg(*[F.count_if(F.col(f"`{n}`").isNull()).alias(f"n{i}") for i, n in enumerate(names)]).first()
-    full = [n for i, n in enumerate(names) if nulls[f"n{i}"] == 0]
-    shared = df
-    for i, n in enumerate(full):
-        shared = average_rank(shared, n, f"_rank{i}", max_task_rows)
-    rank_of = {n: f"_rank{i}" for i, n in enumerate(full)}
-    found = {}
-    pairs = [(a, b) for a, b in combinations(names, 2) if a in rank_of and b in rank_of]
-    for a, b, r in _pearson_pairs(shared, [(rank_of[a], rank_of[b]) for a, b in pairs]):
-        found[(a, b)] = r
-    out = []
-    for a, b in combinations(names, 2):
-        if a in rank_of and b in rank_of:
-            r = found[(rank_of[a], rank_of[b])]
-        else:
-            # Ranks are taken among the rows where both columns are known.
-            both = df.select(F.col(f"`{a}`").alias("a"), F.col(f"`{b}`").alias("b")).dropna()
-            both = average_rank(average_rank(both, "a", "ra", max_task_rows), "b", "rb", max_task_rows)
-            r = _pearson_pairs(both, [("ra", "rb")])[0][2]
-        out.append((a, b, r))
-    return out
-
-
 def correlated_columns(pairs, threshold: float = 0.95) -> list[str]:
     """Columns whose absolute correlation with any earlier column exceeds the threshold."""
     hit = [later for _, later, r in pairs if r is not None and abs(r) > threshold]

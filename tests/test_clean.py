@@ -1,5 +1,6 @@
 import math
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -143,6 +144,40 @@ def test_spearman_in_ranges(spark):
     assert redundancy.correlation_pairs(df, "spearman", max_task_rows=10)[0][2] == pytest.approx(want)
 
 
+def test_spearman_with_gaps_in_every_column(spark):
+    rng = np.random.default_rng(5)
+    pdf = pd.DataFrame({c: rng.integers(0, 12, 300).astype(float) for c in "abcd"})
+    for i, c in enumerate("abd"):
+        pdf.loc[rng.random(300) < 0.1 * (i + 1), c] = None
+    df = spark.createDataFrame(pdf.astype(object).where(pdf.notna(), None).values.tolist(), "a double, b double, c double, d double")
+    want = pdf.corr("spearman")
+    for ranges in (20, 1000):
+        found = redundancy.correlation_pairs(df, "spearman", max_task_rows=ranges)
+        assert [(a, b) for a, b, _ in found] == [("a", "b"), ("a", "c"), ("a", "d"), ("b", "c"), ("b", "d"), ("c", "d")]
+        for a, b, r in found:
+            assert r == pytest.approx(want.loc[a, b])
+
+
+def test_spearman_of_large_whole_numbers_and_decimals(spark):
+    # The doubles of neighbouring values are equal, their ranks are not.
+    top = 2**63 - 8
+    rows = [(top + i, (7 - i), f"{10**20 + i}.{i:02d}") for i in range(8)]
+    df = spark.createDataFrame(rows, "a long, b int, c string").select("a", "b", F.col("c").cast("decimal(30,2)").alias("c"))
+    assert [r for _, _, r in redundancy.correlation_pairs(df, "spearman")] == pytest.approx([-1.0, 1.0, -1.0])
+
+
+def test_spearman_edge_cases(spark):
+    pairs = lambda df: redundancy.correlation_pairs(df, "spearman")
+    empty = spark.createDataFrame([], "a double, b int")
+    assert pairs(empty) == [("a", "b", None)]
+    assert pairs(spark.createDataFrame([(1.0, None), (None, 2)], "a double, b int")) == [("a", "b", None)]
+    assert pairs(spark.createDataFrame([(1.0, 3), (1.0, 4)], "a double, b int")) == [("a", "b", None)]
+    assert pairs(spark.createDataFrame([(1.0,)], "a double")) == []
+    nan = spark.createDataFrame([(float("nan"), 9, 1), (1.0, 1, 1), (2.0, 2, 1), (3.0, 3, 1)], "a double, b int, ranking int")
+    assert pairs(nan) == [("a", "b", pytest.approx(1.0)), ("a", "ranking", None), ("b", "ranking", None)]
+    assert redundancy.correlation_filter(nan, 0.9, "spearman").columns == ["a", "ranking"]
+
+
 def test_variance_filter(spark):
     df = spark.createDataFrame([(i, "x" if i else "y", None if i > 3 else 1) for i in range(100)], "id int, c string, n int")
     assert redundancy.variance_filter(df).columns == ["id", "n"]

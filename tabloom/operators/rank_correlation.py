@@ -2,9 +2,11 @@
 
 Ranks are taken among the rows where both columns of a pair are known. A column therefore has
 one ranking of its own, and one more for each other column that has nulls. All rankings are
-melted into rows `(ranking, value, row)`, equal values are counted, one pass of running sums over
-the counts gives every average rank, and the ranks come back to their rows by one join. The rows
-then add up to a Gram matrix of the rankings: each task sends its sums for the wanted pairs only.
+melted into rows `(ranking, value)`, equal values are counted, one pass of running sums over the
+counts gives every average rank, and the ranks come back to their rows by one join: a broadcast if
+there are few different values, which leaves the rows where they are, else shuffled by value and by
+row. The rows then add up to a Gram matrix of the rankings: each task sends its sums for the wanted
+pairs only.
 
 The number of jobs depends neither on the columns nor on the nulls, no task holds a column, and
 what reaches the driver is one number per pair and ranking. Ranks are centred, (n + 1) / 2 being
@@ -24,16 +26,21 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import written_table
+from ..sources.tables import fill_cores
 from .ordered import MAX_TASK_ROWS, running_sums
 
 ROW = "_row"
+# Kinds of numbers that a double may not hold exactly.
+LOSSY = (T.LongType, T.DecimalType)
+# Different values (28 bytes each) up to this number are broadcast.
+MAX_BROADCAST_ROWS = 200_000
 
 
 def _value(name: str, dtype: T.DataType) -> tuple[Column, Column]:
     """Two doubles that order like the value: its double, and what the double lost."""
     c = F.col(f"`{name}`")
     number = c.cast("double")
-    if not isinstance(dtype, (T.LongType, T.DecimalType)):
+    if not isinstance(dtype, LOSSY):
         return number, F.lit(0.0)
     wide = T.DecimalType(38, dtype.scale if isinstance(dtype, T.DecimalType) else 0)
     lost = c.cast(wide) - number.try_cast(wide)
@@ -47,26 +54,36 @@ def _rankings(names: Sequence[str], missing: dict[str, int]) -> list[tuple[str,
 
 
 def _gram(size: int, cells: list[tuple[int, int]]):
-    """Sums of products of the wanted pairs of rankings over the rows of a task."""
+    """Sums of products of the wanted pairs of rankings; the entries of a row follow each other."""
     left, right = (np.array(side, dtype=np.int64) for side in zip(*cells))
 
+    def products(rows: np.ndarray, rankings: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+        matrix = np.zeros((1 + np.count_nonzero(np.diff(rows)), size))
+        matrix[np.concatenate([[0], np.cumsum(np.diff(rows) != 0)]), rankings] = ranks
+        return (matrix.T @ matrix)[left, right]
+
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros(len(left))
+        sums, held = np.zeros(len(left)), None
         for batch in batches:
-            entries = batch.column(0)
-            lengths = np.diff(entries.offsets.to_numpy())
-            flat = entries.flatten()
-            ranks = np.zeros((len(entries), size))
-            at = flat.field("ranking").to_numpy(zero_copy_only=False)
-            ranks[np.repeat(np.arange(len(entries)), lengths), at] = flat.field("rank").to_numpy(zero_copy_only=False)
-            sums += (ranks.T @ ranks)[left, right]
+            part = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            if held is not None:
+                part = [np.concatenate(both) for both in zip(held, part)]
+            if not len(part[0]):
+                continue
+            # The last row may go on in the next batch.
+            cut = np.searchsorted(part[0] == part[0][-1], True)
+            if cut:
+                sums += products(*[c[:cut] for c in part])
+            held = [c[cut:] for c in part]
+        if held is not None:
+            sums += products(*held)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(left)), pa.int64()), pa.array(sums)], names=["cell", "total"])
 
     return add
 
 
 def spearman_pairs(
-    df: DataFrame, names: Sequence[str], max_task_rows: int = MAX_TASK_ROWS
+    df: DataFrame, names: Sequence[str], max_task_rows: int = MAX_TASK_ROWS, max_broadcast_rows: int = MAX_BROADCAST_ROWS
 ) -> list[tuple[str, str, float | None]]:
     """`(earlier, later, correlation)`; None for a constant column and for pairs never known together.
 
@@ -76,32 +93,42 @@ def spearman_pairs(
     if not pairs:
         return []
     types = {n: df.schema[n].dataType for n in names}
-    rows = written_table(df.select(F.monotonically_increasing_id().alias(ROW), *[F.col(f"`{n}`") for n in names]), "ranked_rows")
     known = {n: F.col(f"`{n}`").isNotNull() for n in names}
-    counts = rows.agg(F.count(F.lit(1)).alias("rows"), *[F.count(F.col(f"`{n}`")).alias(f"c{i}") for i, n in enumerate(names)]).first()
+    counts = df.agg(F.count(F.lit(1)).alias("rows"), *[F.count(F.col(f"`{n}`")).alias(f"c{i}") for i, n in enumerate(names)]).first()
     rankings = _rankings(names, {n: counts["rows"] - counts[f"c{i}"] for i, n in enumerate(names)})
     number = {r: i for i, r in enumerate(rankings)}
 
+    # Doubles alone hold most kinds of numbers.
+    order = ["num", "low"] if any(isinstance(t, LOSSY) for t in types.values()) else ["num"]
+    key = ["ranking", *order]
     entries = []
     for (n, other), i in number.items():
         num, low = _value(n, types[n])
         wanted = known[n] if other is None else known[n] & known[other]
-        entries.append(F.when(wanted, F.struct(F.lit(i).alias("ranking"), num.alias("num"), low.alias("low"))))
+        entries.append(F.when(wanted, F.struct(F.lit(i).alias("ranking"), num.alias("num"), *([low.alias("low")] if "low" in key else []))))
     melted = F.explode(F.filter(F.array(*entries), lambda e: e.isNotNull())).alias("e")
-    long = rows.select(ROW, melted).select(ROW, "e.ranking", "e.num", "e.low")
-
-    key = ["ranking", "num", "low"]
-    values = written_table(long.groupBy(*key).agg(F.count(F.lit(1)).alias("n")), "ranked_values")
-    # One number per ranking, whose count is set by the columns.
-    sizes = {r["ranking"]: r["n"] for r in values.groupBy("ranking").agg(F.sum("n").alias("n")).collect()}
-    middle = F.array(*[F.lit((sizes.get(i, 0) + 1) / 2.0) for i in range(len(rankings))])[F.col("ranking")]
-    before = running_sums(values, {"_before": F.col("n")}, ["num", "low"], ["ranking"], max_task_rows)
+
+    def long(rows: DataFrame) -> DataFrame:
+        return rows.select(ROW, melted).select(ROW, *[f"e.{k}" for k in key])
+
+    numbered = fill_cores(df.select(*[F.col(f"`{n}`") for n in names])).withColumn(ROW, F.monotonically_increasing_id())
+    values = written_table(long(numbered).groupBy(*key).agg(F.count(F.lit(1)).alias("n")), "ranked_values")
+    # One row per ranking, whose number is set by the columns.
+    stored = {r["ranking"]: r for r in values.groupBy("ranking").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("values")).collect()}
+    middle = F.array(*[F.lit((stored[i]["n"] + 1) / 2.0 if i in stored else 0.0) for i in range(len(rankings))])[F.col("ranking")]
+    before = running_sums(values, {"_before": F.col("n")}, order, ["ranking"], max_task_rows)
     ranks = before.select(*key, (F.col("_before") + (F.col("n") + 1) / 2.0 - middle).alias("rank"))
-    per_row = long.join(ranks, key).groupBy(ROW).agg(F.collect_list(F.struct("ranking", "rank")).alias("ranks")).select("ranks")
+    if sum(r["values"] for r in stored.values()) <= max_broadcast_rows:
+        ranked = long(numbered).join(F.broadcast(ranks), key)
+    else:
+        # The row numbers are written, as a task that is run again might number its rows anew.
+        ranked = long(written_table(numbered, "ranked_rows")).join(ranks.hint("shuffle_merge"), key)
+        ranked = ranked.repartition(ROW).sortWithinPartitions(ROW)
+    ranked = ranked.select(ROW, "ranking", "rank")
 
     sides = [(number[a, b] if (a, b) in number else number[a, None], number[b, a] if (b, a) in number else number[b, None]) for a, b in pairs]
     cells = list(dict.fromkeys([(i, i) for s in sides for i in s] + sides))
-    totals = per_row.mapInArrow(_gram(len(rankings), cells), "cell long, total double").groupBy("cell").agg(F.sum("total").alias("total"))
+    totals = ranked.mapInArrow(_gram(len(rankings), cells), "cell long, total double").groupBy("cell").agg(F.sum("total").alias("total"))
     found = {cells[r["cell"]]: r["total"] for r in totals.collect()}
     out = []
     for (a, b), (i, j) in zip(pairs, sides):

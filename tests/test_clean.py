@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tabloom.columns import resolve_columns
-from tabloom.operators import dedup, guard, impute, ordered, quantiles, redundancy, sanitize
+from tabloom.operators import dedup, guard, impute, ordered, quantiles, rank_correlation, redundancy, sanitize
 
 
 @pytest.fixture(scope="module")
@@ -151,8 +151,8 @@ def test_spearman_with_gaps_in_every_column(spark):
         pdf.loc[rng.random(300) < 0.1 * (i + 1), c] = None
     df = spark.createDataFrame(pdf.astype(object).where(pdf.notna(), None).values.tolist(), "a double, b double, c double, d double")
     want = pdf.corr("spearman")
-    for ranges in (20, 1000):
-        found = redundancy.correlation_pairs(df, "spearman", max_task_rows=ranges)
+    for ranges, broadcast in ((20, 0), (1000, 0), (20, 1000)):
+        found = rank_correlation.spearman_pairs(df, df.columns, ranges, broadcast)
         assert [(a, b) for a, b, _ in found] == [("a", "b"), ("a", "c"), ("a", "d"), ("b", "c"), ("b", "d"), ("c", "d")]
         for a, b, r in found:
             assert r == pytest.approx(want.loc[a, b])

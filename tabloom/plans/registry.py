@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators import (backtest, dedup, encode, evaluate, forecast, guard, impute, isolation, models, redundancy, sanitize,
-                         scale, score, split, stages, timeseries, vectorize)
+                         scale, score, split, stages, timeseries, vectorize, word_vectors)
 from ..sources import tables
 from . import runs
 
@@ -146,6 +146,12 @@ def _vectorize(inputs, config):
     if method == "word2vec":
         column, model = vectorize.fit_word2vec(df, config.get("column"), int(config.get("max_features", 50)))
         return {"dataframe": vectorize.word2vec(df, column, model, drop), "vectorizer": model, "text_column": column}
+    if method == "neighbours":
+        column = vectorize.text_column(df, config.get("column"))
+        if column is None:
+            return {"dataframe": df}
+        found = word_vectors.fit_word_vectors(df, column, int(config.get("max_features", 50)), **_given(config, "window", "shift", "min_count"))
+        return {"dataframe": word_vectors.document_vectors(df, column, found, drop), "vectorizer": found, "text_column": column}
     fitted = vectorize.fit_vectorizer(df, **_given(config, "method", "column", "max_features", "ngram_range"))
     if fitted is None:
         return {"dataframe": df}

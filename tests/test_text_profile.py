@@ -14,6 +14,23 @@ def _one(spark, value, expression):
     return spark.createDataFrame([(value,)], "t string").select(expression(F.col("t")).alias("r")).first().r
 
 
+@pytest.mark.parametrize("ties", [1000, 1])
+@pytest.mark.parametrize("size", [1, 4, 9, 500])
+def test_vocabulary_with_ngrams(spark, monkeypatch, size, ties):
+    monkeypatch.setattr(vectorize, "MOST_TIES", ties)
+    texts = ["one two one two three", "two one two", None, "", "one", "four five six seven", "one two three one one one", "é é é z z"]
+    counts = {}
+    for t in texts:
+        w = [x for x in (t or "").split() if len(x) > 1]
+        for n in (1, 2, 3):
+            for i in range(len(w) - n + 1):
+                term = " ".join(w[i:i + n])
+                counts[term] = counts.get(term, 0) + 1
+    want = sorted(sorted(counts, key=lambda x: (-counts[x], x))[:size])
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert vectorize.fit_vectorizer(df, "count", "t", size, "trigram")["vocabulary"] == want
+
+
 def test_clean_text(spark):
     dirty = "See https://a.b/c?d <b>The</b> children's 3 geese were RUNNING quickly!"
     assert _one(spark, dirty, T.clean_text) == "see child s 3 goose run quick"

@@ -57,11 +57,15 @@ class Model:
                 if MARK in piece.lstrip(MARK):
                     raise ValueError("this model has pieces that go beyond a marked word")
         self.longest = max(map(len, self.ids), default=1)
-        # Lengths of the pieces that end in two given characters, longest first; a single character always counts.
+        # Lengths of the pieces that end in up to three given characters, longest first; a single character always counts.
         sizes: dict[str, set[int]] = {}
         for piece in self.ids:
-            sizes.setdefault(piece[-2:], {1}).add(len(piece))
+            sizes.setdefault(piece[-3:], {1}).add(len(piece))
+        for end in [e for e in sizes if len(e) == 3]:
+            if end[1:] in self.ids:
+                sizes[end].add(2)
         self.sizes = {end: tuple(sorted(n, reverse=True)) for end, n in sizes.items()}
+        self.packed = {piece: i.to_bytes(4, "little") for piece, i in self.ids.items()}
         self.fits: dict[tuple[str, str], bool] = {}
         self.lowest = min(self.scores.values(), default=0.0) - 10.0
 
@@ -88,65 +92,86 @@ class Model:
     def forward(self, word: str, states: list, start: int) -> None:
         """Extends states (one for each prefix, the empty one first) from prefix length `start` to the whole word.
 
-        A state is (length of the last piece, sum of scores; the sum only for unigram models).
+        A state is the last piece, and for unigram models a pair of it and the sum of scores.
         """
-        ids, fits = self.ids, self.fits
+        if self.unigram:
+            self._forward_sums(word, states, start)
+            return
+        ids, fits, sizes, single = self.ids, self.fits, self.sizes, (1,)
         for end in range(start + 1, len(word) + 1):
-            found = None
-            for size in self.sizes.get(word[max(0, end - 2):end], (1,)):
-                piece = word[end - size:end]
-                if size > end or size > 1 and piece not in ids:
+            for size in sizes.get(word[max(0, end - 3):end]) or sizes.get(word[max(0, end - 2):end], single):
+                if size > end:
                     continue
-                if self.unigram:
-                    total = states[end - size][1] + self.scores.get(piece, self.lowest)
-                    if found is None or total > found[1]:
-                        found = (size, total)
+                piece = word[end - size:end]
+                if size > 1 and piece not in ids:
                     continue
-                before = states[end - size][0]
-                last = word[end - size - before:end - size] if before else ""
+                last = states[end - size]
                 fit = fits.get((last, piece))
-                if fit if fit is not None else self.neighbours(last, piece):
-                    found = (size, 0.0)
+                if fit or fit is None and self.neighbours(last, piece):
+                    states.append(piece)
                     break
+            else:
+                raise ValueError(f"no segmentation of {word[:end]!r}")
+
+    def _forward_sums(self, word: str, states: list, start: int) -> None:
+        for end in range(start + 1, len(word) + 1):
+            found = None
+            for size in self.sizes.get(word[max(0, end - 3):end]) or self.sizes.get(word[max(0, end - 2):end], (1,)):
+                piece = word[end - size:end]
+                if size > end or size > 1 and piece not in self.ids:
+                    continue
+                total = states[end - size][1] + self.scores.get(piece, self.lowest)
+                if found is None or total > found[1]:
+                    found = (piece, total)
             states.append(found)
 
     def encode_words(self, words: Iterable[str]) -> dict[str, bytes]:
         """Ids (little-endian unsigned 32-bit) of each distinct word."""
-        out, states, previous = {}, [(0, 0.0)], ""
+        out, states, previous = {}, [("", 0.0) if self.unigram else ""], ""
+        packed = self.packed
         for word in sorted(set(words)):
-            shared = 0
-            for a, b in zip(previous, word):
-                if a != b:
-                    break
+            shared, most = 0, min(len(previous), len(word))
+            while shared < most and previous[shared] == word[shared]:
                 shared += 1
             del states[shared + 1:]
             self.forward(word, states, shared)
-            ids, end = [], len(word)
+            found, end = [], len(word)
             while end:
-                size = states[end][0]
-                piece = word[end - size:end]
-                if piece in self.ids:
-                    ids.append(self.ids[piece])
-                else:
-                    ids += [self.byte_ids[x] for x in reversed(piece.encode("utf-8", "surrogatepass"))]
-                end -= size
-            out[word] = np.array(ids[::-1], dtype="<u4").tobytes()
+                piece = states[end][0] if self.unigram else states[end]
+                found.append(packed.get(piece) or self.as_bytes(piece))
+                end -= len(piece)
+            found.reverse()
+            out[word] = b"".join(found)
             previous = word
         return out
 
+    def as_bytes(self, piece: str) -> bytes:
+        """Ids of the bytes of a character without a piece."""
+        return b"".join(self.byte_ids[x].to_bytes(4, "little") for x in piece.encode("utf-8", "surrogatepass"))
+
 
 class TextEncoder:
-    """Encodes batches of texts; remembers a bounded number of words."""
+    """Encodes batches of texts; remembers a bounded number of words.
+
+    At `most` words the memory starts anew, and words of the former one move over when they occur
+    again, so frequent words are kept and at most about twice as many words are held.
+    """
 
-    def __init__(self, model: Model, most: int = 300_000):
-        self.model, self.most, self.known = model, most, {}
+    def __init__(self, model: Model, most: int = 250_000):
+        self.model, self.most, self.known, self.former = model, most, {}, {}
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         cut = [_WORDS.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
         if len(self.known) > self.most:
-            self.known.clear()
-        known = self.known
-        known.update(self.model.encode_words({w for words in cut for w in words if w not in known}))
+            self.known, self.former = {}, self.known
+        known, former = self.known, self.former
+        missing = set().union(*cut).difference(known)
+        if former:
+            again = missing.intersection(former)
+            known.update((w, former.pop(w)) for w in again)
+            missing -= again
+        if missing:
+            known.update(self.model.encode_words(missing))
         return [b"".join(map(known.__getitem__, words)) for words in cut]
 
 
@@ -182,7 +207,7 @@ def decode(encoded: DataFrame, path: str | None = None, key: str = "doc_id", ids
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = text_encoder(path).model
         for batch in batches:
-            texts = [decoded(model, x.values.to_numpy() if x.is_valid else ()) for x in batch.column(place)]
+            texts = [decoded(model, x.values.to_numpy().tolist() if x.is_valid else ()) for x in batch.column(place)]
             yield batch.append_column("decoded", pa.array(texts, pa.string()))
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema.fields)

@@ -157,7 +157,7 @@ class TextEncoder:
     again, so frequent words are kept and at most about twice as many words are held.
     """
 
-    def __init__(self, model: Model, most: int = 250_000):
+    def __init__(self, model: Model, most: int = 160_000):
         self.model, self.most, self.known, self.former = model, most, {}, {}
 
     def encode(self, texts: list[str | None]) -> list[bytes]:

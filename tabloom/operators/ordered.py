@@ -104,16 +104,18 @@ def border_table(df: DataFrame, names: Sequence[str], chunks: int, rows: int | N
 def _with_place(df: DataFrame, borders: str, size: Column, most: int, name: str) -> DataFrame:
     """Add how many of the row's sorted `borders` (`size` of them, `most` at most) are smaller than `_value`.
 
-    Binary search by halving steps, a projection each, so that it stays in generated code. The
-    place ends in a term that is always 0 but counts as not deterministic: without it a filter
-    on the place would be pushed through the projections, which triples its size in each.
+    Binary search by halving steps, a projection each, so that it stays in generated code. A place
+    names the one before it three times, so whatever the optimizer follows down through the steps
+    triples in each. A term that is always 0 but counts as not deterministic keeps filters on the
+    place from being pushed through, and `explode` ends the search for the source of a join key.
     """
     df = df.withColumn(name, F.lit(0))
     for step in (1 << k for k in reversed(range(most.bit_length()))):
         ahead = F.col(name) + step
         below = (ahead <= size) & (F.get(F.col(borders), ahead - 1) < F.col("_value"))
         df = df.withColumn(name, F.col(name) + F.when(below, step).otherwise(0))
-    return df.withColumn(name, (F.col(name) + F.least(F.monotonically_increasing_id(), F.lit(0))).cast("long"))
+    fixed = (F.col(name) + F.least(F.monotonically_increasing_id(), F.lit(0))).cast("long")
+    return df.withColumn(name, fixed).withColumn(name, F.explode(F.array(name)))
 
 
 def _in_order(table: DataFrame, number: str) -> DataFrame:

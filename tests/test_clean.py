@@ -225,3 +225,12 @@ def test_borders_in_groups_equal_one_array(spark):
     both = one.merge(two, on="b")
     assert both.groupby("_chunk_x")["_chunk_y"].nunique().max() == 1 and both.groupby("_chunk_y")["_chunk_x"].nunique().max() == 1
     assert both.sort_values("_chunk_x")["_chunk_y"].is_monotonic_increasing and both["_chunk_x"].nunique() > 50
+
+
+def test_thousands_of_ranges_are_joined_by_a_small_plan(spark):
+    """The key of the join with the carried rows must not grow with each step of the search for the range."""
+    df = spark.range(6000).select("id", F.when(F.col("id") % 7 == 0, F.col("id")).alias("v"))
+    got = impute.impute(df, "ffill", ["v"], order_by=["id"], max_task_rows=1).orderBy("id").collect()
+    assert [r.v for r in got] == [i - i % 7 for i in range(6000)]
+    plan = ordered.row_position(df, ["id"], max_task_rows=1)._jdf.queryExecution().optimizedPlan().toString()
+    assert len(plan) < 50_000

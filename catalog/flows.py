@@ -32,7 +32,8 @@ def read_csv_line_breaks(spark, sf):
     d = table(spark, sf, "documents").filter("text IS NOT NULL AND text <> ''")
     note = F.concat(F.lit('"'), "lang", F.lit('";\n\n'), "source", F.lit("\n"))
     path = shared_folder(spark, "csv") + ".csv"
-    d.select("doc_id", "text", note.alias("note")).repartition(3).write.csv(
+    # Three files at least, and as many as the table has splits: no task writes a fixed share of it.
+    d.select("doc_id", "text", note.alias("note")).repartition(max(3, d.rdd.getNumPartitions())).write.csv(
         path, header=True, quoteAll=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     return tables.read_table(spark, path, schema="doc_id long, text string, note string")
 

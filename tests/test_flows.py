@@ -7,6 +7,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+from catalog import flows
 from tabloom.operators import guard, stages
 from tabloom.plans import audit, pipeline, registry, runs
 from tabloom.session import shared_folder, written_table
@@ -302,3 +303,16 @@ def test_preview_bounds(spark):
     df = spark.range(300)
     assert [tables.preview(df, ["id"], n).count() for n in (0, 7, 250)] == [1, 7, 100]
     assert tables.preview(df, ["id"], 250, most=250).count() == 250
+
+
+def test_csv_with_line_breaks_is_written_by_as_many_tasks_as_the_table_has_splits(spark, tmp_path, monkeypatch):
+    rows = [(i, f'text "{i}"\n;', "en", "web") for i in range(200)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(8).write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(flows, "shared_folder", lambda *_: f"{tmp_path}/made")
+    spark.conf.set("spark.sql.files.openCostInBytes", "128m")  # a split for each file
+    try:
+        got = flows.read_csv_line_breaks(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert sorted((r.doc_id, r.text, r.note) for r in got) == [(i, t, f'"{a}";\n\n{b}\n') for i, t, a, b in rows]
+    assert len([f for f in (tmp_path / "made.csv").iterdir() if f.name.startswith("part-")]) == 8

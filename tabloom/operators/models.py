@@ -26,6 +26,7 @@ from .target_stats import fit_target_stats, stat_names, training_stats
 FEATURES, WEIGHT = "_features", "_weight"
 DEEPEST = 30  # fixed value: the deepest tree of Spark ML
 NATIVE_BINS = 254  # split candidates of a column of the trees with native categories
+MAX_TASK_ROWS = 100_000  # training rows that one task holds and reads again in every pass
 
 
 @dataclass
@@ -164,6 +165,16 @@ def without_summary(pipeline: PipelineModel, spark) -> PipelineModel:
     return PipelineModel([*pipeline.stages[:-1], type(learner).load(path)])
 
 
+def spread_rows(df: DataFrame, rows: int, max_task_rows: int = MAX_TASK_ROWS) -> DataFrame:
+    """`df`, dealt over more tasks if its `rows` are too many for one.
+
+    A small file comes in few splits however many rows it holds, and learners keep the splits.
+    """
+    if rows <= max_task_rows:
+        return df
+    return df.repartition(max(math.ceil(rows / max_task_rows), df.sparkSession.sparkContext.defaultParallelism))
+
+
 def _native_rows(train: DataFrame, label: str, classes: int, seed: int) -> tuple[list, list[str], list[str], DataFrame]:
     """Stages, inputs, the feature each input stands for, and the written training rows: categories as ordered target statistics."""
     state = feature_prep.fit_native_categories(train, [label])
@@ -222,7 +233,7 @@ def train_model(train: DataFrame, label: str, algorithm: str, config: dict | Non
         elif classes == 2 and float(c.get("scale_pos_weight", 1.0)) != 1.0:
             rows = rows.withColumn(WEIGHT, F.when(F.col(f"`{label}`") == 1, float(c["scale_pos_weight"])).otherwise(1.0))
             learner.setWeightCol(WEIGHT)
-    fitted = without_summary(Pipeline(stages=[*stages, learner]).fit(rows), train.sparkSession)
+    fitted = without_summary(Pipeline(stages=[*stages, learner]).fit(spread_rows(rows, seen["n"])), train.sparkSession)
     importances: dict[str, float] = {}
     for value, feature in zip(_importances(fitted.stages[-1], names).values(), readable):
         importances[feature] = round(importances.get(feature, 0.0) + value, 4)

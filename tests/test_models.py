@@ -221,3 +221,12 @@ def test_copies_are_drawn_in_proportion():
     row, tree, draw = isolation._drawn(key, n, 300, 42, 0.1)
     assert len(row) == pytest.approx(300 * 200, rel=0.05) and (row == 199).mean() == pytest.approx(0.9, abs=0.02)
     assert draw.min() > 0 and draw.max() < 0.1 and np.bincount(tree, minlength=300).min() > 120
+
+
+def test_training_rows_are_spread_by_their_number(spark):
+    """One split with many rows is dealt over tasks; few rows stay as they are."""
+    df = spark.range(0, 1000, numPartitions=1)
+    dealt = models.spread_rows(df, 1000, max_task_rows=20)
+    assert dealt.rdd.getNumPartitions() >= 50 and max(dealt.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()) <= 21
+    assert sorted(r.id for r in dealt.collect()) == list(range(1000))
+    assert models.spread_rows(df, 1000).rdd.getNumPartitions() == 1

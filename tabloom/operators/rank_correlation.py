@@ -3,9 +3,9 @@
 Ranks are taken among the rows where both columns of a pair are known. A column therefore has
 one ranking of its own, and one more for each other column that has nulls. All rankings are
 melted into rows `(ranking, value)`, equal values are counted, one pass of running sums over the
-counts gives every average rank, and the ranks come back to their rows by one join: a broadcast if
-there are few different values, which leaves the rows where they are, else shuffled by value and by
-row. The rows then add up to a Gram matrix of the rankings: each task sends its sums for the wanted
+counts gives every average rank, and the ranks come back to their rows by a join: a broadcast for
+rankings with few different values, else shuffled by value. If all are broadcast the rows stay where
+they are, else the ranks are shuffled by row. Columns that are null in the same rows share rankings. The rows then add up to a Gram matrix of the rankings: each task sends its sums for the wanted
 pairs only.
 
 The number of jobs depends neither on the columns nor on the nulls, no task holds a column, and
@@ -47,10 +47,24 @@ def _value(name: str, dtype: T.DataType) -> tuple[Column, Column]:
     return number, F.coalesce(lost.cast("double"), F.lit(0.0))
 
 
-def _rankings(names: Sequence[str], missing: dict[str, int]) -> list[tuple[str, str | None]]:
-    """(column, other): ranks of the column among the rows where the other, if any, is known."""
-    own = [(n, None) for n in names]
-    return own + [(n, o) for n in names for o in names if o != n and missing[o]]
+def _missing_alike(df: DataFrame, names: Sequence[str], missing: dict[str, int]) -> dict[str, str | None]:
+    """For each column the first one that is null in the same rows; None where nothing is missing.
+
+    Only columns with equal numbers of nulls are compared, all by one aggregate.
+    """
+    pairs = [(a, b) for a, b in combinations([n for n in names if missing[n]], 2) if missing[a] == missing[b]]
+    apart = df.agg(*[F.count_if(F.col(f"`{a}`").isNull() != F.col(f"`{b}`").isNull()).alias(f"d{i}") for i, (a, b) in enumerate(pairs)]).first() if pairs else ()
+    alike = {n: n if missing[n] else None for n in names}
+    for (a, b), rows in zip(pairs, apart):
+        if not rows and alike[b] == b:
+            alike[b] = alike[a]
+    return alike
+
+
+def _rankings(names: Sequence[str], alike: dict[str, str | None]) -> dict[tuple[str, str], tuple[str, str | None]]:
+    """The ranking of each column beside each other one: (column, other), ranks of the column among the
+    rows where the other, if any, is known. Columns that miss values in the same rows share rankings."""
+    return {(n, o): (n, None if alike[o] == alike[n] else alike[o]) for n in names for o in names if o != n}
 
 
 def _gram(size: int, cells: list[tuple[int, int]]):
@@ -95,7 +109,8 @@ def spearman_pairs(
     types = {n: df.schema[n].dataType for n in names}
     known = {n: F.col(f"`{n}`").isNotNull() for n in names}
     counts = df.agg(F.count(F.lit(1)).alias("rows"), *[F.count(F.col(f"`{n}`")).alias(f"c{i}") for i, n in enumerate(names)]).first()
-    rankings = _rankings(names, {n: counts["rows"] - counts[f"c{i}"] for i, n in enumerate(names)})
+    beside = _rankings(names, _missing_alike(df, names, {n: counts["rows"] - counts[f"c{i}"] for i, n in enumerate(names)}))
+    rankings = list(dict.fromkeys([*[(n, None) for n in names], *beside.values()]))
     number = {r: i for i, r in enumerate(rankings)}
 
     # Doubles alone hold most kinds of numbers.
@@ -106,9 +121,9 @@ def spearman_pairs(
         num, low = _value(n, types[n])
         wanted = known[n] if other is None else known[n] & known[other]
         entries.append(F.when(wanted, F.struct(F.lit(i).alias("ranking"), num.alias("num"), *([low.alias("low")] if "low" in key else []))))
-    melted = F.explode(F.filter(F.array(*entries), lambda e: e.isNotNull())).alias("e")
 
-    def long(rows: DataFrame) -> DataFrame:
+    def long(rows: DataFrame, chosen: Sequence[int] = range(len(rankings))) -> DataFrame:
+        melted = F.explode(F.filter(F.array(*[entries[i] for i in chosen]), lambda e: e.isNotNull())).alias("e")
         return rows.select(ROW, melted).select(ROW, *[f"e.{k}" for k in key])
 
     numbered = fill_cores(df.select(*[F.col(f"`{n}`") for n in names])).withColumn(ROW, F.monotonically_increasing_id())
@@ -118,15 +133,24 @@ def spearman_pairs(
     middle = F.array(*[F.lit((stored[i]["n"] + 1) / 2.0 if i in stored else 0.0) for i in range(len(rankings))])[F.col("ranking")]
     before = running_sums(values, {"_before": F.col("n")}, order, ["ranking"], max_task_rows)
     ranks = before.select(*key, (F.col("_before") + (F.col("n") + 1) / 2.0 - middle).alias("rank"))
-    if sum(r["values"] for r in stored.values()) <= max_broadcast_rows:
+    # Rankings with few different values are broadcast, the smallest first, as many as fit together.
+    few, held = [], 0
+    for i, r in sorted(stored.items(), key=lambda item: (item[1]["values"], item[0])):
+        if held + r["values"] <= max_broadcast_rows:
+            few, held = [*few, i], held + r["values"]
+    many = [i for i in stored if i not in few]
+    if not many:
         ranked = long(numbered).join(F.broadcast(ranks), key)
     else:
         # The row numbers are written, as a task that is run again might number its rows anew.
-        ranked = long(written_table(numbered, "ranked_rows")).join(ranks.hint("shuffle_merge"), key)
+        rows = written_table(numbered, "ranked_rows")
+        ranked = long(rows, many).join(ranks.filter(F.col("ranking").isin(many)).hint("shuffle_merge"), key)
+        if few:
+            ranked = ranked.unionByName(long(rows, few).join(F.broadcast(ranks.filter(F.col("ranking").isin(few))), key))
         ranked = ranked.repartition(ROW).sortWithinPartitions(ROW)
     ranked = ranked.select(ROW, "ranking", "rank")
 
-    sides = [(number[a, b] if (a, b) in number else number[a, None], number[b, a] if (b, a) in number else number[b, None]) for a, b in pairs]
+    sides = [(number[beside[a, b]], number[beside[b, a]]) for a, b in pairs]
     cells = list(dict.fromkeys([(i, i) for s in sides for i in s] + sides))
     totals = ranked.mapInArrow(_gram(len(rankings), cells), "cell long, total double").groupBy("cell").agg(F.sum("total").alias("total"))
     found = {cells[r["cell"]]: r["total"] for r in totals.collect()}

@@ -234,3 +234,24 @@ def test_thousands_of_ranges_are_joined_by_a_small_plan(spark):
     assert [r.v for r in got] == [i - i % 7 for i in range(6000)]
     plan = ordered.row_position(df, ["id"], max_task_rows=1)._jdf.queryExecution().optimizedPlan().toString()
     assert len(plan) < 50_000
+
+
+def test_columns_that_miss_the_same_rows_share_rankings(spark, monkeypatch):
+    """Few and many different values in one table, nulls alike in `a` and `b`: equal to pandas by every path."""
+    rng = np.random.default_rng(3)
+    pdf = pd.DataFrame({"a": rng.normal(size=300), "b": rng.integers(0, 4, 300) * 1.0, "c": rng.normal(size=300), "d": rng.integers(0, 3, 300) * 1.0})
+    pdf.loc[::3, ["a", "b"]] = np.nan
+    pdf.loc[1::4, "c"] = np.nan
+    df = spark.createDataFrame(pdf.astype(object).where(pdf.notna(), None).values.tolist(), "a double, b double, c double, d double")
+    want = pdf.corr("spearman")
+    broadcasts, broadcast = [], F.broadcast
+    monkeypatch.setattr(rank_correlation.F, "broadcast", lambda d: broadcasts.append(1) or broadcast(d))
+    for most, joins in ((0, 0), (60, 1), (10_000, 1)):
+        broadcasts.clear()
+        got = rank_correlation.spearman_pairs(df, list("abcd"), max_broadcast_rows=most)
+        assert [(x, y) for x, y, _ in got] == [(x, y) for i, x in enumerate("abcd") for y in "abcd"[i + 1:]]
+        assert all(r == pytest.approx(want.loc[x, y]) for x, y, r in got)
+        assert len(broadcasts) >= joins
+    alike = rank_correlation._missing_alike(df, list("abcd"), {"a": 100, "b": 100, "c": 75, "d": 0})
+    assert alike == {"a": "a", "b": "a", "c": "c", "d": None}
+    assert rank_correlation._rankings(list("abcd"), alike)["a", "b"] == ("a", None)

@@ -1,6 +1,7 @@
 """Word vectors by factorising the table of words that occur near each other.
 
-Neighbours within `window` words are counted over all texts; a cell of the word-by-word table is
+Neighbours within `window` words are counted over all texts, by a 64-bit number for each word that
+no other word has, and every pair is sent and weighed once for both directions; a cell of the word-by-word table is
 the positive pointwise mutual information of the two words, less ln(shift). Its leading
 eigenvectors are found by randomised subspace iteration: a random sign per word and dimension, a
 hash of the word, stands for the random start, so it is never stored; each round multiplies the
@@ -38,40 +39,89 @@ def text_words(c: Column) -> Column:
     return words(F.lower(F.coalesce(c, F.lit(""))))
 
 
-def neighbour_counts(df: DataFrame, column: str, window: int = 5) -> DataFrame:
-    """`(word, context, n)`: how often the two words occur within `window` words of each other, in both directions.
+@dataclass
+class Neighbours:
+    """`pairs`: (a, b, n), numbers of two words, the smaller first, and how often they are neighbours (a word beside itself once);
+    `words`: (id, word, of_word), each word's number and how many neighbours it has in all."""
 
-    Pairs are counted once, smaller word first, before the other direction is added; a word next
-    to itself counts twice.
-    """
+    pairs: DataFrame
+    words: DataFrame
+
+    def named(self, df: DataFrame, *columns: str) -> DataFrame:
+        """The words in place of their numbers."""
+        for c in columns:
+            names = self.words.select(F.col("id").alias(c), F.col("word").alias("_name"))
+            df = df.join(names, c).withColumn(c, F.col("_name")).drop("_name")
+        return df
+
+
+def _both_ways(pairs: DataFrame, *more: str) -> DataFrame:
+    """`(word, context, n)` and `more` in both directions; a word next to itself counts twice."""
+
+    def cell(word, context, n):
+        return F.struct(F.col(word).alias("word"), F.col(context).alias("context"), n.alias("n"), *more)
+
+    ways = F.when(F.col("a") == F.col("b"), F.array(cell("a", "b", F.col("n") * 2))).otherwise(F.array(cell("a", "b", F.col("n")), cell("b", "a", F.col("n"))))
+    return pairs.select(F.explode(ways).alias("c")).select("c.*")
+
+
+def _number(word: Column, turn: int) -> Column:
+    return F.xxhash64(word, F.lit(turn))
+
+
+def numbered_neighbours(df: DataFrame, column: str, window: int = 5) -> Neighbours:
+    """Neighbours within `window` words by the words' numbers, which are hashes that no two of the words share."""
     listed = df.select(text_words(F.col(f"`{column}`")).alias("w")).filter(F.size("w") > 1)
+    each = listed.select(F.size("w").alias("size"), F.posexplode("w").alias("at", "word"))
+    beside = F.least(F.col("at"), F.lit(window)) + F.least(F.col("size") - 1 - F.col("at"), F.lit(window))
+    words_found = written_table(each.groupBy("word").agg(F.sum(beside).alias("of_word")), "words")
+    turn = 0
+    while not words_found.groupBy(_number(F.col("word"), turn).alias("id")).count().filter("count > 1").isEmpty():
+        turn += 1
     start = F.explode(F.sequence(F.lit(0), F.size("w") - 1, F.lit(WORDS_PER_STRETCH)))
-    stretch = listed.select("w", start.alias("at")).select(F.slice("w", F.col("at") + 1, WORDS_PER_STRETCH + window).alias("w"))
+    stretch = listed.select(F.transform("w", lambda w: _number(w, turn)).alias("w")).select("w", start.alias("at")).select(
+        F.slice("w", F.col("at") + 1, WORDS_PER_STRETCH + window).alias("w"))
     own = F.slice("w", 1, WORDS_PER_STRETCH)
     pairs = [F.zip_with(own, F.slice("w", 1 + k, WORDS_PER_STRETCH), lambda a, b: F.struct(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"), b.alias("known")))
              for k in range(1, window + 1)]
     # Where one side ends before the other, a pair is incomplete.
-    each = stretch.select(F.explode(F.flatten(F.array(*pairs))).alias("p")).filter("p.known IS NOT NULL AND p.a IS NOT NULL")
-    once = each.groupBy(F.col("p.a").alias("a"), F.col("p.b").alias("b")).agg(F.count(F.lit(1)).alias("n"))
-    both = F.when(F.col("a") == F.col("b"), F.array(F.struct(F.col("a").alias("word"), F.col("b").alias("context"), (F.col("n") * 2).alias("n")))).otherwise(
-        F.array(F.struct(F.col("a").alias("word"), F.col("b").alias("context"), F.col("n").alias("n")),
-                F.struct(F.col("b").alias("word"), F.col("a").alias("context"), F.col("n").alias("n"))))
-    return once.select(F.explode(both).alias("c")).select("c.*")
+    met = stretch.select(F.explode(F.flatten(F.array(*pairs))).alias("p")).filter("p.known IS NOT NULL AND p.a IS NOT NULL")
+    once = met.groupBy(F.col("p.a").alias("a"), F.col("p.b").alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    return Neighbours(once, words_found.select(_number(F.col("word"), turn).alias("id"), "word", "of_word"))
+
+
+def neighbour_counts(df: DataFrame, column: str, window: int = 5) -> DataFrame:
+    """`(word, context, n)`: how often the two words occur within `window` words of each other, in both directions.
+
+    Pairs are counted once, by numbers of the words, before the other direction is added; a word
+    next to itself counts twice.
+    """
+    found = numbered_neighbours(df, column, window)
+    return _both_ways(found.named(found.pairs, "a", "b"))
 
 
-def associations(counts: DataFrame, shift: float = 1.0, min_count: int = 1) -> DataFrame:
+def associations(counts: DataFrame | Neighbours, shift: float = 1.0, min_count: int = 1) -> DataFrame:
     """`(word, context, n, value)`, value = ln(n * total / (n of word * n of context)) - ln(shift), where positive.
 
-    `min_count` leaves out words with fewer neighbours in all.
+    `min_count` leaves out words with fewer neighbours in all. Of numbered neighbours the words are
+    their numbers, each pair is weighed once, and the other direction is added to what is left.
     """
-    counts = written_table(counts, "neighbours")
-    totals = written_table(counts.groupBy("word").agg(F.sum("n").alias("of_word")), "totals")
+    numbered = isinstance(counts, Neighbours)
+    if numbered:
+        cells, one, two = counts.pairs, "a", "b"
+        totals = counts.words.select("id", "of_word")
+    else:
+        cells, one, two = written_table(counts, "neighbours"), "word", "context"
+        totals = written_table(cells.groupBy("word").agg(F.sum("n").alias("of_word")), "totals").withColumnRenamed("word", "id")
     everything = totals.agg(F.sum("of_word")).first()[0] or 0
     kept = totals.filter(F.col("of_word") >= min_count)
-    cells = counts.join(kept, "word").join(kept.select(F.col("word").alias("context"), F.col("of_word").alias("of_context")), "context")
+    for side, of in ((one, "of_word"), (two, "of_context")):
+        cells = cells.join(kept.select(F.col("id").alias(side), F.col("of_word").alias(of)), side)
     chance = F.col("of_word").cast("double") * F.col("of_context").cast("double")
-    value = F.log(F.col("n").cast("double") * F.lit(float(everything)) / chance) - math.log(shift)
-    return cells.select("word", "context", "n", value.alias("value")).filter("value > 0")
+    n = F.when(F.col("a") == F.col("b"), F.col("n") * 2).otherwise(F.col("n")) if numbered else F.col("n")
+    value = F.log(n.cast("double") * F.lit(float(everything)) / chance) - math.log(shift)
+    found = cells.select(one, two, "n", value.alias("value")).filter("value > 0")
+    return _both_ways(found, "value") if numbered else found
 
 
 def _times(cells: DataFrame, factor: list[Column]) -> DataFrame:
@@ -101,7 +151,7 @@ def _products(rows: DataFrame, left: str, right: str, width: int) -> np.ndarray:
 
 
 def _turned(rows: DataFrame, matrix: np.ndarray, out: str) -> DataFrame:
-    """`(word, out)`: each row's numbers times a small matrix."""
+    """`(word, out)`: each row's numbers times a small matrix; words are numbers here."""
     height, width = matrix.shape
 
     def turn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,7 +160,7 @@ def _turned(rows: DataFrame, matrix: np.ndarray, out: str) -> DataFrame:
             offsets = np.arange(batch.num_rows + 1, dtype=np.int32) * width
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.ravel()))], names=["word", out])
 
-    return rows.select("word", "y").mapInArrow(turn, f"word string, {out} array<double>")
+    return rows.select("word", "y").mapInArrow(turn, f"word long, {out} array<double>")
 
 
 def _signed(columns: np.ndarray) -> np.ndarray:
@@ -149,10 +199,13 @@ class WordVectors:
 def fit_word_vectors(df: DataFrame, column: str, size: int = 50, window: int = 5, shift: float = 1.0, min_count: int = 1,
                      rounds: int = 3, seed: int = 42) -> WordVectors:
     """Vectors of `size` numbers for every word: leading eigenvectors times the roots of their eigenvalues."""
-    cells = written_table(associations(neighbour_counts(df, column, window), shift, min_count).select("word", "context", "value"), "cells")
+    counts = numbered_neighbours(df, column, window)
+    cells = written_table(associations(counts, shift, min_count).select("word", "context", "value"), "cells")
     width = size + EXTRA
-    bit = [F.shiftrightunsigned(F.xxhash64("context", F.lit(seed + j // 64)), j % 64).bitwiseAND(F.lit(1)) for j in range(width)]
-    y = _times(cells, [b.cast("double") * 2 - 1 for b in bit])
+    hashes = F.array(*[F.xxhash64("word", F.lit(seed + i)) for i in range(-(-width // 64))])
+    bit = [F.shiftrightunsigned(F.col("hashes")[j // 64], j % 64).bitwiseAND(F.lit(1)) for j in range(width)]
+    beside = cells.join(counts.words.select(F.col("id").alias("context"), hashes.alias("hashes")), "context")
+    y = _times(beside, [b.cast("double") * 2 - 1 for b in bit])
     for _ in range(rounds):
         q, width = _orthonormal(y, width)
         if not width:
@@ -165,13 +218,13 @@ def fit_word_vectors(df: DataFrame, column: str, size: int = 50, window: int = 5
     best = np.argsort(-np.abs(values), kind="stable")[:size]
     turn = np.zeros((width, size))
     turn[:, :len(best)] = _signed(basis[:, best]) * np.sqrt(np.abs(values[best]))
-    table = written_table(_turned(q.withColumnRenamed("q", "y"), turn, "vector"), "word_vectors")
+    table = written_table(counts.named(_turned(q.withColumnRenamed("q", "y"), turn, "vector"), "word"), "word_vectors")
     return WordVectors(table, size, [*map(float, values[best]), *[0.0] * (size - len(best))])
 
 
 def document_vectors(df: DataFrame, column: str, vectors: WordVectors, drop_original: bool = True, prefix: str = "w2v_dim_") -> DataFrame:
     """Adds `w2v_dim_i`: the mean of the text's word vectors. Equal texts are averaged once."""
-    key = F.md5(F.coalesce(F.col(f"`{column}`"), F.lit("")))
+    key = F.unhex(F.md5(F.coalesce(F.col(f"`{column}`"), F.lit(""))))
     # Copies of a text multiply all its counts alike, which leaves the mean.
     listed = df.select(key.alias("_text"), F.explode(text_words(F.col(f"`{column}`"))).alias("word"))
     counted = listed.groupBy("_text", "word").agg(F.count(F.lit(1)).alias("n"))

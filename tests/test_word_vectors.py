@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tabloom.operators import word_vectors
 from tabloom.plans import registry
@@ -33,6 +34,21 @@ def test_neighbours_and_associations(spark, monkeypatch, window, stretch):
     assert got == pytest.approx(cells)
 
 
+@pytest.mark.parametrize("shared", [False, True])
+def test_pairs_are_sent_once_and_as_numbers(spark, monkeypatch, shared):
+    if shared:
+        own = word_vectors._number
+        monkeypatch.setattr(word_vectors, "_number", lambda word, turn: F.length(word).cast("long") if turn < 2 else own(word, turn))
+    df = spark.createDataFrame([(t,) for t in TEXTS], "t string")
+    counts, cells = _table(TEXTS, 2, 1.5)
+    found = word_vectors.numbered_neighbours(df, "t", 2)
+    assert found.pairs.dtypes == [("a", "bigint"), ("b", "bigint"), ("n", "bigint")]
+    assert found.pairs.count() == len({tuple(sorted(p)) for p in counts})
+    weighed = found.named(word_vectors.associations(found, 1.5), "word", "context").collect()
+    assert {(r.word, r.context): r.value for r in weighed} == pytest.approx(cells)
+    assert all(r.n == counts[r.word, r.context] for r in weighed)
+
+
 def test_vectors_are_the_leading_eigenvectors(spark):
     rng = np.random.default_rng(3)
     # Three topics with words of their own and a few words in common.

@@ -24,9 +24,9 @@ import os
 import re
 import string
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +40,10 @@ from .common import running_start, tidy
 END = 2
 _SPACES = re.compile("[\t-\r \x85\xa0  -     　]+")
 _SPLIT_TOO_MUCH = re.compile("[\x1c-\x1f]")
+#: Marks that letters may join into one sign before they are lower-cased.
+_COMBINING = re.compile("[\u0300-\u036f]")
+#: A mark behind a letter or digit and before white space is a unit of the tokenizer.
+_LONE_MARK = re.compile(r"[,.;:!?](?<=[a-z0-9].)(?=[ \n])")
 #: ASCII marks that end a run of letters; not the apostrophe, which begins contractions.
 _MARKS = string.punctuation.replace("'", "")
 _LAST_LATIN = "\u024f"
@@ -76,9 +80,21 @@ class WordEncoder:
             return []
         return [w for w in _SPACES.split(text) if w] if _SPLIT_TOO_MUCH.search(text) else text.split()
 
+    @classmethod
+    def units(cls, text: str | None) -> list[str]:
+        """Words in lower case (of ASCII letters) with single marks behind them cut off, which leaves the ids but fewer different words."""
+        # Special tokens are found in the text as it is written.
+        if text and "<|" not in text:
+            if text.isascii():
+                text = text.lower()
+            elif not _COMBINING.search(text):
+                text = text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
+            text = _LONE_MARK.sub(r" \g<0>", text)
+        return cls.words(text)
+
     def encode_all(self, texts: Iterable[str | None]) -> list[bytes]:
         """Ids of each text; the new words of all of them are encoded together."""
-        cut = [self.words(t) for t in texts]
+        cut = [self.units(t) for t in texts]
         different = set().union(*cut)
         if len(self.known) > self.most:
             self.known, self.former = {}, self.known
@@ -109,16 +125,20 @@ class WordEncoder:
             else:
                 whole.append(w)
         self._remember(self.tokenizer, [*whole, *(set(ends) - {""} - known.keys())])
-        self._remember(self.letters, list(set(cores) - known.keys()))
+        cores_left = set(cores) - known.keys()
+        self._remember(self.letters, [w for w in cores_left if not w.isascii()])
+        # ASCII letters are the model's own signs of their bytes.
+        tokens = self.letters.model.tokenize
+        for w in cores_left:
+            if w.isascii():
+                known[w] = array("I", [t.id for t in tokens(w)]).tobytes()
         for w, low, marks in zip(words, cores, ends):
             known[w] = known[low] + known[marks] if marks else known[low]
 
     def _remember(self, tokenizer, words: list[str]) -> None:
-        ids = [e.ids for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        data, at = np.fromiter(chain.from_iterable(ids), dtype="<u4").tobytes(), 0
-        for w, own in zip(words, ids):
-            self.known[w] = data[at:at + 4 * len(own)]
-            at += 4 * len(own)
+        known = self.known
+        for w, e in zip(words, tokenizer.encode_batch_fast(words, add_special_tokens=False)):
+            known[w] = array("I", e.ids).tobytes()
 
     def encode(self, text: str | None) -> bytes:
         return self.encode_all([text])[0]

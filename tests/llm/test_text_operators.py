@@ -296,3 +296,13 @@ def test_toxicity_learns_words_of_equal_shares():
 
     machine = toxicity.learn(rows(900), {0: 450, 1: 450}, 20)
     assert sum((machine.score(t) >= 0.5) == bool(y) for y, t in rows(600)) >= 570
+
+
+def test_words_that_differ_by_case_or_a_mark_behind_are_remembered_once():
+    encoder = packing.WordEncoder()
+    texts = ["The word, the WORD. Word! word, and 12, end.", "J̌, Été, X, <|endoftext|> It's, Å. x.\nY", None, ""]
+    plain = [encoder.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode_all(texts)] == plain
+    encoder = packing.WordEncoder()
+    encoder.encode_all(["Word, word. WORD! word, Word."])
+    assert set(encoder.known) == {"word", ",", ".", "!", "word."}

@@ -66,27 +66,43 @@ class Model:
                 sizes[end].add(2)
         self.sizes = {end: tuple(sorted(n, reverse=True)) for end, n in sizes.items()}
         self.packed = {piece: i.to_bytes(4, "little") for piece, i in self.ids.items()}
-        self.fits: dict[tuple[str, str], bool] = {}
+        # For each piece: which pieces it may follow, as far as asked.
+        self.fits: dict[str, dict[str, bool]] = {piece: {} for piece in self.ids}
+        self.n_fits = 0
         self.lowest = min(self.scores.values(), default=0.0) - 10.0
 
     def merged(self, symbols: list[str]) -> list[str]:
         """Segmentation of a short string by its merges: highest score first, leftmost among equals."""
-        while len(symbols) > 1:
-            best = max(range(len(symbols) - 1), key=lambda i: (self.scores.get(symbols[i] + symbols[i + 1], -np.inf), -i))
-            pair = symbols[best] + symbols[best + 1]
-            if pair not in self.scores:
+        symbols, score, none = list(symbols), self.scores.get, -np.inf
+        pairs = [score(a + b, none) for a, b in zip(symbols, symbols[1:])]
+        while pairs:
+            best = max(pairs)
+            if best == none:
                 break
-            symbols = [*symbols[:best], pair, *symbols[best + 2:]]
+            i = pairs.index(best)
+            symbols[i:i + 2] = [symbols[i] + symbols[i + 1]]
+            del pairs[i]
+            if i:
+                pairs[i - 1] = score(symbols[i - 1] + symbols[i], none)
+            if i < len(pairs):
+                pairs[i] = score(symbols[i] + symbols[i + 1], none)
         return symbols
 
     def neighbours(self, a: str, b: str) -> bool:
         """Whether the pieces a, b are the segmentation of their concatenation ('' stands for the start)."""
-        known = self.fits.get((a, b))
+        before = self.fits.get(b)
+        if before is None:
+            before = self.fits[b] = {}
+        known = before.get(a)
         if known is None:
-            if len(self.fits) > 400_000:
-                self.fits.clear()
             # A piece that its own merges do not reach has no neighbours.
-            known = self.fits[a, b] = (not a or self.neighbours("", b)) and self.merged(list(a + b)) == [x for x in (a, b) if x]
+            known = (not a or self.neighbours("", b)) and self.merged(list(a + b)) == [x for x in (a, b) if x]
+            if self.n_fits > 400_000:
+                self.n_fits = 0
+                for each in self.fits.values():
+                    each.clear()
+            before[a] = known
+            self.n_fits += 1
         return known
 
     def forward(self, word: str, states: list, start: int) -> None:
@@ -97,16 +113,19 @@ class Model:
         if self.unigram:
             self._forward_sums(word, states, start)
             return
-        ids, fits, sizes, single = self.ids, self.fits, self.sizes, (1,)
+        fits, sizes, single = self.fits.get, self.sizes.get, (1,)
         for end in range(start + 1, len(word) + 1):
-            for size in sizes.get(word[max(0, end - 3):end]) or sizes.get(word[max(0, end - 2):end], single):
+            for size in sizes(word[end - 3 if end > 3 else 0:end]) or sizes(word[end - 2 if end > 2 else 0:end], single):
                 if size > end:
                     continue
                 piece = word[end - size:end]
-                if size > 1 and piece not in ids:
-                    continue
+                before = fits(piece)
+                if before is None:
+                    if size > 1:
+                        continue
+                    before = {}
                 last = states[end - size]
-                fit = fits.get((last, piece))
+                fit = before.get(last)
                 if fit or fit is None and self.neighbours(last, piece):
                     states.append(piece)
                     break
@@ -128,20 +147,23 @@ class Model:
     def encode_words(self, words: Iterable[str]) -> dict[str, bytes]:
         """Ids (little-endian unsigned 32-bit) of each distinct word."""
         out, states, previous = {}, [("", 0.0) if self.unigram else ""], ""
-        packed = self.packed
+        packed, unigram = self.packed.get, self.unigram
         for word in sorted(set(words)):
-            shared, most = 0, min(len(previous), len(word))
-            while shared < most and previous[shared] == word[shared]:
+            shared = 0
+            for x, y in zip(previous, word):
+                if x != y:
+                    break
                 shared += 1
             del states[shared + 1:]
             self.forward(word, states, shared)
-            found, end = [], len(word)
+            piece = states[-1][0] if unigram else states[-1]
+            end = len(word) - len(piece)
+            ids = packed(piece) or self.as_bytes(piece)
             while end:
-                piece = states[end][0] if self.unigram else states[end]
-                found.append(packed.get(piece) or self.as_bytes(piece))
+                piece = states[end][0] if unigram else states[end]
+                ids = (packed(piece) or self.as_bytes(piece)) + ids
                 end -= len(piece)
-            found.reverse()
-            out[word] = b"".join(found)
+            out[word] = ids
             previous = word
         return out
 

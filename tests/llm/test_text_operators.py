@@ -306,3 +306,20 @@ def test_words_that_differ_by_case_or_a_mark_behind_are_remembered_once():
     encoder = packing.WordEncoder()
     encoder.encode_all(["Word, word. WORD! word, Word."])
     assert set(encoder.known) == {"word", ",", ".", "!", "word."}
+
+
+def test_merging_looks_up_each_pair_once():
+    class Counted(dict):
+        asked = 0
+
+        def get(self, *key):
+            Counted.asked += 1
+            return super().get(*key)
+
+    model = pieces.Model()
+    text = "internationalisation"
+    whole = model.merged(list(text))
+    model.scores = Counted(model.scores)
+    symbols = list(text)
+    assert model.merged(symbols) == whole and symbols == list(text)
+    assert Counted.asked <= 3 * len(text)

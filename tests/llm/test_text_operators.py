@@ -323,3 +323,16 @@ def test_merging_looks_up_each_pair_once():
     symbols = list(text)
     assert model.merged(symbols) == whole and symbols == list(text)
     assert Counted.asked <= 3 * len(text)
+
+
+def test_tokens_of_a_set_are_shuffled_once(spark, monkeypatch):
+    tokens = shingle_join.token_table(spark.createDataFrame([(i, f"a b c d e f g h i j k l m{i % 2}") for i in range(6)], "doc_id long, text string"))
+    plans = []
+    monkeypatch.setattr(shingle_join, "written_table", lambda df, purpose: plans.append(df._jdf.queryExecution().executedPlan().toString()) or df)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        entries = shingle_join.index_entries(tokens).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert len(entries) == len(set(entries)) > 0
+    assert plans[0].replace("ReusedExchange", "").count("Exchange hashpartitioning") <= 2 and "hashpartitioning(k" not in plans[0]

@@ -27,6 +27,7 @@ import zlib
 from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -42,11 +43,23 @@ _SPACES = re.compile("[\t-\r \x85\xa0  -     　]+")
 _SPLIT_TOO_MUCH = re.compile("[\x1c-\x1f]")
 #: Marks that letters may join into one sign before they are lower-cased.
 _COMBINING = re.compile("[\u0300-\u036f]")
-#: A mark behind a letter or digit and before white space is a unit of the tokenizer.
-_LONE_MARK = re.compile(r"[,.;:!?](?<=[a-z0-9].)(?=[ \n])")
 #: ASCII marks that end a run of letters; not the apostrophe, which begins contractions.
 _MARKS = string.punctuation.replace("'", "")
-_LAST_LATIN = "\u024f"
+#: A run of marks behind a letter or digit and before white space is a unit of the tokenizer.
+_END_MARKS = re.compile(rf"[{re.escape(_MARKS)}](?<=[a-z0-9].)[{re.escape(_MARKS)}]*(?=[ \n])")
+_LATIN = re.compile("[a-z\x80-\u024f]+")
+
+
+def _byte_signs() -> np.ndarray:
+    """The code points by which byte-level models write letters' bytes; ASCII and the space between words stay."""
+    signs, more = np.arange(256, dtype="<u4"), 256 + 33
+    for b in range(127, 256):
+        if b < 161 or b == 173:
+            signs[b], more = more, more + 1
+    return signs
+
+
+_BYTE_SIGNS = _byte_signs()
 
 
 class WordEncoder:
@@ -55,14 +68,15 @@ class WordEncoder:
     The tokenizer drops white space and never joins across it, so each different word is
     encoded once and remembered. At `most` new words the memory starts anew, and only words
     of the former one that occur again move over, so at most twice as many words are held.
-    A run of Latin letters is one unit of the tokenizer in lower case, so it goes to a copy
-    of it that skips normalising and cutting.
+    A run of Latin letters is one unit of the tokenizer in lower case, so all new ones go to a
+    copy of it as one line in the model's own signs, which skips normalising and cutting; the
+    last token of a word is marked as such in the vocabulary, so their ids are told apart.
     """
 
     def __init__(self, path: str | None = None, most: int = 500_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
-        from tokenizers.pre_tokenizers import ByteLevel
+        from tokenizers.pre_tokenizers import WhitespaceSplit
 
         if path is None:
             import public_tokenizers
@@ -72,7 +86,10 @@ class WordEncoder:
         self.former: dict[str, bytes] = {}
         self.letters = Tokenizer.from_file(path)
         self.letters.normalizer = None
-        self.letters.pre_tokenizer = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.letters.pre_tokenizer = WhitespaceSplit()
+        last = [i for t, i in self.letters.get_vocab().items() if t.endswith(self.letters.model.end_of_word_suffix or "\n")]
+        self.is_last = np.zeros(max(self.letters.get_vocab().values()) + 1, dtype=bool)
+        self.is_last[last] = True
 
     @staticmethod
     def words(text: str | None) -> list[str]:
@@ -82,59 +99,66 @@ class WordEncoder:
 
     @classmethod
     def units(cls, text: str | None) -> list[str]:
-        """Words in lower case (of ASCII letters) with single marks behind them cut off, which leaves the ids but fewer different words."""
+        """Words in lower case (of ASCII letters) with the marks behind them cut off, which leaves the ids but fewer different words."""
         # Special tokens are found in the text as it is written.
         if text and "<|" not in text:
             if text.isascii():
                 text = text.lower()
             elif not _COMBINING.search(text):
                 text = text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
-            text = _LONE_MARK.sub(r" \g<0>", text)
+            text = _END_MARKS.sub(r" \g<0>", text)
         return cls.words(text)
 
     def encode_all(self, texts: Iterable[str | None]) -> list[bytes]:
         """Ids of each text; the new words of all of them are encoded together."""
         cut = [self.units(t) for t in texts]
-        different = set().union(*cut)
         if len(self.known) > self.most:
             self.known, self.former = {}, self.known
         known, former = self.known, self.former
-        missing = different - known.keys()
-        again = missing & former.keys()
-        known.update((w, former.pop(w)) for w in again)
-        if missing - again:
-            self._learn(missing - again)
+        missing = set(filterfalse(known.__contains__, chain.from_iterable(cut)))
+        if former:
+            again = [w for w in missing if w in former]
+            known.update((w, former.pop(w)) for w in again)
+            missing.difference_update(again)
+        if missing:
+            self._learn(missing)
         return [b"".join(map(known.__getitem__, words)) for words in cut]
 
     def _learn(self, missing: set[str]) -> None:
         """Adds words to the memory; letters followed by marks are encoded as letters and marks, each once."""
         known, whole = self.known, []
+        plain = [w for w in missing if w.isascii() and w.isalpha() and w.islower()]
         words, cores, ends = [], [], []
-        for w in missing:
-            low = core = w.rstrip(_MARKS)
-            fine = core.isalpha()
-            if core.isascii():
-                low = core.lower()
-            elif fine:
-                low = "".join(map(str.lower, core))
-                fine = low.isalpha() and max(low) <= _LAST_LATIN
-            if fine:
+        for w in missing.difference(plain):
+            core = w.rstrip(_MARKS)
+            low = core.lower()
+            if low.isalpha() and _LATIN.fullmatch(low):
                 words.append(w)
                 cores.append(low)
                 ends.append(w[len(core):])
             else:
                 whole.append(w)
-        self._remember(self.tokenizer, [*whole, *(set(ends) - {""} - known.keys())])
-        cores_left = set(cores) - known.keys()
-        self._remember(self.letters, [w for w in cores_left if not w.isascii()])
-        # ASCII letters are the model's own signs of their bytes.
-        tokens = self.letters.model.tokenize
-        for w in cores_left:
-            if w.isascii():
-                known[w] = array("I", [t.id for t in tokens(w)]).tobytes()
+        self._remember(self.tokenizer, [*whole, *(m for m in set(ends) if m and m not in known)])
+        self._remember_letters(plain)
+        self._remember_letters([w for w in set(cores) if w not in known])
         for w, low, marks in zip(words, cores, ends):
             known[w] = known[low] + known[marks] if marks else known[low]
 
+    def _remember_letters(self, words: list[str]) -> None:
+        """Adds lower-case words of letters only."""
+        line = " ".join(words)
+        if not line.isascii():
+            line = _BYTE_SIGNS[np.frombuffer(line.encode(), np.uint8)].tobytes().decode("utf-32-le")
+        ids = np.array(self.letters.encode_batch_fast([line], add_special_tokens=False)[0].ids, dtype="<u4")
+        ends = np.flatnonzero(self.is_last[ids]) + 1
+        if len(ends) != len(words) or len(ids) and ends[-1] != len(ids):
+            self._remember(self.tokenizer, words)  # a vocabulary that does not mark the last tokens
+            return
+        data, at, known = ids.tobytes(), 0, self.known
+        for w, end in zip(words, (ends * 4).tolist()):
+            known[w] = data[at:end]
+            at = end
+
     def _remember(self, tokenizer, words: list[str]) -> None:
         known = self.known
         for w, e in zip(words, tokenizer.encode_batch_fast(words, add_special_tokens=False)):
@@ -229,17 +253,20 @@ def _pieces(with_ids: bool):
         places, current = [], None
         for batch in batches:
             out = []
-            for doc, h, role, pieces, width, data in zip(*batch.columns):
-                if role.as_py() == 0:
-                    current, places = (doc.as_py(), h.as_py()), pieces.as_py()
+            doc, h, role, width = (batch.column(i).to_pylist() for i in (0, 1, 2, 4))
+            offsets, fields = batch.column(3).offsets.to_pylist(), batch.column(3).values
+            starts, lengths, sequences, at = (fields.field(name).to_pylist() for name in ("start", "length", "sequence_id", "offset"))
+            for i in range(batch.num_rows):
+                if role[i] == 0:
+                    of = slice(offsets[i], offsets[i + 1])
+                    current, places = (doc[i], h[i]), [*zip(starts[of], lengths[of], sequences[of], at[of])]
                     continue
-                assert current == (doc.as_py(), h.as_py())
+                assert current == (doc[i], h[i])
                 if places:
-                    ids = np.frombuffer(data.as_py(), f"<u{width.as_py()}").astype("<u4")
-                    for p in places:
-                        piece = ids[p["start"]:p["start"] + p["length"]]
-                        out.append((current[0], p["start"], p["length"], zlib.crc32(piece.tobytes()), len(ids), p["sequence_id"], p["offset"],
-                                    piece.astype(np.int32) if with_ids else None))
+                    ids = np.frombuffer(batch.column(5)[i].as_buffer(), f"<u{width[i]}").astype("<u4")
+                    for start, length, sequence, offset in places:
+                        piece = ids[start:start + length]
+                        out.append((doc[i], start, length, zlib.crc32(piece), len(ids), sequence, offset, piece.astype(np.int32) if with_ids else None))
                 places = []
             names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
             arrays = [pa.array([o[i] for o in out], pa.int64()) for i in range(7)]

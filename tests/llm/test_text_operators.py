@@ -308,6 +308,29 @@ def test_words_that_differ_by_case_or_a_mark_behind_are_remembered_once():
     assert set(encoder.known) == {"word", ",", ".", "!", "word."}
 
 
+def test_new_words_of_letters_are_encoded_as_one_line():
+    class Counted:
+        def __init__(self, tokenizer):
+            self.tokenizer, self.asked = tokenizer, 0
+
+        def encode_batch_fast(self, texts, **options):
+            self.asked += len(texts)
+            return self.tokenizer.encode_batch_fast(texts, **options)
+
+    encoder = packing.WordEncoder()
+    whole = encoder.tokenizer
+    encoder.tokenizer, encoder.letters = Counted(whole), Counted(encoder.letters)
+    texts = ["naïve Größe señor été words of letters$$$ and more&&& end.%%% of", "ÇA łódź Words 'tis it's $$$"]
+    want = [whole.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode_all(texts)] == want
+    assert encoder.letters.asked <= 2
+    assert {"letters", "more", "end", "$$$"} <= encoder.known.keys() and not {"letters$$$", "more&&&"} & encoder.known.keys()
+    # Where the vocabulary does not mark the last token of a word, words are encoded one by one.
+    other = packing.WordEncoder()
+    other.is_last[:] = False
+    assert [np.frombuffer(x, "<u4").tolist() for x in other.encode_all(texts)] == want
+
+
 def test_merging_looks_up_each_pair_once():
     class Counted(dict):
         asked = 0

@@ -308,6 +308,42 @@ def test_words_that_differ_by_case_or_a_mark_behind_are_remembered_once():
     assert set(encoder.known) == {"word", ",", ".", "!", "word."}
 
 
+def test_texts_of_the_join_are_sent_in_small_batches(spark, monkeypatch):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    usual, own, own_linked = spark.conf.get(name), shingle_join._entries, shingle_join._linked
+
+    def watched(run):
+        def few(batches):
+            def checked():
+                for batch in batches:
+                    assert batch.num_rows <= 2000
+                    yield batch
+            return run(checked())
+        return few
+
+    monkeypatch.setattr(shingle_join, "_entries", lambda *a: watched(own(*a)))
+    monkeypatch.setattr(shingle_join, "_linked", watched(own_linked))
+    # Texts that come twice but for one word of a hundred.
+    common = " ".join(f"w{i}" for i in range(99))
+    docs = spark.range(2400).selectExpr("id AS doc_id", f"concat('{common} ', id div 2, ' x', id % 2) AS text").coalesce(1)
+    got = shingle_join.near_duplicate_components(docs).agg({"component_id": "max", "doc_id": "count"}).first()
+    assert tuple(got) == (0, 2400)
+    assert spark.conf.get(name) == usual
+
+
+def test_prefix_tokens_leave_a_task_in_small_batches():
+    import pyarrow as pa
+
+    texts = [" ".join(f"{i}w{j}" for j in range(400)) for i in range(300)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(300), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    parts = list(shingle_join._entries(64, 64)(iter([batch])))
+    assert max(p.num_rows for p in parts) <= 20_000 < sum(p.num_rows for p in parts)
+    prefixes = [shingle_join.shingles(t)[:shingle_join.prefix_length(396)] for t in texts]
+    sent = pa.Table.from_batches(parts).to_pylist()
+    assert sorted(r["k"] for r in sent if r["kind"] == 0) == sorted(np.concatenate(prefixes).view(np.int64).tolist())
+    assert sorted(r["doc"] for r in sent if r["kind"] == 1) == list(range(300))
+
+
 def test_new_words_of_letters_are_encoded_as_one_line():
     class Counted:
         def __init__(self, tokenizer):

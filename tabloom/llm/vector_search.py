@@ -4,8 +4,11 @@ Each vector is projected on `projections` random lines; of each line the sorted
 are kept. A query opens a window of half-width radius on every line, centred on itself, and
 counts for each vector the lines on which it falls inside. A vector with at least `threshold`
 of the lines is verified by its Euclidean distance. The radius grows by the factor `growth` (2 while all counts are low)
-(virtual rehashing: only the new parts of the windows are counted) until the k-th verified
-distance is below it, or the windows hold everything. A vector within the radius falls into a
+until the k-th verified
+distance is below it, or the windows hold everything. Counts only grow with the radius, so the
+radius at which this ends is the first of the series for which it holds, and is looked for from
+the one of the query before; a count compares the ranks of all vectors on the lines with the
+windows. A vector within the radius falls into a
 window with the normal distribution's 68 %, so with 128 lines and a threshold of 0.6 it is
 missed with a chance of some 2 %.
 
@@ -22,6 +25,8 @@ result; further columns are ignored.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -32,12 +37,6 @@ from tabloom.session import written_table
 from .vectors import matrix, valid_vectors
 
 
-def _ranges(start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """All whole numbers of the ranges [start, end), one after another."""
-    size = np.maximum(end - start, 0)
-    return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())
-
-
 class Lines:
     """Sorted projections of a block of vectors; the arrays of all lines stand one behind the other."""
 
@@ -47,35 +46,92 @@ class Lines:
         order = np.argsort(values, axis=1, kind="stable")
         reach = 2 * float(np.abs(values).max()) + 1
         self.shift = reach * np.arange(projections)
-        self.order = order.ravel()
         self.values = (np.take_along_axis(values, order, axis=1) + self.shift[:, None]).ravel()
         self.first = len(x) * np.arange(projections)
+        # Place of each vector on each line, in the smallest type that also holds their number.
+        kind = np.min_scalar_type(len(x))
+        self.ranks = np.empty((projections, len(x)), dtype=kind)
+        np.put_along_axis(self.ranks, order, np.arange(len(x), dtype=kind)[None, :], axis=1)
+        self.moved, self.met = np.empty_like(self.ranks), np.empty(self.ranks.shape, dtype=bool)
+        self.lengths = (x * x).sum(1)
+        # Radii at which the last query stopped doubling, and stopped.
+        self.doubled = self.stopped = 0.0
+
+    def counts(self, at: np.ndarray, radius: float) -> np.ndarray:
+        """For each vector the number of lines on which it lies within the radius of `at`."""
+        kind, last = self.ranks.dtype, self.first + len(self.x)
+        left = np.clip(np.searchsorted(self.values, at - radius, "left"), self.first, last)
+        right = np.clip(np.searchsorted(self.values, at + radius, "right"), left, last)
+        # Ranks below the window wrap around to large numbers.
+        np.subtract(self.ranks, (left - self.first).astype(kind)[:, None], out=self.moved)
+        np.less(self.moved, (right - left).astype(kind)[:, None], out=self.met)
+        return np.add.reduce(self.met.view(np.uint8), axis=0, dtype=np.min_scalar_type(len(at)))
+
+    def first_that(self, holds, radii: list[float], factor: float, guess: float) -> int:
+        """Index of the first radius that `holds`, which stays so for larger ones; `radii` is made longer by `factor`."""
+        def radius(i: int) -> float:
+            while len(radii) <= i:
+                radii.append(radii[-1] * factor)
+            return radii[i]
+
+        i = max(0, round(math.log(guess / radii[0], factor))) if guess > radii[0] else 0
+        step, low, high = 1, -1, None
+        while high is None or high - low > 1:
+            if holds(radius(i)):
+                high = i
+            else:
+                low = i
+            if high is None:
+                i, step = low + step, step * 2
+            elif low < 0 and high == i and high > 0:
+                i, step = max(0, high - step), step * 2
+            else:
+                i = (low + high) // 2
+        return high
 
     def nearest(self, q: np.ndarray, k: int, threshold: float, growth: float, skip: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Indices and distances of the candidates verified; `skip` marks rows that are no candidates."""
+        """Indices and distances of the candidates verified, without those surely farther than k others; `skip` marks rows that are no candidates."""
         n, m = len(self.x), self.directions.shape[1]
         at, need, last = q @ self.directions + self.shift, max(1, int(threshold * m)), self.first + n
-        counts, seen = np.zeros(n, dtype=np.int64), skip.copy()
-        found, distances = np.empty(0, dtype=np.int64), np.empty(0)
+        rest, measured, length = np.flatnonzero(~skip), np.full(n, np.nan), float(q @ q)
+        if not len(rest):
+            return rest, np.empty(0)
         lo = np.clip(np.searchsorted(self.values, at), self.first, last)
-        hi = lo.copy()
         # The first window holds k vectors on an average line.
         near = np.minimum(np.abs(self.values[np.maximum(lo - k, self.first)] - at), np.abs(self.values[np.minimum(lo + k, last - 1)] - at))
-        radius = max(float(np.median(near)), 1e-9)
-        while not seen.all():
-            left = np.clip(np.searchsorted(self.values, at - radius, "left"), self.first, lo)
-            right = np.clip(np.searchsorted(self.values, at + radius, "right"), hi, last)
-            counts += np.bincount(self.order[np.concatenate([_ranges(left, lo), _ranges(hi, right)])], minlength=n)
-            lo, hi = left, right
-            new = np.flatnonzero((counts >= need) & ~seen)
+        start = max(float(np.median(near)), 1e-9)
+        counted: dict[float, np.ndarray] = {}
+        best: dict[float, tuple[np.ndarray, np.ndarray]] = {}
+
+        def met(radius: float) -> np.ndarray:
+            if radius not in counted:
+                counted[radius] = self.counts(at, radius)
+            return counted[radius]
+
+        def ends(radius: float) -> bool:
+            found = rest[met(radius)[rest] >= need]
+            new = found[np.isnan(measured[found])]
             if len(new):
-                seen[new] = True
-                found = np.concatenate([found, new])
-                distances = np.concatenate([distances, np.sqrt(((self.x[new] - q) ** 2).sum(1))])
-            if len(found) >= k and np.partition(distances, k - 1)[k - 1] <= radius:
-                break
-            radius *= growth if counts.max() > need // 2 else 2.0
-        return found, distances
+                measured[new] = self.lengths[new] + length - 2 * (self.x[new] @ q)
+            # Rounding of these squares is far below the slack, which is infinite if they overflow.
+            some, slack = found, 1e-9 * (length + self.lengths[found].max(initial=0.0))
+            if len(found) > k and np.isfinite(slack):
+                squares = measured[found]
+                some = found[squares <= np.partition(squares, k - 1)[k - 1] + slack]
+            distances = np.sqrt(((self.x[some] - q) ** 2).sum(1))
+            best[radius] = some, distances
+            return len(found) == len(rest) or len(found) >= k and np.partition(distances, k - 1)[k - 1] <= radius
+
+        doubled = [start]
+        doublings = self.first_that(lambda r: met(r).max() > need // 2 or bool((met(r)[rest] >= need).all()), doubled, 2.0, self.doubled)
+        # Radii that double may end it as well.
+        if ends(doubled[doublings]):
+            stop = doubled[self.first_that(ends, doubled[:doublings + 1], 2.0, doubled[doublings])]
+        else:
+            radii = [doubled[doublings]]
+            stop = radii[self.first_that(ends, radii, growth, self.stopped)]
+        self.doubled, self.stopped = doubled[doublings], stop
+        return best[stop]
 
 
 def _search(k: int, projections: int, threshold: float, growth: float):

@@ -53,6 +53,31 @@ def test_nearest(spark):
     assert vector_search.nearest_neighbours(df.limit(0), F.col("vec_id") == 0).collect() == []
 
 
+def test_nearest_counts_a_few_radii_a_query():
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(700, 24))
+    x[20:40] = x[:20] + 0.01 * rng.normal(size=(20, 24))
+    lines, radii = vector_search.Lines(x, 64), []
+    at = x[3] @ lines.directions + lines.shift
+    values = x @ lines.directions
+    for radius in (0.3, 2.0, 100.0):
+        assert (lines.counts(at, radius) == (np.abs(values - values[3]) <= radius).sum(1)).all()
+    count = lines.counts
+    lines.counts = lambda at, radius: radii.append(radius) or count(at, radius)
+    for i in range(60):
+        near, distance = lines.nearest(x[i], 10, 0.6, 1.2, np.arange(700) == i)
+        best = near[np.lexsort((near, distance))[:10]]
+        want = np.argsort(np.where(np.arange(700) == i, np.inf, np.linalg.norm(x - x[i], axis=1)), kind="stable")[:10]
+        assert len(set(best) & set(want)) >= 9 and best[0] == want[0]
+    # Growing from the first window on took some twenty.
+    assert len(radii) <= 60 * 8
+    few, _ = lines.nearest(x[0], 10, 0.6, 1.2, np.arange(700) >= 4)
+    assert sorted(few) == [0, 1, 2, 3]
+    with np.errstate(all="ignore"):
+        huge, distance = vector_search.Lines(x * 1e200, 64).nearest(x[0] * 1e200, 10, 0.6, 1.2, np.arange(700) == 0)
+    assert len(huge) >= 10
+
+
 def repeated(spark):
     """Ids that repeat with equal and with different vectors, null ids, null vectors, ties."""
     e = np.eye(8)

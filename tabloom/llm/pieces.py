@@ -1,7 +1,9 @@
 """SentencePiece encoding and decoding over a trie of distinct marked words.
 
-A text is marked (spaces become U+2581, one is put in front) and cut into marked words. The
-distinct words of a batch are sorted, which walks their trie depth-first: each word shares the
+A text is marked (spaces become U+2581, one is put in front) and cut into marked words, and for a BPE model further where no piece
+lies across: between an ASCII letter and a sign that follows no letter in any piece, and around
+signs that no longer piece holds, such as a line break. No merge crosses such a place, so the ids
+stay, and there are fewer distinct words. The distinct words of a batch are sorted, which walks their trie depth-first: each word shares the
 forward states of its common prefix with the word before, and only the rest is computed.
 
 The forward state of a prefix is the last piece of its best segmentation. The installed model
@@ -20,6 +22,7 @@ table gives an empty result; further columns are ignored.
 from __future__ import annotations
 
 import re
+import string
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -70,6 +73,16 @@ class Model:
         self.fits: dict[str, dict[str, bool]] = {piece: {} for piece in self.ids}
         self.n_fits = 0
         self.lowest = min(self.scores.values(), default=0.0) - 10.0
+        self.words = _WORDS if unigram else self._cut_words()
+
+    def _cut_words(self) -> re.Pattern:
+        """Marked words, cut where no piece lies across."""
+        signs = set(string.punctuation + "\t\n\r")
+        alone = signs.difference(*(p for p in self.ids if len(p) > 1))
+        behind = signs.difference(*(re.findall("(?<=[A-Za-z])[^A-Za-z]", p) for p in self.ids))
+        one, no_letters = (re.escape("".join(sorted(x))) for x in (alone, behind))
+        cuts = [f"[A-Za-z]++(?=[{no_letters}])"] * bool(behind) + [f"[{one}]"] * bool(alone) + [f"[^{MARK}{one}]+"]
+        return re.compile(f"{MARK}*+(?:{'|'.join(cuts)})|{MARK}+")
 
     def merged(self, symbols: list[str]) -> list[str]:
         """Segmentation of a short string by its merges: highest score first, leftmost among equals."""
@@ -183,7 +196,8 @@ class TextEncoder:
         self.model, self.most, self.known, self.former = model, most, {}, {}
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        cut = [_WORDS.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
+        words_of = self.model.words.findall
+        cut = [words_of(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
         if len(self.known) > self.most:
             self.known, self.former = {}, self.known
         known, former = self.known, self.former

@@ -213,6 +213,22 @@ def test_pieces_match_the_library(spark, corpus, empty):
     assert pieces.encode(empty).collect() == []
 
 
+def test_words_are_cut_where_no_piece_lies_across():
+    import public_tokenizers
+    import sentencepiece
+
+    sp, model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model")), pieces.Model()
+    rng = random.Random(9)
+    parts = ["word", "Th", "é", "1", ",", ".", "\n", "\t", " ", "▁", "'s", "(", "...", "ing", "日", "\\", "]", "^", "-"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 25))) for _ in range(1000)]
+    encoder = pieces.TextEncoder(model)
+    assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts)] == [sp.encode(t) for t in texts]
+    encoder = pieces.TextEncoder(model)
+    encoder.encode(["one, two. one two;\none two,\ttwo"])
+    assert set(encoder.known) <= {"▁one", "▁two", "one", "two", ",", ".", ";", "\n", "\t"}
+    assert "".join(model.words.findall("".join(texts))) == "".join(texts)
+
+
 def test_unigram_states_match_plain_search():
     model = pieces.Model(unigram=True)
     rng = random.Random(8)
@@ -395,3 +411,11 @@ def test_tokens_of_a_set_are_shuffled_once(spark, monkeypatch):
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert len(entries) == len(set(entries)) > 0
     assert plans[0].replace("ReusedExchange", "").count("Exchange hashpartitioning") <= 2 and "hashpartitioning(k" not in plans[0]
+
+
+def test_texts_to_pack_are_sent_in_small_batches(spark, corpus, monkeypatch):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, sizes, write = spark.conf.get(name), {}, packing.written_table
+    monkeypatch.setattr(packing, "written_table", lambda df, purpose: sizes.update({purpose: int(spark.conf.get(name))}) or write(df, purpose))
+    packing.pack(corpus, length=64, window=4)
+    assert sizes["tokens"] <= 2000 and spark.conf.get(name) == before

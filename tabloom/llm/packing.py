@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from tabloom.session import written_table
 
-from .common import running_start, tidy
+from .common import running_start, small_batches, tidy
 
 END = 2
 _SPACES = re.compile("[\t-\r \x85\xa0  -     　]+")
@@ -197,7 +197,8 @@ def tokenized(docs: DataFrame, path: str | None, key: str, text: str, source: st
                      pa.array([x.astype(kind).tobytes() for x in ids], pa.binary())], names=["doc", "source", "h", "tokens", "width", "ids"])
 
     rows = docs.select(F.col(key).cast("long").alias("doc"), F.col(source).cast("string").alias("source"), F.xxhash64(text).alias("h"), F.col(text).alias("t"))
-    return written_table(rows.mapInArrow(tidy(run), "doc long, source string, h long, tokens long, width int, ids binary"), "tokens")
+    with small_batches(docs.sparkSession):
+        return written_table(rows.mapInArrow(tidy(run), "doc long, source string, h long, tokens long, width int, ids binary"), "tokens")
 
 
 def quanta(counts: DataFrame, window_tokens: int, mixture: dict[str | None, float] | None) -> DataFrame:

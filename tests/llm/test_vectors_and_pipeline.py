@@ -69,7 +69,7 @@ def test_nearest_counts_a_few_radii_a_query():
         best = near[np.lexsort((near, distance))[:10]]
         want = np.argsort(np.where(np.arange(700) == i, np.inf, np.linalg.norm(x - x[i], axis=1)), kind="stable")[:10]
         assert len(set(best) & set(want)) >= 9 and best[0] == want[0]
-    # Growing from the first window on took some twenty.
+    # Growing from the first window on takes many more.
     assert len(radii) <= 60 * 8
     few, _ = lines.nearest(x[0], 10, 0.6, 1.2, np.arange(700) >= 4)
     assert sorted(few) == [0, 1, 2, 3]

@@ -1,4 +1,5 @@
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -6,6 +7,7 @@ import zlib
 import numpy as np
 import pytest
 
+from tabloom import session
 from tabloom.llm import language, packing, pieces, pii, sharding, shingle_join, toxicity, urls
 
 
@@ -50,6 +52,13 @@ def test_hot_family_matches_brute_force(spark):
     assert got == brute_components(docs.collect())
 
 
+def test_join_gives_its_disk_back(corpus, tmp_path, monkeypatch):
+    numbers = itertools.count()
+    monkeypatch.setattr(session, "shared_folder", lambda spark, purpose: f"{tmp_path}/{purpose}-{next(numbers)}")
+    shingle_join.near_duplicate_components(corpus, frequent=1)
+    assert {p.name.split("-")[0] for p in tmp_path.iterdir()} <= {"rows", "sets", "components", "links"}
+
+
 def test_prefix_bounds():
     for n in range(2, 3000):
         short = n - shingle_join.overlap_needed(n) + 1

@@ -1,10 +1,13 @@
 import math
+import os
+import time
 
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tabloom import session
 from tabloom.columns import resolve_columns
 from tabloom.operators import dedup, guard, impute, ordered, quantiles, rank_correlation, redundancy, sanitize
 
@@ -255,3 +258,18 @@ def test_columns_that_miss_the_same_rows_share_rankings(spark, monkeypatch):
     alike = rank_correlation._missing_alike(df, list("abcd"), {"a": 100, "b": 100, "c": 75, "d": 0})
     assert alike == {"a": "a", "b": "a", "c": "c", "d": None}
     assert rank_correlation._rankings(list("abcd"), alike)["a", "b"] == ("a", None)
+
+
+def test_written_table_drops_its_shuffles(spark):
+    """The files of a shuffle go when the table is written, and the table's own when it is dropped."""
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles
+    kept = lambda: {name for name in files().mkString("\n").split("\n") if "/shuffle_" in name}
+    before, setting = kept(), spark.conf.get(session.SHUFFLE_CLEANUP)
+    table = session.written_table(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "counts")
+    ends = time.time() + 10
+    while kept() - before and time.time() < ends:
+        time.sleep(0.1)
+    assert not kept() - before
+    assert table.count() == 7 and spark.conf.get(session.SHUFFLE_CLEANUP) == setting
+    session.drop_written(table)
+    assert not os.path.exists(table._written_at)

@@ -46,17 +46,22 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
 
 
 @contextmanager
-def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
-    """What is run within it gives the disk of its shuffles back when it ends, not when the driver collects garbage."""
-    before = spark.conf.get(SHUFFLE_CLEANUP, None)
-    spark.conf.set(SHUFFLE_CLEANUP, "true")
+def setting(spark: SparkSession, name: str, value: str | int) -> Iterator[None]:
+    """What is run within it has the setting."""
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
     try:
         yield
     finally:
         if before is None:
-            spark.conf.unset(SHUFFLE_CLEANUP)
+            spark.conf.unset(name)
         else:
-            spark.conf.set(SHUFFLE_CLEANUP, before)
+            spark.conf.set(name, before)
+
+
+def shuffles_dropped(spark: SparkSession):
+    """What is run within it gives the disk of its shuffles back when it ends, not when the driver collects garbage."""
+    return setting(spark, SHUFFLE_CLEANUP, "true")
 
 
 def written_table(df: DataFrame, purpose: str) -> DataFrame:

@@ -2,48 +2,18 @@
 
 from __future__ import annotations
 
-import ctypes
-import gc
-import sys
-from collections.abc import Callable, Iterator
 from contextlib import contextmanager
-from functools import wraps
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tabloom.session import drop_written, written_table
+from tabloom.session import drop_written, tidy, written_table  # noqa: F401
 
 
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], after: Callable[[], None] | None = None):
-    """The task function, giving its memory back to the system when the task ends.
-
-    Python workers outlive their tasks, and what the allocators keep of one stage would be
-    missing in the next one. `after` drops what the module itself keeps.
-    """
-
-    @wraps(run)
-    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        try:
-            yield from run(batches)
-        finally:
-            if after is not None:
-                after()
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            if sys.platform.startswith("linux"):
-                trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-                if trim is not None:
-                    trim(0)
-
-    return tidied
-
-
 @contextmanager
 def small_batches(spark: SparkSession, rows: int = 2000):
     """Steps that run within it send whole texts to Python `rows` at a time.

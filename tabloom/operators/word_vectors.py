@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import words
-from ..session import drop_written, setting, shuffles_dropped, written_table
+from ..session import drop_written, setting, shuffles_dropped, tidy, written_table
 
 #: Words whose pairs a task counts at once, and pairs (counted with repeats) for each part.
 WORDS_PER_STRETCH = 1 << 20
@@ -219,7 +219,7 @@ def _counted_words(listed: DataFrame, window: int) -> DataFrame:
         if held:
             yield from _summed_words(held).to_batches(max_chunksize=100_000)
 
-    sent = listed.mapInArrow(count, "word string, of_word long")
+    sent = listed.mapInArrow(tidy(count), "word string, of_word long")
     return sent.groupBy("word").agg(F.sum("of_word").alias("of_word"))
 
 
@@ -237,7 +237,8 @@ def _sum_by(keys: list[np.ndarray], n: np.ndarray) -> list[np.ndarray]:
         total = total << wide | k
     if sum(bits) < 64:
         # Fits one number: the counts are sorted along.
-        total = np.sort(total << bits[-1] | n)
+        total = total << bits[-1] | n
+        total.sort()
         n, total = total & ((1 << bits[-1]) - 1), total >> bits[-1]
     else:
         order = np.argsort(total, kind="stable") if sum(bits[:-1]) < 64 else np.lexsort(keys[::-1])
@@ -268,7 +269,8 @@ def _stretch_pairs(ids: np.ndarray, text: np.ndarray, own: int, window: int, hea
         x, y = code[:-k][:own], code[k:][:own]
         same = text[:-k][:own] == text[k:][:own]
         keys.append((np.maximum(x, y) << wide | np.minimum(x, y))[same])
-    keys = np.sort(np.concatenate(keys))
+    keys = np.concatenate(keys)
+    keys.sort()
     if not len(keys):
         return []
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
@@ -373,7 +375,7 @@ def _by_part(run: Callable[[int, dict[int, list[bytes]]], Iterator[tuple[int, in
                 yield _block_rows([row])
 
     dealt = rows.repartition("part") if tasks is None else rows.repartition(tasks, "part")
-    return dealt.sortWithinPartitions("part", "kind").mapInArrow(each, BLOCKS)
+    return dealt.sortWithinPartitions("part", "kind").mapInArrow(tidy(each), BLOCKS)
 
 
 def _sorted_words(blocks: list[bytes]) -> list[np.ndarray]:
@@ -469,7 +471,7 @@ def numbered_neighbours(df: DataFrame, column: str, window: int = 5, known: int
         parts = max(1, -(-(named.agg(F.sum("of_word")).first()[0] or 0) // (2 * PAIRS_PER_PART)))
         numbers = listed.select(F.transform("w", lambda w: _number(w, turn)).alias("w"))
         of_words = written_table(_word_blocks(named, head, parts, "of_word"), "word_blocks")
-        met = written_table(_by_part(_merged(parts), numbers.mapInArrow(_met(window, head, parts, WORDS_PER_STRETCH), BLOCKS).union(of_words)), "met")
+        met = written_table(_by_part(_merged(parts), numbers.mapInArrow(tidy(_met(window, head, parts, WORDS_PER_STRETCH)), BLOCKS).union(of_words)), "met")
         others = written_table(_by_part(_both_parts(parts), met.filter("kind = 3").union(of_words)), "others")
         drop_written(of_words)
     return Neighbours(named, met.filter("kind = 1").union(others), head, parts, [counted, met, others])
@@ -505,7 +507,7 @@ def associations(counts: DataFrame | Neighbours, shift: float = 1.0, min_count:
                     back = a != b
                     yield from _in_rows([b[back], a[back], n[back], value[back]], ["word", "context", "n", "value"])
 
-        return counts.blocks.mapInArrow(read, "word long, context long, n long, value double")
+        return counts.blocks.mapInArrow(tidy(read), "word long, context long, n long, value double")
     cells = written_table(counts, "neighbours")
     totals = written_table(cells.groupBy("word").agg(F.sum("n").alias("of_word")), "totals").withColumnRenamed("word", "id")
     everything = totals.agg(F.sum("of_word")).first()[0] or 0

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import sys
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from functools import wraps
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -64,6 +69,30 @@ def shuffles_dropped(spark: SparkSession):
     return setting(spark, SHUFFLE_CLEANUP, "true")
 
 
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], after: Callable[[], None] | None = None):
+    """The task function, giving its memory back to the system when the task ends.
+
+    Python workers outlive their tasks, and what the allocators keep of one stage would be
+    missing in the next one. `after` drops what the module itself keeps.
+    """
+
+    @wraps(run)
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            if after is not None:
+                after()
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            if sys.platform.startswith("linux"):
+                trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+                if trim is not None:
+                    trim(0)
+
+    return tidied
+
+
 def written_table(df: DataFrame, purpose: str) -> DataFrame:
     """Write `df` once below the shared folder and read it back.
 
